@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("billing",)
+AREAS = ("billing", "portfolio", "profile")
 
 
 def load_all() -> None:

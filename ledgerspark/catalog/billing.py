@@ -150,3 +150,136 @@ def infer_rounded(spark, sf):
     out = B.infer_intervals(daily_events(spark, sf), D.SNAPSHOTS, daily=True)
     out = rounded(out, 6, ["gap_cv", "amount_cv", "dominant_share"])
     return rounded(rounded(out, 2, ["median_gap_days"]), 4, ["interval_confidence"])
+
+
+@query("interval_label_confidence", f"""WITH {INTERVAL_SQL}
+SELECT billing_interval, snapshot_date, count(*) AS customers, round(min(round_even(raw_confidence, 4)), 4) AS lowest,
+  round(max(round_even(raw_confidence, 4)), 4) AS highest FROM iv GROUP BY ALL""")
+def interval_label_confidence(spark, sf):
+    out = B.infer_intervals(daily_events(spark, sf), D.SNAPSHOTS, daily=True)
+    out = out.groupBy("billing_interval", "snapshot_date").agg(
+        F.count(F.lit(1)).alias("customers"), F.min("interval_confidence").alias("lowest"),
+        F.max("interval_confidence").alias("highest"),
+    )
+    return rounded(out, 4, ["lowest", "highest"])
+
+
+@query("snapshot_join", f"""WITH {EVENTS_SQL},
+snaps AS (SELECT unnest(generate_series(DATE '1996-01-01', DATE '2001-01-01', INTERVAL 1 YEAR))::DATE AS snapshot_date)
+SELECT snapshot_date, customerid, count(*) AS n_events, round(sum(event_amount), 2) AS total_amount, max(date) AS last_date
+FROM events_d, snaps WHERE date < snapshot_date GROUP BY ALL""")
+def snapshot_join(spark, sf):
+    import datetime as dt
+
+    snaps = [dt.date(y, 1, 1) for y in range(1996, 2002)]
+    handed = B.hand_to_snapshots(daily_events(spark, sf), snaps)
+    return handed.groupBy("snapshot_date", "customerid").agg(
+        F.count(F.lit(1)).alias("n_events"), F.round(F.sum("event_amount"), 2).alias("total_amount"),
+        F.max("date").alias("last_date"),
+    )
+
+
+@query("core_features", f"""WITH {INTERVAL_SQL}
+SELECT customerid, snapshot_date, round(total_amount, 2) AS total_amount, round(mean_amount, 6) AS mean_amount,
+  round(max_amount, 2) AS max_amount, round(last_amount, 2) AS last_amount, CAST(n_invoices_total AS BIGINT) AS n_invoices_total,
+  round(past12_amount, 2) AS past12_amount, n_events_past12, round(prior12_amount, 2) AS prior12_amount,
+  round(revenue_trend, 6) AS revenue_trend FROM iv""")
+def core_features(spark, sf):
+    out = B.core_features(daily_events(spark, sf), D.SNAPSHOTS, daily=True)
+    out = rounded(out, 2, ["total_amount", "max_amount", "last_amount", "past12_amount", "prior12_amount"])
+    return rounded(out, 6, ["mean_amount", "revenue_trend"])
+
+
+@query("churn_labels", f"""WITH {EVENTS_SQL}, {SNAPS_SQL}, {LABEL_SQL}
+SELECT customerid, snapshot_date, CAST(round(future_rev, 2) < 0.5 * round(past_rev, 2) AS INT) AS y_churn,
+  round(greatest(past_rev - future_rev, 0), 2) AS y_loss, round(past_rev, 2) AS dollar_at_risk,
+  round(past_rev, 2) AS past_rev, round(future_rev, 2) AS future_rev FROM lb WHERE past_rev > 0""")
+def churn_labels(spark, sf):
+    out = B.churn_labels(daily_events(spark, sf), D.SNAPSHOTS, daily=True)
+    return rounded(out, 2, ["y_loss", "dollar_at_risk", "past_rev", "future_rev"])
+
+
+MATRIX_SQL = f"""{INTERVAL_SQL}, {LABEL_SQL},
+mx AS (SELECT * FROM lb JOIN iv USING (customerid, snapshot_date) WHERE past_rev > 0)"""
+
+FEATURE_SELECT = """CAST(days_since_last AS INT) AS recency_days, CAST(tenure_days AS INT) AS tenure_days, n_events,
+  n_events_past12, round(total_amount, 2) AS total_amount, round(past12_amount, 2) AS past12_amount,
+  round(mean_amount, 6) AS mean_amount, round(amount_cv, 6) AS amount_cv,
+  round(median_gap_days, 2) AS median_gap_days, n_gaps, round_even(raw_confidence, 4) AS interval_confidence,
+  round(dominant_share, 6) AS dominant_share, CAST(billing_interval = 'monthly' AS INT) AS is_monthly,
+  CAST(billing_interval = 'mixed' AS INT) AS is_mixed, CAST(billing_interval = 'irregular' AS INT) AS is_irregular"""
+FEATURE_SHOWN = (
+    "recency_days", "tenure_days", "n_events", "n_events_past12", "total_amount", "past12_amount", "mean_amount",
+    "amount_cv", "median_gap_days", "n_gaps", "interval_confidence", "dominant_share", "is_monthly", "is_mixed",
+    "is_irregular",
+)
+
+
+def shown_features(df):
+    df = rounded(df, 2, ["total_amount", "past12_amount", "median_gap_days"])
+    return rounded(rounded(df, 4, ["interval_confidence"]), 6, ["amount_cv", "dominant_share", "mean_amount"])
+
+
+@query("build_churn_matrix", f"""WITH {MATRIX_SQL}
+SELECT customerid, snapshot_date, CAST(round(future_rev, 2) < 0.5 * round(past_rev, 2) AS INT) AS y_churn,
+  round(greatest(past_rev - future_rev, 0), 2) AS y_loss, {FEATURE_SELECT} FROM mx""")
+def build_churn_matrix(spark, sf):
+    out = B.build_churn_matrix(daily_events(spark, sf), D.SNAPSHOTS, daily=True)
+    out = out.select("customerid", "snapshot_date", "y_churn", F.round("y_loss", 2).alias("y_loss"), *FEATURE_SHOWN)
+    return shown_features(out)
+
+
+@query("build_scoring_features", f"""WITH {INTERVAL_SQL}
+SELECT customerid, snapshot_date, {FEATURE_SELECT} FROM iv""")
+def build_scoring_features(spark, sf):
+    out = B.build_scoring_features(D.invoices(spark, sf), D.SNAPSHOTS, daily=True)
+    return shown_features(out.select("customerid", "snapshot_date", *FEATURE_SHOWN))
+
+
+@query("stack_snapshots", f"""WITH {INTERVAL_SQL}
+SELECT customerid, snapshot_date, billing_interval, CASE WHEN snapshot_date = DATE '2000-06-01' THEN n_events END AS n_events FROM iv""")
+def stack_snapshots(spark, sf):
+    events = daily_events(spark, sf)
+    parts = [B.infer_intervals(events, [s], daily=True) for s in D.SNAPSHOTS]
+    slim = [
+        parts[0].select("customerid", "snapshot_date", "billing_interval"),
+        parts[1].select("customerid", "snapshot_date", "billing_interval", "n_events"),
+    ]
+    return B.stack_snapshots(slim)
+
+
+@query("snapshot_interval_summary", f"""WITH {INTERVAL_SQL}
+SELECT snapshot_date, billing_interval, count(*) AS customers, round(avg(round_even(raw_confidence, 4)), 6) AS mean_confidence
+FROM iv GROUP BY ALL""")
+def snapshot_interval_summary(spark, sf):
+    return rounded(
+        B.interval_summary(B.infer_intervals(daily_events(spark, sf), D.SNAPSHOTS, daily=True)), 6, ["mean_confidence"]
+    )
+
+
+@query("snapshot_cohort_summary", f"""WITH {EVENTS_SQL}, {SNAPS_SQL}, {LABEL_SQL}
+SELECT snapshot_date, count(*) AS cohort, round(avg(CAST(future_rev < 0.5 * past_rev AS INT)), 6) AS churn_rate,
+  round(avg(greatest(past_rev - future_rev, 0)), 4) AS mean_dollar_loss, round(sum(past_rev), 2) AS total_dollars_at_risk
+FROM lb WHERE past_rev > 0 GROUP BY 1""")
+def snapshot_cohort_summary(spark, sf):
+    out = B.cohort_summary(B.build_churn_matrix(daily_events(spark, sf), D.SNAPSHOTS, daily=True))
+    out = rounded(rounded(out, 6, ["churn_rate"]), 4, ["mean_dollar_loss"])
+    return rounded(out, 2, ["total_dollars_at_risk"])
+
+
+@query("cadence_backtest", f"""WITH {EVENTS_SQL}, {BASES_SQL}, {GAPS_SQL},
+lst AS (SELECT customerid, max(date) AS held_out FROM events_d GROUP BY 1),
+ev AS (SELECT customerid, held_out, count(*) AS n_events, min(date) AS first_date, max(date) AS last_date,
+    coalesce(stddev_samp(event_amount) / avg(event_amount), 0) AS amount_cv
+  FROM events_d JOIN lst USING (customerid) WHERE date < held_out GROUP BY ALL),
+gp AS (SELECT customerid, count(*) AS n_gaps FROM gap_class JOIN lst USING (customerid) WHERE d < held_out GROUP BY 1),
+bc AS (SELECT customerid, base, count(*) AS c FROM gap_class JOIN lst USING (customerid) WHERE d < held_out AND base IS NOT NULL GROUP BY ALL),
+bd AS (SELECT customerid, arg_max(base, (c, -days)) AS dominant_base, arg_max(days, (c, -days)) AS days, max(c) / sum(c) AS share,
+    count(*) AS kinds FROM bc JOIN bases ON base = bname GROUP BY 1),
+er AS (SELECT CASE WHEN n_events <= 1 THEN 'single' WHEN kinds >= 2 AND share < 0.8 THEN 'mixed' ELSE dominant_base END AS billing_interval,
+    abs(date_diff('day', last_date + CAST(days AS INT), held_out)) AS err FROM ev JOIN bd USING (customerid))
+SELECT billing_interval, count(*) AS customers, round(avg(err), 4) AS mean_abs_error, round(median(err), 2) AS median_abs_error
+FROM er GROUP BY 1""")
+def cadence_backtest(spark, sf):
+    out = B.cadence_backtest(daily_events(spark, sf), daily=True)
+    return rounded(rounded(out, 4, ["mean_abs_error"]), 2, ["median_abs_error"])

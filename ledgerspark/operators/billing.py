@@ -56,6 +56,12 @@ def historical_only(events: DataFrame, snapshot: dt.date) -> DataFrame:
     return events.filter(F.to_date(DATE) < F.lit(snapshot))
 
 
+def hand_to_snapshots(events: DataFrame, snapshots: Sequence[dt.date]) -> DataFrame:
+    """Each event once per later snapshot. Row-local: no join, and hash partitioning on the customer is kept."""
+    later = F.filter(F.array(*[F.lit(s) for s in snapshots]), lambda s: F.to_date(DATE) < s)
+    return events.withColumn("snapshot_date", F.explode(later))
+
+
 def classify_gap(gap: Column, cfg: IntervalConfig = IntervalConfig()) -> Column:
     """Base whose nearest whole multiple has the least relative error within the tolerance, else null."""
     sign = 1 if cfg.prefer == "shortest" else -1

@@ -123,13 +123,13 @@ def average_ranks(
 
     weight counts a row several times, for input that was grouped beforehand.
     """
-    counts = {"n": F.lit(1).cast("bigint") if weight is None else weight}
+    counts = {"cnt": F.lit(1).cast("bigint") if weight is None else weight}
     totals = running_totals(df, value, counts, keys, rows_per_range=rows_per_range)
     return totals.select(
         *keys,
         value,
-        (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)).alias("avg_rank"),
-        F.col("tot_n").alias("n_valid"),
+        (F.col("cum_cnt") - F.col("cnt") + (F.col("cnt") + 1) / F.lit(2.0)).alias("avg_rank"),
+        F.col("tot_cnt").alias("n_valid"),
     )
 
 
@@ -184,7 +184,7 @@ def exact_quantiles(
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key, from running counts (no per-group value map)."""
-    totals = running_totals(df, value, {"n": F.lit(1).cast("bigint")}, keys, rows_per_range=rows_per_range)
+    totals = running_totals(df, value, {"cnt": F.lit(1).cast("bigint")}, keys, rows_per_range=rows_per_range)
     return quantiles_of_counts(totals, value, probs, keys)
 
 
@@ -192,7 +192,7 @@ def quantiles_of_counts(
     totals: DataFrame, value: str, probs: Mapping[str, float], keys: Sequence[str] = (), extra: Sequence[Column] = ()
 ) -> DataFrame:
     v = F.col(value).cast("double")
-    first, last, size = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1, F.col("tot_n")
+    first, last, size = F.col("cum_cnt") - F.col("cnt"), F.col("cum_cnt") - 1, F.col("tot_cnt")
     aggs = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (size - 1)
@@ -200,7 +200,7 @@ def quantiles_of_counts(
             aggs.append(F.max(F.when((first <= at) & (at <= last), v)).alias(f"_{name}_{tag}"))
         aggs.append(F.max(pos - F.floor(pos)).alias(f"_{name}_w"))
     grouped = totals.groupBy(*keys) if keys else totals.groupBy()
-    picked = grouped.agg(F.max("tot_n").alias("n_valid"), *aggs, *extra)
+    picked = grouped.agg(F.max("tot_cnt").alias("n_valid"), *aggs, *extra)
     out = {
         name: F.col(f"_{name}_lo") + F.col(f"_{name}_w") * (F.col(f"_{name}_hi") - F.col(f"_{name}_lo"))
         for name in probs
@@ -229,8 +229,8 @@ def global_positions(
         "_v": -F.col(value).cast("double") if descending else F.col(value).cast("double"),
     })
     totals = running_totals(
-        tagged, "_v", {"n": F.lit(1).cast("bigint")}, keys, ["_tie"], rows_per_range=rows_per_range
-    ).select(*keys, "_v", "_tie", (F.col("cum_n") - F.col("n")).alias("_before"), F.col("tot_n").alias("n_rows"))
+        tagged, "_v", {"cnt": F.lit(1).cast("bigint")}, keys, ["_tie"], rows_per_range=rows_per_range
+    ).select(*keys, "_v", "_tie", (F.col("cum_cnt") - F.col("cnt")).alias("_before"), F.col("tot_cnt").alias("n_rows"))
     inside = Window.partitionBy(*keys, "_v", "_tie").orderBy("_md5")
     return (
         tagged.join(totals, [*keys, "_v", "_tie"])
