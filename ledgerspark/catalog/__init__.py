@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("billing", "portfolio", "profile")
+AREAS = ("billing", "portfolio", "profile", "quality", "evaluation", "credit")
 
 
 def load_all() -> None:

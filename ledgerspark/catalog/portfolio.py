@@ -11,6 +11,7 @@ from ledgerspark.functions.numeric import rounded
 from ledgerspark.operators import portfolio as P
 from ledgerspark.operators import ranking as R
 from ledgerspark.operators import targets as T
+from ledgerspark.session import materialise
 from ledgerspark.sources import domain as D
 from ledgerspark.sources import tables as S
 
@@ -34,7 +35,8 @@ def model_base(spark, sf):
 
 def scored_base(spark, sf):
     """Model base with targets, and a deterministic stand-in residual per link."""
-    base = P.attach_targets(model_base(spark, sf), T.build_targets(companies(spark, sf)))
+    comp = companies(spark, sf)
+    base = P.build_model_base(bridge(spark, sf), T.build_targets(comp, with_rank=False), check=False)
     return base.withColumn("OOFResidual", F.col("CompanyIsActive") - F.lit(0.5) + (F.col("Rank") - 3.0) / 20.0)
 
 
@@ -292,7 +294,7 @@ def build_landlord_matrix(spark, sf):
 SELECT LandLordID, LandlordAge, {PORTFOLIO_SHOWN}, PortfolioSize AS TenantCount FROM lf LEFT JOIN pf USING (LandLordID)""")
 def build_scoring_matrix(spark, sf):
     comp = companies(spark, sf)
-    out = P.build_scoring_matrix(D.landlords(spark, sf), bridge(spark, sf), comp, T.build_targets(comp), D.AS_OF_YEAR)
+    out = P.build_scoring_matrix(D.landlords(spark, sf), bridge(spark, sf), comp, T.build_targets(comp, with_rank=False), D.AS_OF_YEAR)
     cols = [c for c in out.columns if c.startswith("Portfolio")]
     return shown_portfolio(out).select("LandLordID", "LandlordAge", *cols, "TenantCount")
 
@@ -305,7 +307,7 @@ def route_scoring_input(spark, sf):
     ids = owners.filter(F.col("Area") > 0).select("LandLordID")
     comp = companies(spark, sf)
     kind, out = P.route_scoring_input(
-        ids, owners, D.tenant_lists(spark, sf), comp, T.build_targets(comp), D.AS_OF_YEAR)
+        ids, owners, D.tenant_lists(spark, sf), comp, T.build_targets(comp, with_rank=False), D.AS_OF_YEAR)
     return rounded(
         out.select("LandLordID", "LandlordAge", "PortfolioSize", "PortfolioMeanClients", "TenantCount"),
         6, ["PortfolioMeanClients"]).withColumn("input_kind", F.lit(kind))
@@ -361,7 +363,7 @@ def shrunk(spark, sf):
 
 @query("percentile_vs_reference", f"""WITH {PERCENTILE_SQL} SELECT LandLordID, round(pct, 6) AS percentile, round(pct, 6) AS score_0_100 FROM pc""")
 def percentile_vs_reference(spark, sf):
-    scores = shrunk(spark, sf)
+    scores = materialise(shrunk(spark, sf), "scores")
     out = R.percentile_vs_reference(scores, "AdjustedScore", scores, "AdjustedScore")
     return rounded(out.select("LandLordID", "percentile", "score_0_100"), 6, ["percentile", "score_0_100"])
 
@@ -369,7 +371,7 @@ def percentile_vs_reference(spark, sf):
 @query("quality_band", f"""WITH {PERCENTILE_SQL} SELECT LandLordID, CASE WHEN pct >= 70 THEN 'good' WHEN pct <= 30 THEN 'bad' ELSE 'neutral' END AS band,
   CASE WHEN TenantCount >= 10 THEN 'high' WHEN TenantCount >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM pc""")
 def quality_band(spark, sf):
-    scores = shrunk(spark, sf)
+    scores = materialise(shrunk(spark, sf), "scores")
     out = R.percentile_vs_reference(scores, "AdjustedScore", scores, "AdjustedScore")
     return out.select(
         "LandLordID", R.quality_band(F.col("percentile")).alias("band"),
@@ -382,4 +384,4 @@ e AS (SELECT LandLordID, TenantCount, round(AdjustedScore, 9) AS s, row_number()
 SELECT LandLordID, TenantCount, CASE WHEN pos <= 2 THEN 'good' WHEN pos > n - 2 THEN 'bad' ELSE 'neutral' END AS band FROM e
 WHERE pos <= 2 OR pos > n - 2 OR pos = n // 2 + 1""")
 def select_case_studies(spark, sf):
-    return R.select_case_studies(shrunk(spark, sf)).select("LandLordID", "TenantCount", "band")
+    return R.select_case_studies(materialise(shrunk(spark, sf), "scores")).select("LandLordID", "TenantCount", "band")

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerspark.config import CreditConfig
 from ledgerspark.functions.lookups import RISK_TIERS, STATUS_FLAGS, by_class
@@ -281,7 +282,10 @@ def guardrails(df: DataFrame, cfg: CreditConfig = CreditConfig()) -> DataFrame:
 
 
 VERDICT_TYPE = "recommendation string, confidence string, rationale string"
-FALLBACK_TYPE = VERDICT_TYPE + ", tool_call boolean"
+FALLBACK_TYPE = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("recommendation", "confidence", "rationale")]
+    + [T.StructField("tool_call", T.BooleanType())]
+)
 
 
 def _verdict_fields(found: object) -> tuple | None:

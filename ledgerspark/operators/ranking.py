@@ -31,8 +31,11 @@ def range_bounds(
     One aggregation job; at most MAX_RANGES numbers per key come back (keys are column or model
     names here, never data-sized).
     """
-    steps = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
-    aggs = [F.count(value).alias("n"), F.percentile_approx(value, steps, 10 * MAX_RANGES).alias("q")]
+    cuts = "array(" + ",".join(f"{i / MAX_RANGES}D" for i in range(1, MAX_RANGES)) + ")"
+    aggs = [
+        F.count(value).alias("n"),
+        F.expr(f"percentile_approx(`{value}`, {cuts}, {10 * MAX_RANGES})").alias("q"),
+    ]
     stats = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
     out: dict[tuple, list[float]] = {}
     for row in stats.collect():
@@ -138,17 +141,13 @@ def with_average_rank(
 ) -> DataFrame:
     """Rows with the average rank of their value; null values get no rank.
 
-    Rows without a value skip the join, so a column that is mostly null does not pile up in one task.
+    A value shared by very many rows makes one side of the join skewed; the rank side has one row per
+    value, so AQE can split the row side freely.
     """
     ranks = average_ranks(df, value, keys, rows_per_range=rows_per_range).select(
         *keys, value, F.col("avg_rank").alias(out), F.col("n_valid").alias(f"{out}_n")
     )
-    known = df.filter(F.col(value).isNotNull()).join(ranks, [*keys, value])
-    unknown = df.filter(F.col(value).isNull()).withColumns(
-        {out: F.lit(None).cast("double"), f"{out}_n": F.lit(None).cast("bigint")}
-    )
-    cols = [*df.columns, out, f"{out}_n"]
-    return known.select(*cols).unionByName(unknown.select(*cols))
+    return df.join(ranks, [*keys, value], "left").select(*df.columns, out, f"{out}_n")
 
 
 def rank_normalize(
@@ -169,11 +168,8 @@ def dense_rank_desc(
     levels = df.select(value).filter(F.col(value).isNotNull()).distinct()
     totals = running_totals(levels, value, {"one": F.lit(1).cast("bigint")}, rows_per_range=rows_per_range)
     ranks = totals.select(value, (F.col("tot_one") - F.col("cum_one") + 1).alias(out))
-    known = df.filter(F.col(value).isNotNull()).join(ranks, value)
-    last = levels.agg((F.count(F.lit(1)) + 1).alias("n"))
-    unknown = df.filter(F.col(value).isNull()).withColumn(out, last.scalar())
-    cols = [*df.columns, out]
-    return known.select(*cols).unionByName(unknown.select(*cols))
+    last = totals.agg((F.coalesce(F.max("tot_one"), F.lit(0)) + 1).alias("n")).scalar()
+    return df.join(ranks, value, "left").withColumn(out, F.coalesce(F.col(out), last)).select(*df.columns, out)
 
 
 def exact_quantiles(
@@ -251,13 +247,8 @@ def percentile_vs_reference(
         F.col("_v").alias("_score"),
         F.try_divide(F.lit(100.0) * F.col("cum_w"), F.col("tot_w").cast("double")).alias("percentile"),
     )
-    known = (
-        scores.filter(F.col(score).isNotNull())
-        .join(share, F.col(score).cast("double") == F.col("_score"))
-        .drop("_score")
-    )
-    unknown = scores.filter(F.col(score).isNull()).withColumn("percentile", F.lit(None).cast("double"))
-    return known.unionByName(unknown).withColumn(
+    joined = scores.join(share, F.col(score).cast("double") == F.col("_score"), "left").drop("_score")
+    return joined.withColumn(
         "score_0_100", clip(F.coalesce(F.col("percentile"), F.col(score) * 100.0), 0.0, 100.0)
     )
 

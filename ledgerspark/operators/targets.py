@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerspark.config import WEIGHT_SETS, TargetConfig
 from ledgerspark.functions.numeric import clip, col_or_null, safe_ratio_clip
 from ledgerspark.operators.ranking import ROWS_PER_RANGE, average_ranks, dense_rank_desc
+from ledgerspark.session import materialise
 from ledgerspark.sources.tables import require_columns
 
 COMPONENTS = ("sales_efficiency", "retention", "conversion", "momentum", "active_clients")
@@ -57,10 +58,12 @@ def normalised_components(
     counted before the ranking, and missing values never reach the join.
     """
     parts = success_components(df)
-    rows = df.select(
+    # The narrow signal table is read three times below (cut points, counts, join): written once.
+    narrow = materialise(df.select(id_col, *[parts[n].alias(n) for n in names]), "signals")
+    rows = narrow.select(
         id_col,
         F.inline(F.array(*[
-            F.struct(F.lit(n).alias("component"), parts[n].alias("raw")) for n in names
+            F.struct(F.lit(n).alias("component"), F.col(n).alias("raw")) for n in names
         ])),
     ).filter(F.col("raw").isNotNull())
     ranks = average_ranks(rows, "raw", ["component"], rows_per_range=rows_per_range)
@@ -97,10 +100,13 @@ def composite_score(
 
 def build_targets(
     companies: DataFrame, cfg: TargetConfig = TargetConfig(), id_col: str = "CompanyID",
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int = ROWS_PER_RANGE, with_rank: bool = True,
 ) -> DataFrame:
     """Companies with CompanyIsActive, SuccessScore and SuccessScoreRank (1 = best)."""
     score = composite_score(companies, id_col, dict(cfg.weights), rows_per_range=rows_per_range)
+    if not with_rank:
+        return binary_target(companies, cfg=cfg).join(score, id_col, "left")
+    score = materialise(score, "scores")
     # Scores are rounded before ranking so that equal sums added in another order stay equal.
     ranked = dense_rank_desc(
         score.withColumn("_s", F.round("SuccessScore", 12)), "_s", "SuccessScoreRank", rows_per_range
@@ -122,6 +128,7 @@ def weight_sensitivity(
     scores = long.groupBy(id_col).agg(*[
         _weighted(dict(zip(COMPONENTS, weight_sets[n]))).alias(n) for n in names
     ])
+    scores = materialise(scores, "weighted")
     rows = scores.select(id_col, F.inline(F.array(*[
         F.struct(F.lit(n).alias("config"), F.round(F.col(n), 12).alias("score")) for n in names
     ]))).filter(F.col("score").isNotNull())
