@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("billing", "portfolio", "profile", "quality", "evaluation", "credit")
+AREAS = ("billing", "portfolio", "profile", "quality", "evaluation", "credit", "models")
 
 
 def load_all() -> None:

@@ -204,7 +204,7 @@ def id_set_algebra(left: DataFrame, right: DataFrame, id_col: str) -> DataFrame:
 
 def claimed_vs_actual(owners: DataFrame, bridge: DataFrame, claimed: str = "ActiveCompanies") -> DataFrame:
     """Claimed against linked member counts: exact and within-one share, median gap, means."""
-    from ledgerspark.operators.profile import _side_by_side
+    from ledgerspark.operators.profile import side_by_side
     from ledgerspark.operators.quality import claimed_sizes
     from ledgerspark.operators.ranking import exact_quantiles
 
@@ -216,7 +216,7 @@ def claimed_vs_actual(owners: DataFrame, bridge: DataFrame, claimed: str = "Acti
         F.avg("claimed").alias("mean_claimed"),
         F.avg("linked").alias("mean_linked"),
     )
-    return _side_by_side(base, exact_quantiles(sized, "gap", {"median_gap": 0.5}).drop("n_valid"))
+    return side_by_side(base, exact_quantiles(sized, "gap", {"median_gap": 0.5}).drop("n_valid"))
 
 
 def prepare_model_frame(matrix: DataFrame, numeric: list[str], categorical: list[str], keep: list[str] = ()) -> DataFrame:

@@ -117,7 +117,7 @@ def _quantiles(
     return one.select(*[F.col("_q")[i].cast("double").alias(name) for i, name in enumerate(probs)])
 
 
-def _side_by_side(*ones: DataFrame) -> DataFrame:
+def side_by_side(*ones: DataFrame) -> DataFrame:
     """One-row summaries next to each other, as scalar subqueries of the first."""
     base = ones[0]
     extra = {}
@@ -154,7 +154,7 @@ def profile_invoices(
     depth_q = _quantiles(
         per_customer, "n", {"invoices_p50": 0.5, "invoices_p75": 0.75, "invoices_p95": 0.95}, exact
     )
-    return _side_by_side(base, amounts, same_day, depth, depth_q)
+    return side_by_side(base, amounts, same_day, depth, depth_q)
 
 
 def profile_events(
@@ -182,7 +182,7 @@ def profile_events(
         lengths, "gap_days", {"gap_p25": 0.25, "gap_p50": 0.5, "gap_p75": 0.75, "gap_p90": 0.9},
         extra=[(F.sum(F.col("cnt") * F.col("gap_days")) / total).alias("gap_mean")],
     ).withColumnRenamed("n_valid", "n_gaps")
-    return _side_by_side(base, amount_q, depth, depth_q, gap_q)
+    return side_by_side(base, amount_q, depth, depth_q, gap_q)
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -279,7 +279,7 @@ def portfolio_size_stats(bridge: DataFrame, owner: str = "LandLordID", member: s
     quart = exact_quantiles(sizes, "n_companies", {"size_p25": 0.25, "size_p50": 0.5, "size_p75": 0.75}).drop("n_valid")
     links = bridge.agg(F.count(F.lit(1)).alias("total_links"))
     members = bridge.select(member).distinct().agg(F.count(member).alias("unique_members"))
-    return _side_by_side(base, quart, links, members)
+    return side_by_side(base, quart, links, members)
 
 
 def size_buckets(bridge: DataFrame, owner: str = "LandLordID", member: str = "CompanyID") -> DataFrame:
