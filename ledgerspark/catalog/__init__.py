@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("billing", "portfolio", "profile", "quality", "evaluation", "credit", "models")
+AREAS = ("billing", "portfolio", "profile", "quality", "evaluation", "credit", "models", "streams")
 
 
 def load_all() -> None:

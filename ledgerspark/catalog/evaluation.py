@@ -195,9 +195,12 @@ def psi(spark, sf):
     return rounded(DR.psi_long(events.filter(early), events.filter(~early)), 6, ["psi"])
 
 
-@query("drift_report", f"""WITH src AS (SELECT *, (l_shipdate < TIMESTAMP '1998-07-01')::INT AS is_ref FROM lineitem),
+DRIFT_SQL = f"""WITH src AS (SELECT *, (l_shipdate < TIMESTAMP '1998-07-01')::INT AS is_ref FROM lineitem),
 lg AS (SELECT 'l_quantity' AS feature, l_quantity AS value, is_ref FROM src UNION ALL SELECT 'l_extendedprice', l_extendedprice, is_ref FROM src
-  UNION ALL SELECT 'l_discount', l_discount, is_ref FROM src UNION ALL SELECT 'l_tax', l_tax, is_ref FROM src), {PSI_TAIL}
+  UNION ALL SELECT 'l_discount', l_discount, is_ref FROM src UNION ALL SELECT 'l_tax', l_tax, is_ref FROM src), {PSI_TAIL}"""
+
+
+@query("drift_report", f"""{DRIFT_SQL}
 SELECT feature, round(v, 4) AS psi, CASE WHEN v < 0.1 THEN 'stable' WHEN v < 0.25 THEN 'moderate' ELSE 'significant' END AS drift FROM p""")
 def drift_report(spark, sf):
     lines = D.table(spark, sf, "lineitem")
@@ -206,6 +209,7 @@ def drift_report(spark, sf):
         lines.filter(early), lines.filter(~early), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
-@query("drift_action", "SELECT 0::BIGINT AS n_significant_drift, 'none' AS action FROM lineitem LIMIT 1")
+@query("drift_action", f"""{DRIFT_SQL}
+SELECT count(*) FILTER (WHERE v >= 0.25) AS n_significant_drift, CASE WHEN count(*) FILTER (WHERE v >= 0.25) > 0 THEN 'retrain' ELSE 'none' END AS action FROM p""")
 def drift_action(spark, sf):
     return DR.drift_action(drift_report(spark, sf))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerspark.functions.numeric import nan_to_null
 from ledgerspark.operators.profile import long_form
 from ledgerspark.operators.ranking import ROWS_PER_RANGE, exact_quantiles
+from ledgerspark.session import materialise
 
 STABLE, SIGNIFICANT = 0.1, 0.25
 
@@ -35,33 +36,44 @@ def reference_edges(
     return q.select(feature, inner.alias("edges"), F.size(every).alias("n_edges"))
 
 
-def psi_long(
-    reference: DataFrame, actual: DataFrame, n_bins: int = 10, eps: float = 1e-6,
-    edges: DataFrame | None = None, rows_per_range: int = ROWS_PER_RANGE,
-) -> DataFrame:
-    """(feature, value) rows of both sides -> psi per feature of the reference.
+def known_values(rows: DataFrame) -> DataFrame:
+    return rows.filter(nan_to_null(F.col("value")).isNotNull())
 
-    The edges table has one row per feature and is broadcast; both sides are then binned and counted
-    in one aggregation. Bins are listed from the edges, so a bin empty on one side still counts.
-    """
-    ref = reference.filter(nan_to_null(F.col("value")).isNotNull())
-    act = actual.filter(nan_to_null(F.col("value")).isNotNull())
-    edges = reference_edges(ref, n_bins, rows_per_range=rows_per_range) if edges is None else edges
-    both = ref.select("feature", "value", F.lit(1).alias("is_ref")).unionByName(
-        act.select("feature", "value", F.lit(0).alias("is_ref"))
-    )
+
+def bin_counts(rows: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, feature, bin, n): rows per bin. The edges table has one row per feature and is broadcast."""
     bin_of = F.aggregate("edges", F.lit(0), lambda n, e: n + F.when(F.col("value") >= e, 1).otherwise(0))
-    counts = both.join(F.broadcast(edges), "feature").groupBy("feature", bin_of.alias("bin")).agg(
-        F.sum("is_ref").alias("r"), F.sum(F.lit(1) - F.col("is_ref")).alias("a")
+    return known_values(rows).join(F.broadcast(edges), "feature").groupBy(*keys, "feature", bin_of.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n")
     )
+
+
+def psi_of_counts(
+    edges: DataFrame, ref: DataFrame, act: DataFrame, eps: float = 1e-6, keys: Sequence[str] = ()
+) -> DataFrame:
+    """psi per (keys, feature) from bin counts of both sides; keys belong to the actual side.
+
+    Bins are listed from the edges, so a bin empty on one side still counts. All inputs are bounded by
+    features x bins (x keys such as weeks).
+    """
+    keys = list(keys)
     bins = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"), "n_edges")
-    totals = counts.groupBy("feature").agg(F.sum("r").alias("tr"), F.sum("a").alias("ta"))
-    # Bins and totals are bounded by features x bins.
-    table = bins.join(F.broadcast(counts), ["feature", "bin"], "left").join(F.broadcast(totals), "feature")
+    if keys:
+        bins = act.select(*keys, "feature").distinct().join(F.broadcast(bins), "feature")
+    r = ref.select("feature", "bin", F.col("n").alias("r"))
+    a = act.select(*keys, "feature", "bin", F.col("n").alias("a"))
+    tr = r.groupBy("feature").agg(F.sum("r").alias("tr"))
+    ta = a.groupBy(*keys, "feature").agg(F.sum("a").alias("ta"))
+    table = (
+        bins.join(F.broadcast(r), ["feature", "bin"], "left")
+        .join(F.broadcast(a), [*keys, "feature", "bin"], "left")
+        .join(F.broadcast(tr), "feature", "left")
+        .join(F.broadcast(ta), [*keys, "feature"], "left")
+    )
     share = lambda c, t: F.greatest(F.try_divide(F.coalesce(F.col(c), F.lit(0)), F.col(t)), F.lit(eps))
-    r, a = share("r", "tr"), share("a", "ta")
-    total = F.sum((a - r) * F.ln(a / r))
-    return table.groupBy("feature").agg(
+    rs, as_ = share("r", "tr"), share("a", "ta")
+    total = F.sum((as_ - rs) * F.ln(as_ / rs))
+    return table.groupBy(*keys, "feature").agg(
         F.when(
             (F.max("tr") > 0) & (F.max("ta") > 0),
             F.when(F.max("n_edges") < 2, F.lit(0.0)).otherwise(total),
@@ -69,6 +81,17 @@ def psi_long(
     )
 
 
+def psi_long(
+    reference: DataFrame, actual: DataFrame, n_bins: int = 10, eps: float = 1e-6,
+    edges: DataFrame | None = None, rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """(feature, value) rows of both sides -> psi per feature of the reference."""
+    if edges is None:
+        # A few numbers per feature, used on both sides: written once.
+        edges = materialise(reference_edges(known_values(reference), n_bins, rows_per_range=rows_per_range), "edges")
+    return psi_of_counts(edges, bin_counts(reference, edges), bin_counts(actual, edges), eps)
+
+
 def psi(reference: DataFrame, actual: DataFrame, column: str, n_bins: int = 10, **kw) -> DataFrame:
     return psi_long(
         long_form(reference, [column], "double", "feature"), long_form(actual, [column], "double", "feature"), n_bins, **kw
