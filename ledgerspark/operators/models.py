@@ -155,12 +155,22 @@ def fit_severity(
 
 @dataclass
 class Baseline:
+    """A fitted baseline as plain numbers. Scoring is one column expression inside codegen."""
+
     features: list[str]
-    pipeline: PipelineModel
+    medians: list[float]
+    means: list[float]
+    weights: list[float]
+    bias: float
+
+    def filled(self, name: str) -> Column:
+        return F.coalesce(F.col(name).cast("double"), F.lit(self.medians[self.features.index(name)]))
 
     def predict(self, df: DataFrame, out: str = "baseline_prob") -> DataFrame:
-        scored = self.pipeline.transform(as_double(df, self.features))
-        return scored.withColumn(out, vector_to_array("probability")[1]).select(*df.columns, out)
+        z = F.lit(self.bias)
+        for name, mean, weight in zip(self.features, self.means, self.weights):
+            z = z + F.lit(weight) * (self.filled(name) - F.lit(mean))
+        return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
 
 
 def fit_logistic_baseline(
@@ -184,7 +194,12 @@ def fit_logistic_baseline(
         LogisticRegression(
             labelCol="_y", weightCol="_w", maxIter=max_iter, regParam=1.0 / (c * (pos + neg)), standardization=False),
     ]
-    return Baseline(list(features), Pipeline(stages=stages).fit(rows))
+    imputer, _, scaler, lr = Pipeline(stages=stages).fit(rows).stages
+    medians = imputer.surrogateDF.first().asDict()
+    weights = [float(w / s) if s else 0.0 for w, s in zip(lr.coefficients.toArray(), scaler.std.toArray())]
+    return Baseline(
+        list(features), [float(medians[f]) for f in features], [float(m) for m in scaler.mean.toArray()], weights,
+        float(lr.intercept))
 
 
 def with_expected_loss(df: DataFrame, freq: Frequency, sev: Severity, p: str = "churn_prob", out: str = "expected_loss") -> DataFrame:
@@ -360,12 +375,8 @@ def linear_contributions(
 
 def logistic_contributions(df: DataFrame, model: Baseline) -> DataFrame:
     """Exact additive contributions to the log-odds of a fitted baseline, missing values at the median."""
-    imputer, _, scaler, lr = model.pipeline.stages
-    medians = imputer.surrogateDF.first().asDict()
-    std = scaler.std.toArray()
-    weights = [w / s if s else 0.0 for w, s in zip(lr.coefficients.toArray(), std)]
-    filled = df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(float(medians[f]))) for f in model.features})
-    return linear_contributions(filled, model.features, weights, scaler.mean.toArray())
+    full = df.withColumns({f: model.filled(f) for f in model.features})
+    return linear_contributions(full, model.features, model.weights, model.means)
 
 
 def tree_table(model, spark: SparkSession) -> pd.DataFrame:
