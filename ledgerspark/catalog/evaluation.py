@@ -127,7 +127,7 @@ def residual_summary(spark, sf):
 
 N_BOOT = 40
 BOOT_SQL = f"""{SC}, rep AS (SELECT unnest(generate_series(0, {N_BOOT})) AS replicate),
-u AS (SELECT scored.*, replicate, CAST('0x' || substr(md5('42|' || replicate || '|' || id), 1, 8) AS UBIGINT) / 4294967296.0::DOUBLE AS u FROM scored, rep),
+u AS (SELECT scored.*, replicate, CASE WHEN replicate = 0 THEN 0 ELSE CAST('0x' || substr(md5('42|' || ((replicate - 1) // 4) || '|' || id), 1 + 8 * ((replicate - 1) % 4), 8) AS UBIGINT) / 4294967296.0::DOUBLE END AS u FROM scored, rep),
 drawn AS (SELECT *, CASE WHEN replicate = 0 THEN 1 ELSE {poisson1_sql('u')} END AS w FROM u)"""
 BOOT_TAIL = """SELECT round(max(b) FILTER (WHERE replicate = 0), 4) AS base, round(max(t) FILTER (WHERE replicate = 0), 4) AS treatment,
   round(max(t - b) FILTER (WHERE replicate = 0), 4) AS delta, round(quantile_cont(t - b, 0.025) FILTER (WHERE replicate > 0), 4) AS ci_low,

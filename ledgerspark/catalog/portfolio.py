@@ -272,9 +272,9 @@ shrunk AS (SELECT LandLordID, count(*) AS TenantCount, avg(res) AS RawAdjustedSc
 
 
 @query("entity_shrunk_score", f"""WITH {RESIDUAL_SQL}
-SELECT LandLordID, TenantCount, round(RawAdjustedScore, 6) AS RawAdjustedScore, round(AdjustedScore, 6) AS AdjustedScore FROM shrunk""")
+SELECT LandLordID, TenantCount, round(RawAdjustedScore, 10) AS RawAdjustedScore, round(AdjustedScore, 10) AS AdjustedScore FROM shrunk""")
 def entity_shrunk_score(spark, sf):
-    return rounded(P.entity_shrunk_score(scored_base(spark, sf)), 6, ["RawAdjustedScore", "AdjustedScore"])
+    return rounded(P.entity_shrunk_score(scored_base(spark, sf)), 10, ["RawAdjustedScore", "AdjustedScore"])
 
 
 @query("build_landlord_matrix", f"""WITH {RESIDUAL_SQL}, {LANDLORD_FEATURE_SQL}

@@ -23,21 +23,27 @@ def fold(key: Column, k: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(k)).cast("int")
 
 
-def poisson1(u: Column, top: int = 8) -> Column:
-    """Poisson(1) draw by inversion of a uniform number."""
-    total = 0.0
-    out = None
+def _poisson_steps(top: int) -> list[float]:
+    total, out = 0.0, []
     for k in range(top):
         total += math.exp(-1.0) / math.factorial(k)
-        out = F.when(u < F.lit(total), F.lit(k)) if out is None else out.when(u < F.lit(total), F.lit(k))
+        out.append(total)
+    return out
+
+
+def poisson1_of_hex(digits: Column, top: int = 8) -> Column:
+    """Poisson(1) draw by inversion of eight hex digits read as a number in [0, 1).
+
+    Fixed-length hex text orders like the number, so the digits are compared as they are.
+    """
+    out = None
+    for k, total in enumerate(_poisson_steps(top)):
+        below = digits < F.lit(format(math.ceil(total * 4294967296.0), "08x"))
+        out = F.when(below, F.lit(k)) if out is None else out.when(below, F.lit(k))
     return out.otherwise(F.lit(top))
 
 
 def poisson1_sql(u: str, top: int = 8) -> str:
-    """The same inversion as SQL text, for checks in another engine."""
-    total = 0.0
-    parts = []
-    for k in range(top):
-        total += math.exp(-1.0) / math.factorial(k)
-        parts.append(f"WHEN {u} < {total!r} THEN {k}")
+    """The same inversion of a number u as SQL text, for checks in another engine."""
+    parts = [f"WHEN {u} < {total!r} THEN {k}" for k, total in enumerate(_poisson_steps(top))]
     return "CASE " + " ".join(parts) + f" ELSE {top} END"

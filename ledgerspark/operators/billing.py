@@ -315,7 +315,7 @@ def interval_label_confidence(stats: DataFrame, cfg: IntervalConfig = IntervalCo
         .otherwise(clip(F.lit(0.3) * regular, 0.05, 0.4))
     )
     return stats.withColumns({
-        "billing_interval": label, "interval_confidence": F.bround(confidence, 4),
+        "billing_interval": label, "interval_confidence": F.rint(confidence * 10000.0) / 10000.0,
     })
 
 

@@ -75,7 +75,7 @@ def threshold_sweep(
 
     Rows are first counted per (P class, confidence class), where the classes are cut exactly at the
     grid values; every grid point is then a sum over a few dozen cells. The rows are read once, and
-    their number is never multiplied by the grid.
+    only the cells are handed to the grid points.
     """
     def cell(c: Column, cuts: Sequence[float]) -> Column:
         # 2 x index of the cut below, +1 when strictly above it: ordered, and exact at the cuts.
@@ -91,29 +91,31 @@ def threshold_sweep(
     grid = [
         (c, g, m) for m, c, g in product(min_conf_grid, continue_grid, nogo_grid) if c < g
     ]
-    aggs, rows = [F.sum("k").alias("n")], []
-    for i, (cont, nogo, low) in enumerate(grid):
-        sure = F.col("cc") >= 2 * c_cuts.index(low) + 1
-        at_most = F.col("pc") <= 2 * p_cuts.index(cont) + 1
-        at_least = F.col("pc") >= 2 * p_cuts.index(nogo) + 1
-        zero = F.lit(0)
-        aggs += [
-            F.coalesce(F.sum(F.when(sure & at_most, F.col("k"))), zero).alias(f"c{i}"),
-            F.coalesce(F.sum(F.when(sure & at_least & ~at_most, F.col("k"))), zero).alias(f"g{i}"),
-        ]
-        c, g = F.col(f"c{i}"), F.col(f"g{i}")
-        default = (
-            abs(cont - cfg.continue_max_risk) < 1e-9 and abs(nogo - cfg.nogo_min_risk) < 1e-9
-            and abs(low - cfg.min_interval_confidence) < 1e-9
-        )
-        rows.append(F.struct(
+    points = F.array(*[
+        F.struct(
             F.lit(float(cont)).alias("continue_max_risk"), F.lit(float(nogo)).alias("nogo_min_risk"),
-            F.lit(float(low)).alias("min_interval_confidence"), F.col("n"),
-            c.alias("continue_n"), (F.col("n") - c - g).alias("review_n"), g.alias("nogo_n"),
-            pct(c, F.col("n")).alias("continue_pct"), pct(F.col("n") - c - g, F.col("n")).alias("review_pct"),
-            pct(g, F.col("n")).alias("nogo_pct"), F.lit(default).alias("is_config_default"),
-        ))
-    return cells.agg(*aggs).select(F.inline(F.array(*rows)))
+            F.lit(float(low)).alias("min_interval_confidence"),
+            F.lit(2 * p_cuts.index(cont) + 1).alias("_c"), F.lit(2 * p_cuts.index(nogo) + 1).alias("_g"),
+            F.lit(2 * c_cuts.index(low) + 1).alias("_m"),
+            F.lit(
+                abs(cont - cfg.continue_max_risk) < 1e-9 and abs(nogo - cfg.nogo_min_risk) < 1e-9
+                and abs(low - cfg.min_interval_confidence) < 1e-9
+            ).alias("is_config_default"),
+        )
+        for cont, nogo, low in grid
+    ])
+    handed = cells.select("pc", "cc", "k", F.inline(points))
+    sure = F.col("cc") >= F.col("_m")
+    calm, risky = F.col("pc") <= F.col("_c"), F.col("pc") >= F.col("_g")
+    names = ["continue_max_risk", "nogo_min_risk", "min_interval_confidence", "is_config_default"]
+    counted = handed.groupBy(*names).agg(
+        F.sum("k").alias("n"),
+        F.coalesce(F.sum(F.when(sure & calm, F.col("k"))), F.lit(0)).alias("continue_n"),
+        F.coalesce(F.sum(F.when(sure & risky & ~calm, F.col("k"))), F.lit(0)).alias("nogo_n"),
+    ).withColumn("review_n", F.col("n") - F.col("continue_n") - F.col("nogo_n"))
+    return counted.withColumns({
+        f"{side}_pct": pct(F.col(f"{side}_n"), F.col("n")) for side in ("continue", "review", "nogo")
+    })
 
 
 def dual_model_summary(scored: DataFrame) -> DataFrame:

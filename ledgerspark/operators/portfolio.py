@@ -100,14 +100,18 @@ def portfolio_features(model_base: DataFrame) -> DataFrame:
 def entity_shrunk_score(
     rows: DataFrame, residual: str = "OOFResidual", m: float = PortfolioConfig.shrinkage_m
 ) -> DataFrame:
-    """Mean residual per owner shrunk to the global mean; the global mean is a scalar subquery."""
+    """Mean residual per owner shrunk to the global mean.
+
+    The global mean is taken from the owner sums, so the scalar subquery reuses their shuffle instead
+    of reading the rows again.
+    """
     known = rows.filter(F.col(residual).isNotNull())
-    overall = known.agg(F.avg(residual).alias("g")).scalar()
-    per = known.groupBy(OWNER).agg(F.count(residual).alias("TenantCount"), F.avg(residual).alias("RawAdjustedScore"))
+    per = known.groupBy(OWNER).agg(F.count(residual).alias("TenantCount"), F.sum(residual).alias("_sum"))
+    overall = per.agg(F.sum("_sum") / F.sum("TenantCount")).scalar()
     n = F.col("TenantCount").cast("double")
-    raw = F.col("RawAdjustedScore")
+    raw = F.col("_sum") / n
     shrunk = raw if m == 0 else n / (n + m) * raw + F.lit(float(m)) / (n + m) * overall
-    return per.withColumn("AdjustedScore", shrunk)
+    return per.select(OWNER, "TenantCount", raw.alias("RawAdjustedScore"), shrunk.alias("AdjustedScore"))
 
 
 def build_landlord_matrix(

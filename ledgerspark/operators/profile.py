@@ -222,23 +222,31 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Per numeric column: count, mean, std, min, exact quartiles, max, sample skew and excess kurtosis."""
+    """Per numeric column: count, mean, std, min, exact quartiles, max, sample skew and excess kurtosis.
+
+    The moments are one wide aggregation; only the quartiles need the (column, value) form.
+    """
     cols = list(columns) if columns is not None else numeric_columns(df)
+    aggs, out = [], []
+    for i, c in enumerate(cols):
+        v = nan_to_null(F.col(f"`{c}`").cast("double"))
+        parts = {
+            "n": F.count(v), "m": F.avg(v), "sd": F.stddev_samp(v), "lo": F.min(v), "hi": F.max(v), "vp": F.var_pop(v),
+            "sk": F.skewness(v), "ku": F.kurtosis(v),
+        }
+        aggs += [expr.alias(f"{k}{i}") for k, expr in parts.items()]
+        g = lambda k, i=i: F.col(f"{k}{i}")
+        n = g("n").cast("double")
+        out.append({
+            "column": F.lit(c), "count": g("n"), "mean": g("m"), "std": g("sd"), "min": g("lo"), "max": g("hi"),
+            "skew": F.when((n > 2) & (g("vp") > 0), g("sk") * F.sqrt(n * (n - 1)) / (n - 2)),
+            "kurtosis": F.when((n > 3) & (g("vp") > 0), ((n + 1) * g("ku") + 6) * (n - 1) / ((n - 2) * (n - 3))),
+        })
     rows = long_form(df, cols, "double")
     rows = rows.withColumn("value", nan_to_null(F.col("value"))).filter(F.col("value").isNotNull())
-    n = F.count("value").cast("double")
-    moments = rows.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        F.when((n > 2) & (F.var_pop("value") > 0), F.skewness("value") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
-        F.when(
-            (n > 3) & (F.var_pop("value") > 0),
-            ((n + 1) * F.kurtosis("value") + 6) * (n - 1) / ((n - 2) * (n - 3)),
-        ).alias("kurtosis"),
-    )
     quartiles = exact_quantiles(rows, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column"]).drop("n_valid")
     # One row per column on both sides.
-    return moments.join(F.broadcast(quartiles), "column", "left")
+    return wide_to_rows(df.agg(*aggs), out).join(F.broadcast(quartiles), "column", "left")
 
 
 def category_summary(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.hashing import poisson1, unit
+from ledgerspark.functions.hashing import poisson1_of_hex
 from ledgerspark.operators.metrics import curve_metrics
 from ledgerspark.operators.ranking import ROWS_PER_RANGE, global_positions, running_totals
 
@@ -16,14 +16,23 @@ def replicate_weights(df: DataFrame, id_col: str, n_boot: int, seed: int) -> Dat
     """Rows once per replicate with a Poisson(1) weight, plus replicate 0 with weight 1 (all rows).
 
     The draw depends on (seed, replicate, id) only, so both models see the same resample and a retried
-    task draws the same numbers. Weight-0 rows are dropped at once. Row-local: the blow-up is n_boot
-    times the rows and is folded again by the map-side aggregation that follows.
+    task draws the same numbers. One md5 serves four replicates. Weight-0 rows are dropped at once.
+    Row-local: the blow-up is n_boot times the rows and is folded again by the map-side aggregation
+    that follows.
     """
-    rep = F.explode(F.sequence(F.lit(0), F.lit(n_boot)))
-    drawn = df.withColumn("replicate", rep)
-    u = unit(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(id_col).cast("string")))
-    w = F.when(F.col("replicate") == 0, F.lit(1)).otherwise(poisson1(u))
-    return drawn.withColumn("w", w.cast("double")).filter(F.col("w") > 0)
+    blocks = -(-n_boot // 4)
+    hashed = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
+        "_md5", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), F.col(id_col).cast("string")))
+    )
+    draw = lambda number, w: F.struct(number.cast("int").alias("replicate"), w.cast("double").alias("w"))
+    drawn = [
+        draw(F.col("_block") * 4 + 1 + j, poisson1_of_hex(F.substring("_md5", 1 + 8 * j, 8))) for j in range(4)
+    ]
+    whole = F.when(F.col("_block") == 0, F.array(draw(F.lit(0), F.lit(1.0)))).otherwise(F.array().cast("array<struct<replicate:int,w:double>>"))
+    return (
+        hashed.select(*df.columns, F.inline(F.concat(whole, F.array(*drawn))))
+        .filter((F.col("w") > 0) & (F.col("replicate") <= n_boot))
+    )
 
 
 def bootstrap_summary(reps: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
