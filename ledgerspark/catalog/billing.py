@@ -106,6 +106,12 @@ def load_invoices(spark, sf):
     )
 
 
+@query("cap_rows", f"""WITH {INVOICES_SQL}
+SELECT customerid, date, amount FROM invoices ORDER BY customerid, date, amount LIMIT 2000""")
+def cap_rows(spark, sf):
+    return I.cap_rows(D.invoices(spark, sf).select("customerid", "date", "amount"), 2000)
+
+
 @query("same_day_events", f"""WITH {EVENTS_SQL}
 SELECT customerid, date, round(event_amount, 2) AS event_amount, n_invoices FROM events_d""")
 def same_day_events(spark, sf):

@@ -306,7 +306,24 @@ def explain_interval(spark, sf):
         F.regexp_extract("text", r"(across \d+ observed cycle\(s\))", 1).alias("cycles"))
 
 
-@query("explain_decision")
+def _phrase_sql(column: str) -> str:
+    from ledgerspark.functions.lookups import INTERVAL_PHRASES
+
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in INTERVAL_PHRASES.items()) + " END"
+
+
+WHOLE = "printf('%.0f%%', round_even({c} * 100, 0))"
+
+
+@query("explain_decision", f"""WITH {RISK_SQL}, d AS (SELECT *, CASE WHEN conf < 0.5 THEN 'low' WHEN p <= 0.45 THEN 'Continue' WHEN p >= 0.7 THEN 'No-Go' ELSE 'Review' END AS k,
+  {WHOLE.format(c='p')} AS pt, {WHOLE.format(c='conf')} AS ct, CASE WHEN p <= 0.3 THEN 'low' WHEN p < 0.7 THEN 'elevated' ELSE 'high' END AS risk FROM rk),
+b AS (SELECT *, 'Using the model **with interval features**, predicted chance of dollar churn is **' || pt || '** (' || risk || ' risk)' AS base,
+  'interval confidence (' || ct || ') is high enough to auto-decide, so the recommendation is ' AS sure FROM d)
+SELECT customerid, snapshot_date, CASE k WHEN 'low' THEN 'We recommended **Review** (with interval features) because the billing-cycle signal is too uncertain (confidence ' || ct || ' for “' || {_phrase_sql('billing_interval')}
+   || '”). Thin or ambiguous history is treated as a data-quality issue — we do not auto Continue or auto No-Go until the cycle is clearer.'
+  WHEN 'Continue' THEN base || '. That sits below the Continue threshold, and ' || sure || '**Continue** — proceed with onboarding.'
+  WHEN 'No-Go' THEN base || '. That sits above the No-Go threshold, and ' || sure || '**No-Go** — decline or escalate for credit risk.'
+  ELSE base || '. That sits between the Continue and No-Go bands (or still needs analyst judgment), so the recommendation is **Review**.' END AS explanation FROM b""")
 def explain_decision(spark, sf):
     rows = risk_rows(spark, sf).withColumn("d", DE.decide(F.col("churn_prob"), F.col("interval_confidence")))
     text = X.explain_decision(
@@ -358,6 +375,19 @@ def enrich_driver(spark, sf):
     return long.withColumn("e", X.enrich_driver(F.col("d"))).select("LandLordID", "e.feature", "e.direction", "e.negligible")
 
 
+@query("explain_drivers", """SELECT c_custkey, 'Overall risk tier: **' || CASE WHEN c_custkey % 100 >= 70 THEN 'High risk' WHEN c_custkey % 100 <= 45 THEN 'Low risk' ELSE 'Medium risk' END
+  || '**. The single biggest driver is **' || CASE WHEN c_custkey % 7 + 1 >= c_custkey % 5 + 1 THEN 'days since last invoice** , which is currently **raising' ELSE 'flag: monthly cadence** , which is currently **lowering' END
+  || '** churn risk. Factors pushing risk up: days since last invoice (value ' || c_custkey || '). Factors pulling risk down: flag: monthly cadence (value yes).' AS told FROM customer""".replace("** ,", "**,"))
+def explain_drivers(spark, sf):
+    k = F.col("c_custkey")
+    rows = D.table(spark, sf, "customer").select(
+        k,
+        F.array(F.struct(F.lit("recency_days").alias("feature"), ((F.pmod(k, F.lit(7)) + 1) / 10.0).alias("contribution"), k.cast("double").alias("value"))).alias("ups"),
+        F.array(F.struct(F.lit("is_monthly").alias("feature"), (-(F.pmod(k, F.lit(5)) + 1) / 10.0).alias("contribution"), F.lit(1.0).alias("value"))).alias("downs"))
+    tier = DE.risk_tier_label(F.pmod(k, F.lit(100)) / 100.0)
+    return rows.select(k, X.explain_drivers(tier, F.col("ups"), F.col("downs"), F.lit(True)).alias("told"))
+
+
 def banded(spark, sf):
     # Read as scores, as reference and for the case pick: written once.
     scores = materialise(shrunk(spark, sf), "scores")

@@ -77,6 +77,13 @@ def classify_gap(gap: Column, cfg: IntervalConfig = IntervalConfig()) -> Column:
     return F.when(best["err"] <= cfg.match_tolerance, best["name"])
 
 
+def _between(events: DataFrame, first: dt.date | None, end: dt.date) -> DataFrame:
+    """Only the dates any snapshot can use. On the grouping key, so it reaches the scan."""
+    day = F.to_date(DATE)
+    events = events.filter(day < F.lit(end))
+    return events if first is None else events.filter(day >= F.lit(first))
+
+
 def customer_days(events: DataFrame, daily: bool = False) -> DataFrame:
     """Events folded to the calendar day: counts and mergeable amount moments.
 
@@ -154,7 +161,7 @@ def core_features(
 ) -> DataFrame:
     """Revenue, frequency and trend features per (customer, snapshot), from earlier events only."""
     past, recent, prior, _ = _windows(churn)
-    per = customer_days(events, daily).withColumn(
+    per = customer_days(_between(events, None, max(snapshots)), daily).withColumn(
         "snapshot_date", F.explode(F.array(*[F.lit(s) for s in snapshots]))
     ).filter(past)
     sums = core_sums(past, recent, prior)
@@ -173,7 +180,10 @@ def churn_labels(
 ) -> DataFrame:
     """Dollar-churn labels of customers with revenue in the year before the snapshot."""
     _, recent, _, future = _windows(churn)
-    per = customer_days(events, daily).withColumn(
+    width = dt.timedelta(days=churn.outcome_window_days)
+    used = _between(
+        events, min(snapshots) - width, max(snapshots) + width + dt.timedelta(days=churn.grace_days))
+    per = customer_days(used, daily).withColumn(
         "snapshot_date", F.explode(F.array(*[F.lit(s) for s in snapshots]))
     ).filter(recent | future)
     sums = per.groupBy(CUSTOMER, "snapshot_date").agg(
@@ -205,7 +215,8 @@ def interval_features(
     history before the snapshot; later revenue only reaches future_rev, which feeds the labels.
     """
     w = Window.partitionBy(CUSTOMER).orderBy("d")
-    days = customer_days(events, daily).withColumns({
+    ahead = dt.timedelta(days=churn.outcome_window_days + churn.grace_days)
+    days = customer_days(_between(events, None, max(snapshots) + ahead), daily).withColumns({
         "step": F.date_diff("d", F.lag("d").over(w)).cast("double"),
         "pivot": F.first("mean").over(w),
     })
@@ -329,7 +340,7 @@ def infer_intervals(
     events: DataFrame, snapshots: Sequence[dt.date], cfg: IntervalConfig = IntervalConfig(), daily: bool = False
 ) -> DataFrame:
     """Billing interval, confidence and diagnostics per (customer, snapshot)."""
-    full = interval_features(events, snapshots, cfg, daily=daily)
+    full = interval_features(_between(events, None, max(snapshots)), snapshots, cfg, daily=daily)
     return full.select(CUSTOMER, "snapshot_date", *DIAGNOSTICS)
 
 
@@ -366,7 +377,8 @@ def build_scoring_features(
     daily: bool = False,
 ) -> DataFrame:
     """The same features for raw invoices, without labels and without the cohort filter."""
-    full = interval_features(same_day_events(invoices), snapshots, cfg, churn, daily)
+    past = _between(invoices, None, max(snapshots))
+    full = interval_features(same_day_events(past), snapshots, cfg, churn, daily)
     return one_hots(full.withColumn("recency_days", F.col("days_since_last"))).select(
         CUSTOMER, "snapshot_date", "billing_interval", *feature_columns(), "dominant_base",
     )
