@@ -144,7 +144,7 @@ def classify_gap(spark, sf):
 
 @query("infer_intervals", f"""WITH {INTERVAL_SQL}
 SELECT customerid, snapshot_date, billing_interval, round_even(raw_confidence, 4) AS interval_confidence, n_events,
-  n_gaps, round(median_gap_days, 2) AS median_gap_days, round(gap_cv, 6) AS gap_cv, round(amount_cv, 6) AS amount_cv,
+  n_gaps, round(median_gap_days, 2) AS median_gap_days, round(gap_cv, 8) AS gap_cv, round(amount_cv, 6) AS amount_cv,
   CAST(days_since_last AS INT) AS days_since_last, CAST(tenure_days AS INT) AS tenure_days, dominant_base,
   round(dominant_share, 6) AS dominant_share, n_distinct_bases FROM iv""")
 def infer_intervals(spark, sf):
@@ -154,7 +154,7 @@ def infer_intervals(spark, sf):
 def infer_rounded(spark, sf):
 
     out = B.infer_intervals(daily_events(spark, sf), D.SNAPSHOTS, daily=True)
-    out = rounded(out, 6, ["gap_cv", "amount_cv", "dominant_share"])
+    out = rounded(rounded(out, 8, ["gap_cv"]), 6, ["amount_cv", "dominant_share"])
     return rounded(rounded(out, 2, ["median_gap_days"]), 4, ["interval_confidence"])
 
 
