@@ -10,7 +10,6 @@ from ledgerspark.catalog.registry import query
 from ledgerspark.config import DecisionConfig
 from ledgerspark.functions import text as X
 from ledgerspark.functions.lookups import RISK_TIERS, STATUS_FLAGS
-from ledgerspark.functions.numeric import rounded
 from ledgerspark.operators import billing as B
 from ledgerspark.operators import credit as C
 from ledgerspark.operators import decision as DE

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerspark.functions.hashing import order_key
-from ledgerspark.functions.numeric import TINY, count_if, nan_to_null, pct, safe_div
+from ledgerspark.functions.numeric import TINY, count_if, nan_to_null, pct
 from ledgerspark.operators.ranking import exact_quantiles, quantiles_of_counts, running_totals
 
 
