@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 # Functions of this package travel to executors whole, so it needs no installation there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-OPERATORS = ("decontamination", "mixing", "language_id", "quality_rules", "simhash")
+OPERATORS = ("decontamination", "mixing", "language_id", "toxicity", "quality_rules", "simhash")
 
 
 def load_queries() -> tuple[dict, dict]:
