@@ -136,19 +136,16 @@ def _encoded(index: dict[str, int]):
     return run
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(doc_id, text, label) of rows outside the held-out fold with a label 0 or 1; of several labels the larger counts."""
-    one = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("int").alias("label"))
-    mine = docs.where(F.col(text_col).isNotNull() & (C.fold_of(F.col(id_col), FOLDS) != HELD_OUT))
-    return mine.join(one, F.col(id_col) == F.col("label_id")).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "label")
-
-
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, penalty: float = COUNTERFACTUAL, n_features: int = FEATURES,
           id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on at most `rows_per_class` labelled rows of each class; without both classes, a model of the base rate."""
+    """Fits on at most `rows_per_class` labelled rows of each class; without both classes, a model of the base rate.
+
+    Rows of the held-out fold are not read. Of several labels of a document the larger counts; null labels, other values
+    and labels of unknown documents are ignored.
+    """
     C.bounded_batches(docs.sparkSession)
-    usable = one_label = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
-    usable = one_label.where(C.fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
+    given = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("doc_id"))
+    usable = given.agg(F.max(label_col).cast("int").alias("label")).where(C.fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
     draw = F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("string"))
     sizes = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
     if len(sizes) < 2:
