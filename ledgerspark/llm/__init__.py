@@ -8,7 +8,10 @@ from pyspark import cloudpickle
 # Functions of this package travel to executors whole, so it needs no installation there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-OPERATORS = ("decontamination", "mixing", "language_id", "toxicity", "quality_rules", "html_text", "url_filter", "simhash")
+OPERATORS = (
+    "decontamination", "mixing", "licences", "language_id", "toxicity", "token_output", "quality_rules", "html_text",
+    "url_filter", "simhash",
+)
 
 
 def load_queries() -> tuple[dict, dict]:

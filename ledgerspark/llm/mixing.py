@@ -74,7 +74,7 @@ def targets(sources: DataFrame, share: float = SHARE, max_epochs: float = MAX_EP
 
 def mix(docs: DataFrame, weigh=repeating_weights, share: float = SHARE, max_epochs: float = MAX_EPOCHS, cut: str = "word",
         seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row of docs.
+    """(doc_id, source, key, size, source_size, target, epochs, taken) of every row of docs.
 
     size: words of the text (null: 0); taken: words the mix takes from the row, repeats counted. weigh: function from
     (source, source_size, n_docs) to the same with weight. cut="word" takes whole words up to each target exactly, so one
@@ -120,23 +120,25 @@ def mix(docs: DataFrame, weigh=repeating_weights, share: float = SHARE, max_epoc
     else:
         raise ValueError(f"cut must be 'word' or 'document', not {cut!r}")
     taken = (epochs * F.col("size") + part).cast("bigint")
-    return ahead.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return ahead.select("doc_id", "source", "key", "size", "source_size", "target", epochs.alias("epochs"), taken.alias("taken"))
 
 
-def draw(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as the mix takes them: whole documents, each as often as it is taken, all columns kept.
+def draw(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
+    """The rows of docs (doc_id, text, source, ...) as the mix takes them: whole documents, each as often as it is taken.
 
-    Rows without words take no room in a mix and stay out of it. Rows are matched by doc_id; repeated rows of one id are
-    all taken as often as the first of them.
+    A mix of whole documents is two numbers per source: the full passes, and the key up to which one more is taken. So
+    the texts stay where they are and only meet a table with one row per source. Rows without words stay out. Rows with
+    equal keys (repeated ids) are taken alike. All columns are kept.
     """
-    plan = mix(docs, cut="document", **options)
-    times = plan.where("size > 0").groupBy("doc_id").agg(
-        F.max(F.expr("taken div size")).cast("int").alias("times")
-    ).select(F.col("doc_id").alias("mix_id"), "times").where("times > 0")
-    repeated = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(
-        times, F.col("row.doc_id").eqNullSafe(F.col("mix_id"))
-    )
-    return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    plan = mix(docs, cut="document", seed=seed, **options)
+    more = F.when(F.col("taken") > F.col("epochs") * F.col("size"), F.col("key"))
+    ends = plan.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(more).alias("last_key"))
+    ends = materialise(ends.withColumnRenamed("source", "end_source"), "source_ends")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("row_source"))
+    extra = F.coalesce(random_key(F.col("row.doc_id"), seed) <= F.col("last_key"), F.lit(False)).cast("int")
+    times = F.when(word_count(F.col("row.text")) > 0, F.col("epochs").cast("int") + extra).otherwise(0)
+    taken = rows.join(ends, F.col("row_source").eqNullSafe(F.col("end_source"))).select("row", times.alias("times")).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
