@@ -25,11 +25,11 @@ MAX_REPEAT_PERCENT = 20
 
 #: rule: (metric, sign, cutoffs); a document is rejected if sign * metric > sign * cutoff.
 RULES: dict[str, tuple[str, int, tuple[float, ...]]] = {
-    "symbols": ("n_symbols / n_words", 1, (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)),
+    "symbols": ("n_symbols / greatest(n_words, 1)", 1, (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)),
     "duplicate_lines": ("n_dup_lines / greatest(n_lines, 1)", 1, (0.1, 0.2, 0.3, 0.5)),
-    "repeats": ("n_repeat_words / n_words", 1, (0.05, 0.1, 0.15)),
-    "long_words": ("word_chars / n_words", 1, (6.0, 6.5, 7.0, 8.0, 10.0)),
-    "short_words": ("word_chars / n_words", -1, (4.5, 4.0, 3.5, 3.0, 2.0)),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", 1, (0.05, 0.1, 0.15)),
+    "long_words": ("word_chars / greatest(n_words, 1)", 1, (6.0, 6.5, 7.0, 8.0, 10.0)),
+    "short_words": ("word_chars / greatest(n_words, 1)", -1, (4.5, 4.0, 3.5, 3.0, 2.0)),
 }
 
 _SPACE = " \t\n\x0b\f\r"
