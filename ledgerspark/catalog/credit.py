@@ -415,7 +415,7 @@ def case_studies(spark, sf):
     rows = materialise(rows.select("LandLordID", "TenantCount", "AdjustedScore", "ups", "downs"), "cases")
     picked = R.select_case_studies(rows.select("LandLordID", "TenantCount", "AdjustedScore"))
     # At most n_good + n_bad + n_mid rows.
-    cases = rows.drop("TenantCount", "AdjustedScore").join(F.broadcast(picked), "LandLordID")
+    cases = rows.drop("TenantCount", "AdjustedScore").join(picked, "LandLordID")
     text = X.case_narrative(
         F.col("LandLordID"), F.col("band"), F.col("AdjustedScore"), F.lit(None).cast("double"), F.col("TenantCount"),
         F.col("ups"), F.col("downs"))

@@ -37,13 +37,6 @@ class DecisionConfig:
     min_interval_confidence: float = 0.50
 
 
-@dataclass(frozen=True)
-class LoadConfig:
-    default_max_customers: int = 500
-    hard_max_customers: int = 5000
-    max_invoice_rows: int = 2_000_000
-
-
 @dataclass(frozen=True)
 class TargetConfig:
     # Status labels counted as positive / negative / left out.
@@ -95,7 +88,6 @@ class BillingConfig:
     interval: IntervalConfig = field(default_factory=IntervalConfig)
     churn: ChurnConfig = field(default_factory=ChurnConfig)
     decision: DecisionConfig = field(default_factory=DecisionConfig)
-    load: LoadConfig = field(default_factory=LoadConfig)
     snapshots: tuple[dt.date, ...] = (dt.date(1999, 6, 1), dt.date(2000, 6, 1))
     seed: int = 42
 

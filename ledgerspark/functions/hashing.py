@@ -23,6 +23,10 @@ def fold(key: Column, k: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(k)).cast("int")
 
 
+#: Eight hex digits can't reach a larger draw.
+POISSON_TOP = 13
+
+
 def _poisson_steps(top: int) -> list[float]:
     total, out = 0.0, []
     for k in range(top):
@@ -31,7 +35,7 @@ def _poisson_steps(top: int) -> list[float]:
     return out
 
 
-def poisson1_of_hex(digits: Column, top: int = 8) -> Column:
+def poisson1_of_hex(digits: Column, top: int = POISSON_TOP) -> Column:
     """Poisson(1) draw by inversion of eight hex digits read as a number in [0, 1).
 
     Fixed-length hex text orders like the number, so the digits are compared as they are.
@@ -43,7 +47,7 @@ def poisson1_of_hex(digits: Column, top: int = 8) -> Column:
     return out.otherwise(F.lit(top))
 
 
-def poisson1_sql(u: str, top: int = 8) -> str:
+def poisson1_sql(u: str, top: int = POISSON_TOP) -> str:
     """The same inversion of a number u as SQL text, for checks in another engine."""
     parts = [f"WHEN {u} < {total!r} THEN {k}" for k, total in enumerate(_poisson_steps(top))]
     return "CASE " + " ".join(parts) + f" ELSE {top} END"

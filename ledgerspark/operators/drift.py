@@ -41,9 +41,9 @@ def known_values(rows: DataFrame) -> DataFrame:
 
 
 def bin_counts(rows: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, feature, bin, n): rows per bin. The edges table has one row per feature and is broadcast."""
+    """(keys, feature, bin, n): rows per bin. The edges table has one row per feature; Spark broadcasts it by its size."""
     bin_of = F.aggregate("edges", F.lit(0), lambda n, e: n + F.when(F.col("value") >= e, 1).otherwise(0))
-    return known_values(rows).join(F.broadcast(edges), "feature").groupBy(*keys, "feature", bin_of.alias("bin")).agg(
+    return known_values(rows).join(edges, "feature").groupBy(*keys, "feature", bin_of.alias("bin")).agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -59,16 +59,16 @@ def psi_of_counts(
     keys = list(keys)
     bins = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"), "n_edges")
     if keys:
-        bins = act.select(*keys, "feature").distinct().join(F.broadcast(bins), "feature")
+        bins = act.select(*keys, "feature").distinct().join(bins, "feature")
     r = ref.select("feature", "bin", F.col("n").alias("r"))
     a = act.select(*keys, "feature", "bin", F.col("n").alias("a"))
     tr = r.groupBy("feature").agg(F.sum("r").alias("tr"))
     ta = a.groupBy(*keys, "feature").agg(F.sum("a").alias("ta"))
     table = (
-        bins.join(F.broadcast(r), ["feature", "bin"], "left")
-        .join(F.broadcast(a), [*keys, "feature", "bin"], "left")
-        .join(F.broadcast(tr), "feature", "left")
-        .join(F.broadcast(ta), [*keys, "feature"], "left")
+        bins.join(r, ["feature", "bin"], "left")
+        .join(a, [*keys, "feature", "bin"], "left")
+        .join(tr, "feature", "left")
+        .join(ta, [*keys, "feature"], "left")
     )
     share = lambda c, t: F.greatest(F.try_divide(F.coalesce(F.col(c), F.lit(0)), F.col(t)), F.lit(eps))
     rs, as_ = share("r", "tr"), share("a", "ta")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ledgerspark.functions.hashing import order_key
 from ledgerspark.functions.numeric import TINY, count_if, nan_to_null, pct
+from ledgerspark.operators.ordering import first_by_hash, slice_in_order
 from ledgerspark.operators.ranking import exact_quantiles, quantiles_of_counts, running_totals
 
 
@@ -205,7 +206,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
     known = F.col("value").isNotNull()
     # Highest count first, the smallest text among equals.
     top = counts.groupBy("column").agg(F.max(F.when(known, F.col("n"))).alias("top_n"))
-    named = counts.join(F.broadcast(top), "column")
+    named = counts.join(top, "column")
     return named.groupBy("column").agg(
         F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("non_null"),
         F.sum("n").alias("_all"),
@@ -246,7 +247,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     rows = rows.withColumn("value", nan_to_null(F.col("value"))).filter(F.col("value").isNotNull())
     quartiles = exact_quantiles(rows, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column"]).drop("n_valid")
     # One row per column on both sides.
-    return wide_to_rows(df.agg(*aggs), out).join(F.broadcast(quartiles), "column", "left")
+    return wide_to_rows(df.agg(*aggs), out).join(quartiles, "column", "left")
 
 
 def category_summary(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 10) -> DataFrame:
@@ -439,15 +440,15 @@ def inspect_list_format(df: DataFrame, column: str = "AllCompanyID", sample: int
 
 
 def uniform_sample(df: DataFrame, id_col: str, n: int, seed: int = 42, forced: DataFrame | None = None) -> DataFrame:
-    """n rows in md5 order of the id, the forced ids always among them. Top-n, no full sort."""
+    """n rows in md5 order of the id, the forced ids always among them. Only the group of the n-th row is sorted."""
     if forced is None:
-        return df.orderBy(order_key(seed, F.col(id_col)), id_col).limit(n)
+        return first_by_hash(df, order_key(seed, F.col(id_col)), n, ties=[id_col])
     keys = forced.select(F.col(id_col)).distinct()
     must = df.join(keys, id_col, "left_semi")
     # The forced list belongs to a sample of n rows, so its size is of that order.
     left = max(0, n - must.count())
-    rest = df.join(keys, id_col, "left_anti").orderBy(order_key(seed, F.col(id_col)), id_col).limit(left)
-    return must.unionByName(rest)
+    rest = df.join(keys, id_col, "left_anti")
+    return must.unionByName(first_by_hash(rest, order_key(seed, F.col(id_col)), left, ties=[id_col]))
 
 
 def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed: int = 42) -> DataFrame:
@@ -455,9 +456,11 @@ def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed: in
     known = df.filter(F.col(stratum).isNotNull())
     strata = known.select(stratum).distinct().count()
     per = max(1, n // strata) if strata else n
-    w = Window.partitionBy(stratum).orderBy(order_key(seed, F.col(id_col)), id_col)
-    picked = known.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per).drop("_rank")
-    return picked.orderBy(stratum, order_key(seed, F.col(id_col)), id_col).limit(n)
+    picked = first_by_hash(known, order_key(seed, F.col(id_col)), per, [stratum], [id_col])
+    if strata <= n:
+        return picked
+    # More strata than rows asked for: one row of each of the first n strata.
+    return slice_in_order(picked, [stratum, id_col], 0, n)[0]
 
 
 def retention(returning: Column, todays: Column) -> Column:

@@ -234,7 +234,7 @@ def check_categories(df: DataFrame, columns: Sequence[str], dataset: str, rare:
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
     trimmed = counts.groupBy("column", F.trim("value").alias("v")).agg(F.sum("n").alias("n"))
     # One row per checked column on the broadcast side.
-    seldom = trimmed.join(F.broadcast(totals), "column").filter(F.col("n") / F.col("total") < rare)
+    seldom = trimmed.join(totals, "column").filter(F.col("n") / F.col("total") < rare)
     w = Window.partitionBy("column").orderBy(F.col("n").desc(), "v")
     named = seldom.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= 5).groupBy("column").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_rank", "v"))), lambda x: x["v"]).alias("examples")
@@ -242,7 +242,7 @@ def check_categories(df: DataFrame, columns: Sequence[str], dataset: str, rare:
     rare_n = seldom.groupBy("column").agg(F.count(F.lit(1)).alias("rare_n"))
     wide = per
     for other in (folded, rare_n, named):
-        wide = wide.join(F.broadcast(other), "column", "left")
+        wide = wide.join(other, "column", "left")
     name = text(f"{dataset}.", F.col("column"))
     base = dict(check="category_quality", dataset=dataset)
 

@@ -2,8 +2,8 @@
 
 Everything rests on one table: the distinct values of a column with their row counts and sums.
 Duplicates collapse on the map side, so a value that holds a third of all rows is one row here. The
-distinct values are cut into ranges of bounded size; each range is summed on its own, and the range
-totals (at most MAX_RANGES rows per key) are added up and broadcast back.
+distinct values are cut into as many ranges of bounded size as the row count asks for; each range is summed on
+its own, and the range totals are added up and joined back.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ from ledgerspark.functions.hashing import order_key
 from ledgerspark.functions.numeric import clip, nan_to_null
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 1000
-TIE_DIGITS = 3
+MIN_TIE_DIGITS = 3
 
 
 def range_bounds(
@@ -28,21 +27,23 @@ def range_bounds(
 ) -> dict[tuple, list[float]]:
     """Cut points per key so that a range holds about rows_per_range rows. Empty = one range is enough.
 
-    One aggregation job; at most MAX_RANGES numbers per key come back (keys are column or model
-    names here, never data-sized).
+    A counting job, and a second one for the cut points only if some key needs more than one range; one number per
+    range comes back (keys are column or model names here, never data-sized). The jobs run when the function is called,
+    so an expensive df is best materialised before.
     """
-    cuts = "array(" + ",".join(f"{i / MAX_RANGES}D" for i in range(1, MAX_RANGES)) + ")"
-    aggs = [
-        F.count(value).alias("n"),
-        F.expr(f"percentile_approx(`{value}`, {cuts}, {10 * MAX_RANGES})").alias("q"),
-    ]
-    stats = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    grouped = lambda *aggs: df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    sizes = {tuple(r[k] for k in keys): r["n"] for r in grouped(F.count(value).alias("n")).collect()}
+    parts = {key: -(-n // rows_per_range) for key, n in sizes.items()}
+    most = max(parts.values(), default=0)
+    if most <= 1:
+        return {}
+    shares = [i / most for i in range(1, most)]
+    stats = grouped(F.percentile_approx(value, shares, max(10_000, 10 * most)).alias("q")).collect()
     out: dict[tuple, list[float]] = {}
-    for row in stats.collect():
-        parts = min(MAX_RANGES, -(-row["n"] // rows_per_range))
-        if parts > 1:
-            picks = sorted({float(row["q"][max(0, i * MAX_RANGES // parts - 1)]) for i in range(1, parts)})
-            out[tuple(row[k] for k in keys)] = picks
+    for row in stats:
+        key = tuple(row[k] for k in keys)
+        if parts[key] > 1:
+            out[key] = sorted({float(row["q"][max(0, i * most // parts[key] - 1)]) for i in range(1, parts[key])})
     return out
 
 
@@ -110,9 +111,9 @@ def running_totals(
         *[F.coalesce(F.sum(f"_r_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
         *[F.sum(f"_r_{s}").over(whole).alias(f"tot_{s}") for s in sums],
     )
-    # At most MAX_RANGES rows per key: a proven bound for the broadcast.
+    # No hint: one row per key and range, which Spark broadcasts only while its measured size allows.
     return (
-        table.join(F.broadcast(offsets), [*keys, "_range"])
+        table.join(offsets, [*keys, "_range"])
         .withColumns({f"cum_{s}": F.col(f"_o_{s}") + F.sum(s).over(run) for s in sums})
         .drop("_range", *[f"_o_{s}" for s in sums])
     )
@@ -122,7 +123,7 @@ def average_ranks(
     df: DataFrame, value: str, keys: Sequence[str] = (), weight: Column | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """(keys, value) -> avg_rank (ties share the mean rank), dense_rank upward, n_valid.
+    """(keys, value) -> avg_rank (ties share the mean rank), n_valid.
 
     weight counts a row several times, for input that was grouped beforehand.
     """
@@ -217,11 +218,14 @@ def global_positions(
     """Row number 1..n by value, ties in md5(id) order, plus n_rows.
 
     Ties are split by the leading hex digits of md5(id), so even one value shared by a third of the
-    rows spreads over thousands of even groups before any row is numbered.
+    rows spreads over even groups of bounded size before any row is numbered.
     """
+    rows, digits = df.count(), MIN_TIE_DIGITS
+    while 16**digits * rows_per_range < rows:
+        digits += 1
     tagged = df.filter(F.col(value).isNotNull()).withColumn("_md5", F.md5(F.col(id_col).cast("string")))
     tagged = tagged.withColumns({
-        "_tie": F.substring("_md5", 1, TIE_DIGITS),
+        "_tie": F.substring("_md5", 1, digits),
         "_v": -F.col(value).cast("double") if descending else F.col(value).cast("double"),
     })
     totals = running_totals(

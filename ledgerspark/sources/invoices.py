@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.config import LoadConfig
 from ledgerspark.functions.numeric import nan_to_null
+from ledgerspark.operators.ordering import slice_in_order
 from ledgerspark.sources.tables import read_table
 
 # Accepted names per invoice column, canonical name first. The first present wins.
@@ -96,12 +96,6 @@ def invoices_from_records(spark: SparkSession, customer_id: str, records: Sequen
     return normalize_invoices(spark.createDataFrame(rows, "customerid string, date string, amount double"))
 
 
-def resolve_cap(max_customers: int | None, cfg: LoadConfig = LoadConfig(), allow_full: bool = False) -> int | None:
-    if max_customers is None or max_customers <= 0:
-        return None if allow_full else cfg.default_max_customers
-    return min(int(max_customers), cfg.hard_max_customers)
-
-
 def cap_customers(
     df: DataFrame,
     max_customers: int | None = None,
@@ -111,10 +105,11 @@ def cap_customers(
 ) -> Loaded:
     """One customer, or the first N customer ids in id order, optionally only recurring ones.
 
-    The cap is the feature asked for. Without a cap the recurring filter is a semi join on the key.
+    Nothing is cut unless it is asked for. `truncated` says whether the id or the cap left out any customer.
     """
     if customer_id:
-        return Loaded(df.filter(F.col("customerid") == str(customer_id)), 1, True)
+        own = F.col("customerid") == str(customer_id)
+        return Loaded(df.filter(own), 1, not df.filter(~own).isEmpty())
     if max_customers is None and not recurring_only:
         return Loaded(df, None, False)
     if recurring_only:
@@ -126,33 +121,30 @@ def cap_customers(
         ids = df.select("customerid").distinct()
     if max_customers is None:
         return Loaded(df.join(ids, "customerid", "left_semi"), None, False)
-    # At most hard_max_customers ids: a bounded list, sent as an IN filter that reaches the scan.
-    kept = [row[0] for row in ids.orderBy("customerid").limit(max_customers).collect()]
-    return Loaded(df.filter(F.col("customerid").isin(kept)), max_customers, len(kept) >= max_customers)
+    kept, total = slice_in_order(ids, ["customerid"], 0, max_customers)
+    return Loaded(df.join(kept, "customerid", "left_semi"), max_customers, total > max_customers)
 
 
 def cap_rows(df: DataFrame, max_rows: int, order_by: Sequence[str] = ("customerid", "date", "amount")) -> DataFrame:
-    """Hard ceiling on the row count, in a fixed order. Only sorts when the ceiling is reached."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return df
-    return df.orderBy(*order_by).limit(max_rows)
+    """The first max_rows rows in a fixed order."""
+    return slice_in_order(df, order_by, 0, max_rows)[0]
 
 
 def load_invoices(
     spark: SparkSession,
     path: str,
-    cfg: LoadConfig = LoadConfig(),
     max_customers: int | None = None,
     customer_id: str | None = None,
-    allow_full: bool = False,
     recurring_only: bool = False,
     min_events: int = 2,
+    max_rows: int | None = None,
     aliases: Mapping[str, Sequence[str]] = INVOICE_ALIASES,
 ) -> Loaded:
-    """Read by suffix, alias, cap customers, cap rows, normalise."""
+    """Read by suffix, alias and normalise the whole table; caps on customers or rows only where the caller asks for them."""
     df = canonical(read_table(spark, path), aliases)
-    capped = cap_customers(
-        df, resolve_cap(max_customers, cfg, allow_full), customer_id, recurring_only, min_events
-    )
-    frame = capped.frame if allow_full else cap_rows(capped.frame, cfg.max_invoice_rows)
-    return Loaded(require_rows(valid_rows(frame)), capped.max_customers_applied, capped.truncated, path)
+    capped = cap_customers(df, max_customers, customer_id, recurring_only, min_events)
+    frame, truncated = capped.frame, capped.truncated
+    if max_rows is not None:
+        frame, total = slice_in_order(frame, ("customerid", "date", "amount"), 0, max_rows)
+        truncated = truncated or total > max_rows
+    return Loaded(require_rows(valid_rows(frame)), capped.max_customers_applied, truncated, path)

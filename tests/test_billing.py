@@ -170,8 +170,21 @@ def test_caps(spark):
     assert {r[0] for r in recurring.frame.select("customerid").distinct().collect()} == {"c01", "c03", "c05"}
     one = I.cap_customers(df, customer_id="c07")
     assert one.truncated and one.counts() == {"n_rows": 2, "n_customers": 1}
-    assert I.cap_rows(df, 4).count() == 4 and I.cap_rows(df, 1000).count() == len(rows)
-    assert I.resolve_cap(None) == 500 and I.resolve_cap(9999) == 5000 and I.resolve_cap(None, allow_full=True) is None
+    assert not I.cap_customers(df.filter("customerid = 'c07'"), customer_id="c07").truncated
+    for cap, cut in ((19, True), (20, False), (21, False)):
+        capped = I.cap_customers(df, cap)
+        assert capped.truncated is cut and capped.frame.select("customerid").distinct().count() == min(cap, 20)
+    kept = sorted(tuple(r) for r in I.cap_rows(df, 4).collect())
+    assert kept == sorted(rows)[:4] and I.cap_rows(df, 1000).count() == len(rows)
+    assert I.cap_rows(df.unionByName(df), 7).count() == 7
+
+
+def test_nothing_is_cut_unless_asked(spark, tmp_path):
+    path = str(tmp_path / "many.parquet")
+    spark.range(6000).selectExpr("cast(id as string) customerid", "timestamp'2025-01-01' date", "1.0D amount").write.parquet(path)
+    loaded = I.load_invoices(spark, path)
+    assert loaded.counts() == {"n_rows": 6000, "n_customers": 6000} and not loaded.truncated
+    assert I.load_invoices(spark, path, max_rows=10).truncated and not I.load_invoices(spark, path, max_rows=6000).truncated
 
 
 def test_load_by_suffix(spark, tmp_path):

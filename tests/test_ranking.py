@@ -1,11 +1,14 @@
 """Ranks and quantiles with forced small ranges and one value holding a third of the rows."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import metrics as M
+from ledgerspark.operators import ordering as O
 from ledgerspark.operators import ranking as R
 from ledgerspark.operators import stats as S
 
@@ -186,3 +189,23 @@ def test_case_studies(spark):
     out = R.select_case_studies(spark.createDataFrame(rows, "LandLordID string, AdjustedScore double, TenantCount int"))
     got = {r["LandLordID"]: r["band"] for r in out.collect()}
     assert got == {"L8": "good", "L7": "good", "L0": "bad", "L1": "bad", "L4": "neutral"}
+
+
+@pytest.mark.parametrize(("offset", "limit"), [(0, 5), (7, 30), (0, None), (890, 100), (895, None), (1000, 3), (0, 0)])
+def test_slice_in_order(df, rows, offset, limit):
+    got, total = O.slice_in_order(df.select("v", "id"), ["v", "id"], offset, limit)
+    want = rows.sort_values(["v", "id"])["id"].to_numpy()[offset:][:limit]
+    assert total == len(rows) and sorted(r["id"] for r in got.collect()) == sorted(want)
+
+
+def test_slice_of_equal_rows(df):
+    assert O.slice_in_order(df.select(F.lit(1).alias("x")), ["x"], 100, 250)[0].count() == 250
+
+
+@pytest.mark.parametrize("n", [0, 1, 250, 900, 2000])
+def test_first_by_hash(df, rows, n):
+    key = F.md5(F.col("id").cast("string"))
+    want = sorted(rows["id"], key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:n]
+    assert sorted(r["id"] for r in O.first_by_hash(df, key, n, ties=["id"]).collect()) == sorted(want)
+    per = {r["k"]: r["count"] for r in O.first_by_hash(df, key, n, ["k"], ["id"]).groupBy("k").count().collect()}
+    assert per == {k: min(n, c) for k, c in rows["k"].value_counts().items() if n}
