@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerspark.catalog.billing import BASES_SQL, EVENTS_SQL, GAPS_SQL, INTERVAL_SQL
+from ledgerspark.catalog.billing import EVENTS_SQL, INTERVAL_SQL
 from ledgerspark.catalog.evaluation import PSI_TAIL
 from ledgerspark.catalog.registry import query
 from ledgerspark.operators import billing as B
@@ -21,6 +21,14 @@ def invoice_stream(spark, sf):
         F.col("o_totalprice").alias("amount"))
 
 
+def invoice_parts(spark, sf, parts=3):
+    """The same rows over several micro-batches, customers split between them."""
+    lines = D.table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("customerid"), F.col("o_orderdate").cast("timestamp").alias("date"),
+        F.col("o_totalprice").alias("amount"))
+    return S.stream_in_parts(lines, parts)
+
+
 @query("stream_same_day_events", f"""WITH {EVENTS_SQL} SELECT customerid, date, round(event_amount, 2) AS event_amount, n_invoices FROM events_d""")
 def stream_same_day_events(spark, sf):
     out = S.run(S.same_day_events(invoice_stream(spark, sf)), new_scratch(spark, "daily"), "update")
@@ -40,8 +48,8 @@ def stand_in_scorer(batch):
 SELECT customerid, billing_interval, CASE WHEN conf < 0.5 THEN 'Review' WHEN p <= 0.45 THEN 'Continue' WHEN p >= 0.7 THEN 'No-Go' ELSE 'Review' END AS recommendation FROM k""")
 def stream_score_files(spark, sf):
     path = new_scratch(spark, "scored")
-    S.score_files(invoice_stream(spark, sf), path, stand_in_scorer).awaitTermination()
-    return spark.read.parquet(f"{path}/data").drop("batch_id")
+    S.score_files(invoice_parts(spark, sf), path, stand_in_scorer).awaitTermination()
+    return S.latest(spark.read.parquet(f"{path}/data"), ["customerid"])
 
 
 def verdict_stream(df):
@@ -54,9 +62,10 @@ def verdict_stream(df):
 
 @query("stream_verdict_mix", """WITH v AS (SELECT DATE '1970-01-01' + CAST(floor(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) / 7) * 7 AS INT) AS period,
   CASE event_type WHEN 'purchase' THEN 'Continue' WHEN 'error' THEN 'No-Go' ELSE 'Review' END AS recommendation FROM events),
-g AS (SELECT period, recommendation, count(*) AS n FROM v GROUP BY period, recommendation),
-s AS (SELECT period, recommendation, n, n * 100.0 / sum(n) OVER (PARTITION BY period) AS sh FROM g),
-l AS (SELECT *, sh - lag(sh) OVER (PARTITION BY recommendation ORDER BY period) AS shift FROM s)
+g AS (SELECT period, k.recommendation, count(*) FILTER (WHERE v.recommendation = k.recommendation) AS n, count(*) AS total
+  FROM v CROSS JOIN (VALUES ('Continue'), ('Review'), ('No-Go')) k(recommendation) GROUP BY ALL),
+s AS (SELECT period, recommendation, n, n * 100.0 / total AS sh FROM g),
+l AS (SELECT *, CASE WHEN period - lag(period) OVER w = 7 THEN sh - lag(sh) OVER w END AS shift FROM s WINDOW w AS (PARTITION BY recommendation ORDER BY period))
 SELECT period, recommendation, n, round(sh, 6) AS share_pct, round(shift, 6) AS shift, coalesce(abs(shift) > 20, false) AS alert FROM l""")
 def stream_verdict_mix(spark, sf):
     mix = S.verdict_mix(verdict_stream(S.stream_table(spark, sf, "events")))
@@ -68,15 +77,14 @@ def stream_verdict_mix(spark, sf):
 
 @query("rule_alerts", """WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE event_type = 'error' AND value > 50) AS a,
   count(*) FILTER (WHERE event_type = 'error' AND NOT value > 50) AS b FROM events GROUP BY 1),
-l AS (SELECT day, 'company_status_hard_stop' AS guardrail_rule, a AS fired, total FROM d WHERE a > 0 UNION ALL SELECT day, 'extreme_budget_burn', b, total FROM d WHERE b > 0),
+l AS (SELECT day, 'company_status_hard_stop' AS guardrail_rule, a AS fired, total FROM d UNION ALL SELECT day, 'extreme_budget_burn', b, total FROM d),
 w AS (SELECT *, fired / total AS rate, avg(fired / total) OVER x AS base, stddev_samp(fired / total) OVER x AS sp FROM l
   WINDOW x AS (PARTITION BY guardrail_rule ORDER BY day RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))
 SELECT day, guardrail_rule, fired, total, round(rate, 6) AS rate, round(base, 6) AS baseline, coalesce(rate > base + 3 * sp, false) AS alert FROM w""")
 def rule_alerts(spark, sf):
     rows = verdict_stream(D.table(spark, sf, "events")).withColumn("day", F.to_date("ts"))
-    fired = rows.filter(F.col("guardrail_rule").isNotNull()).groupBy("day", "guardrail_rule").agg(F.count(F.lit(1)).alias("fired"))
-    daily = fired.join(rows.groupBy("day").agg(F.count(F.lit(1)).alias("total")), "day")
-    out = S.rule_alerts(daily)
+    daily = rows.groupBy("day", "guardrail_rule").agg(F.count(F.lit(1)).alias("n"))
+    out = S.rule_alerts(daily, ["company_status_hard_stop", "extreme_budget_burn"])
     return out.select(
         "day", "guardrail_rule", "fired", "total", F.round("rate", 6).alias("rate"), F.round("baseline", 6).alias("baseline"), "alert")
 
@@ -98,16 +106,13 @@ def stream_drift(spark, sf):
     return out.select("period", "feature", F.round("psi", 6).alias("psi"), "review")
 
 
-@query("stream_gap_tracker", f"""WITH {EVENTS_SQL}, {BASES_SQL}, {GAPS_SQL},
-n AS (SELECT customerid, count(*) AS n_days FROM events_d GROUP BY 1),
-bc AS (SELECT customerid, base, count(*) AS c FROM gap_class WHERE base IS NOT NULL GROUP BY ALL),
-bd AS (SELECT customerid, arg_max(base, (c, -days)) AS top, max(c) / sum(c) AS share, count(*) AS kinds FROM bc JOIN bases ON base = bname GROUP BY 1)
-SELECT customerid, CASE WHEN n_days <= 1 THEN 'insufficient_history' WHEN top IS NULL THEN 'irregular' WHEN kinds >= 2 AND share < 0.8 THEN 'mixed' ELSE top END AS billing_interval
-FROM n LEFT JOIN bd USING (customerid)""")
+@query("stream_gap_tracker", f"""WITH {INTERVAL_SQL}
+SELECT customerid, n_events AS n_days, billing_interval FROM iv WHERE snapshot_date = DATE '2000-06-01'""")
 def stream_gap_tracker(spark, sf):
-    days = invoice_stream(spark, sf).select("customerid", F.to_date("date").alias("d"))
-    out = S.run(S.gap_tracker(days), new_scratch(spark, "gaps"), "update")
-    return S.latest(out, ["customerid"]).select("customerid", "billing_interval")
+    path = new_scratch(spark, "gaps")
+    days = invoice_parts(spark, sf).select("customerid", F.to_date("date").alias("d"))
+    S.gap_tracker(days, path, D.AS_OF).awaitTermination()
+    return S.latest(spark.read.parquet(f"{path}/data"), ["customerid"]).select("customerid", "n_days", "billing_interval")
 
 
 @query("dedupe_stream", """SELECT l_orderkey, l_linenumber, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY ALL""")

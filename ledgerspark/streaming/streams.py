@@ -6,17 +6,17 @@ only: a replayed batch replaces its own output, so results are exactly-once and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import datetime as dt
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerspark.config import IntervalConfig
+from ledgerspark.operators.billing import infer_intervals
 from ledgerspark.operators.drift import bin_counts, drift_label, psi_of_counts
+from ledgerspark.session import new_scratch
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -29,13 +29,20 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return reader.parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
+def stream_in_parts(df: DataFrame, parts: int) -> DataFrame:
+    """A table as a stream of several micro-batches: written once as files, of which each trigger takes one."""
+    path = new_scratch(df.sparkSession, "stream")
+    df.repartition(parts).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def start(
     stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None,
-    name: str | None = None,
+    name: str | None = None, each_of: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Run each micro-batch through `each` and write it to <path>/data/batch_id=<n>."""
+    """Run each micro-batch through `each`, or `each_of` with its number, and write it to <path>/data/batch_id=<n>."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = each(batch) if each else batch
+        out = each_of(batch, batch_id) if each_of else each(batch) if each else batch
         out.write.mode("overwrite").parquet(f"{path}/data/batch_id={batch_id}")
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
@@ -70,9 +77,26 @@ def same_day_events(invoices: DataFrame, delay: str = "2 days") -> DataFrame:
     )
 
 
-def score_files(invoices: DataFrame, path: str, scorer: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Score new invoice files as they land; scorer is any batch table -> table function."""
-    return start(invoices, path, "append", scorer)
+def stored_history(batch: DataFrame, batch_id: int, path: str, key: str) -> DataFrame:
+    """Adds the batch to the table below path, and gives all rows stored so far of the keys it touches.
+
+    A replayed batch overwrites its own part and sees only parts up to its own, so it gives the same rows again.
+    """
+    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    stored = batch.sparkSession.read.parquet(path).filter(F.col("batch_id") <= batch_id)
+    touched = stored.filter(F.col("batch_id") == batch_id).select(key).distinct()
+    return stored.drop("batch_id").join(touched, key, "left_semi")
+
+
+def score_files(
+    invoices: DataFrame, path: str, scorer: Callable[[DataFrame], DataFrame], key: str = "customerid"
+) -> StreamingQuery:
+    """Score new invoice files as they land; scorer is any batch table -> table function.
+
+    Every customer of a new file is scored again from all rows stored so far, however many files they came in.
+    `latest(table, [key])` gives the current scores.
+    """
+    return start(invoices, path, each_of=lambda batch, n: scorer(stored_history(batch, n, f"{path}/events", key)))
 
 
 def verdict_mix(verdicts: DataFrame, every: str = "7 days", delay: str = "1 day") -> DataFrame:
@@ -85,25 +109,41 @@ def verdict_mix(verdicts: DataFrame, every: str = "7 days", delay: str = "1 day"
     )
 
 
-def mix_alerts(counts: DataFrame, points: float = 20.0) -> DataFrame:
+VERDICTS = ("Continue", "Review", "No-Go")
+
+
+def with_zeros(counts: DataFrame, over: str, kind: str, kinds: Sequence[str]) -> DataFrame:
+    """(over, kind, n) -> (over, kind, n, total) with a row for every kind of every period, absent ones counting 0."""
+    per = counts.groupBy(over).agg(
+        F.sum("n").alias("total"), *[F.sum(F.when(F.col(kind) == k, F.col("n"))).alias(f"_{i}") for i, k in enumerate(kinds)]
+    )
+    rows = F.array(*[
+        F.struct(F.lit(k).alias(kind), F.coalesce(F.col(f"_{i}"), F.lit(0)).alias("n")) for i, k in enumerate(kinds)
+    ])
+    return per.select(over, "total", F.inline(rows))
+
+
+def mix_alerts(counts: DataFrame, points: float = 20.0, verdicts: Sequence[str] = VERDICTS, every_days: int = 7) -> DataFrame:
     """Share per period and verdict, and the shift to the period before; alert above `points`.
 
-    The input has one row per period, verdict and rule, so the window per verdict is as long as the
-    number of periods.
+    A verdict that no company got has share 0, so its fall and its return are shifts. Only adjacent periods are compared: after
+    a period without any verdict there is no shift. The window per verdict is as long as the number of periods.
     """
-    per = counts.groupBy("period", "recommendation").agg(F.sum("n").alias("n"))
-    total = counts.groupBy("period").agg(F.sum("n").alias("total"))
-    share = per.join(total, "period").withColumn("share_pct", F.col("n") * 100.0 / F.col("total"))
+    share = with_zeros(counts, "period", "recommendation", verdicts).withColumn("share_pct", F.col("n") * 100.0 / F.col("total"))
     w = Window.partitionBy("recommendation").orderBy("period")
-    shift = share.withColumn("shift", F.col("share_pct") - F.lag("share_pct").over(w))
+    adjacent = F.date_diff("period", F.lag("period").over(w)) == every_days
+    shift = share.withColumn("shift", F.when(adjacent, F.col("share_pct") - F.lag("share_pct").over(w)))
     return shift.withColumn("alert", F.coalesce(F.abs("shift") > points, F.lit(False)))
 
 
-def rule_alerts(daily: DataFrame, days: int = 30, sigmas: float = 3.0) -> DataFrame:
-    """(day, guardrail_rule, fired, total) -> fire rate against its own trailing baseline."""
+def rule_alerts(daily: DataFrame, rules: Sequence[str], days: int = 30, sigmas: float = 3.0) -> DataFrame:
+    """(day, guardrail_rule, n), the rule null for verdicts without one -> fire rate against its own trailing baseline.
+
+    Days on which a rule did not fire count with rate 0; days without any verdict have no rate.
+    """
     at = F.date_diff("day", F.lit("1970-01-01").cast("date"))
     w = Window.partitionBy("guardrail_rule").orderBy(at).rangeBetween(-days, -1)
-    rate = daily.withColumn("rate", F.col("fired") / F.col("total"))
+    rate = with_zeros(daily, "day", "guardrail_rule", rules).withColumnRenamed("n", "fired").withColumn("rate", F.col("fired") / F.col("total"))
     based = rate.withColumns({"baseline": F.avg("rate").over(w), "spread": F.stddev_samp("rate").over(w)})
     return based.withColumn(
         "alert", F.coalesce(F.col("rate") > F.col("baseline") + sigmas * F.col("spread"), F.lit(False)))
@@ -131,62 +171,26 @@ def dedupe_stream(invoices: DataFrame, keys: Sequence[str], time_col: str = "dat
     return invoices.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-TRACK_OUT = T.StructType([
-    T.StructField("customerid", T.StringType()), T.StructField("last_date", T.DateType()),
-    T.StructField("n_days", T.LongType()), T.StructField("billing_interval", T.StringType()),
-])
-
-
-def gap_tracker(days: DataFrame, cfg: IntervalConfig = IntervalConfig()) -> DataFrame:
-    """Event-day stream (customerid, d date) -> a row whenever a customer's interval label changes.
+def gap_tracker(
+    days: DataFrame, path: str, as_of: dt.date | None = None, cfg: IntervalConfig = IntervalConfig(), keep_days: int | None = None
+) -> StreamingQuery:
+    """Event-day stream (customerid, d date) -> interval label and confidence of every customer a batch touches.
 
-    State per customer: last day, day count, and matched gaps per base. A batch is reduced to its
-    distinct days while it streams in, so memory is bounded by days, not rows. Days not after the last
-    seen one are ignored.
+    The distinct days of a batch join a day table; the customers it touches are labelled again from all their days by the
+    batch operator, so late and repeated days count like any other. as_of: date of the label (default: the day after the
+    latest day stored); with keep_days, older days are left out. `latest(table, ["customerid"])` gives the current labels.
     """
-    names, lengths, tolerance = [n for n, _ in cfg.bases], [float(x) for _, x in cfg.bases], cfg.match_tolerance
-    mixed_below = cfg.mixed_dominant_share_max
-    fields = [T.StructField("last", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("label", T.StringType())]
-    state_type = T.StructType(fields + [T.StructField(f"c_{n}", T.LongType()) for n in names])
-
-    def base_of(gap: float) -> int | None:
-        fitted = [max(round(gap / b), 1) * b for b in lengths]
-        errors = [abs(gap - f) / f for f in fitted]
-        best = min(range(len(names)), key=lambda i: (errors[i], lengths[i]))
-        return best if errors[best] <= tolerance else None
-
-    def label_of(n: int, counts: list[int]) -> str:
-        if n <= 1:
-            return "insufficient_history"
-        hits = sum(counts)
-        if not hits:
-            return "irregular"
-        top = max(range(len(counts)), key=lambda i: (counts[i], -lengths[i]))
-        if sum(c > 0 for c in counts) >= 2 and counts[top] / hits < mixed_below:
-            return "mixed"
-        return names[top]
-
-    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, n, label, *counts = state.get if state.exists else (None, 0, None, *[0] * len(names))
-        epoch = pd.Timestamp("1970-01-01")
-        seen: set[int] = set()
-        for chunk in chunks:
-            seen.update((pd.to_datetime(chunk["d"]) - epoch).dt.days.unique().tolist())
-        for day in sorted(seen):
-            if last is not None:
-                if day <= last:
-                    continue
-                base = base_of(float(day - last))
-                if base is not None:
-                    counts[base] += 1
-            last, n = int(day), n + 1
-        fresh = label_of(n, counts)
-        state.update((last, n, fresh, *counts))
-        if fresh != label:
-            yield pd.DataFrame({
-                "customerid": [key[0]], "last_date": [(epoch + pd.Timedelta(days=last)).date()], "n_days": [n],
-                "billing_interval": [fresh],
-            })
-
-    return days.groupBy("customerid").applyInPandasWithState(
-        update, TRACK_OUT, state_type, "update", GroupStateTimeout.NoTimeout)
+    def each(batch: DataFrame, batch_id: int) -> DataFrame:
+        history = stored_history(batch.select("customerid", "d").distinct(), batch_id, f"{path}/days", "customerid").distinct()
+        end = as_of
+        if end is None:
+            last = batch.sparkSession.read.parquet(f"{path}/days").filter(F.col("batch_id") <= batch_id).agg(F.max("d")).first()[0]
+            end = (last or dt.date(1970, 1, 1)) + dt.timedelta(days=1)
+        if keep_days is not None:
+            history = history.filter(F.col("d") >= F.lit(end - dt.timedelta(days=keep_days)))
+        events = history.select(
+            "customerid", F.col("d").alias("date"), F.lit(1.0).alias("event_amount"), F.lit(1).cast("bigint").alias("n_invoices"))
+        return infer_intervals(events, [end], cfg, daily=True).select(
+            "customerid", F.col("snapshot_date").alias("as_of"), F.col("n_events").alias("n_days"), "billing_interval", "interval_confidence")
+
+    return start(days, path, each_of=each)

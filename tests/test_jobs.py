@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from ledgerspark.operators import billing as B
 from ledgerspark.operators import models as ML
 from ledgerspark.plans import churn as CP
 from ledgerspark.sources import domain as D
@@ -116,26 +117,51 @@ def test_stream_late_rows_update_then_drop(spark, tmp_path):
     assert out == {day(0).date(): 1.0, day(10).date(): 5.0, day(9).date(): 2.0}
 
 
-def test_gap_tracker_emits_label_changes_across_batches(spark, tmp_path):
-    src = tmp_path / "in"
-    put = lambda i, days: spark.createDataFrame([("a", day(d).date()) for d in days], "customerid string, d date").coalesce(1).write.parquet(str(src / f"{i}"))
-    go = lambda: S.run(S.gap_tracker(
-        spark.readStream.schema("customerid string, d date").parquet(str(src / "*"))), str(tmp_path / "sink"), "update")
-    put(0, [0])
-    assert S.latest(go(), ["customerid"]).first()["billing_interval"] == "insufficient_history"
-    put(1, [30, 60, 60])
-    row = S.latest(go(), ["customerid"]).first()
-    assert (row["billing_interval"], row["n_days"]) == ("monthly", 3)
-    put(2, [90, 10])
-    assert S.latest(go(), ["customerid"]).first()["n_days"] == 3
-    put(3, [455, 820])
-    assert S.latest(go(), ["customerid"]).first()["billing_interval"] == "mixed"
-
-
-def test_mix_alert(spark):
-    weeks = [(dt.date(2025, 1, 6), "Continue", 80), (dt.date(2025, 1, 6), "Review", 20), (dt.date(2025, 1, 13), "Continue", 40), (dt.date(2025, 1, 13), "Review", 60)]
-    counts = spark.createDataFrame(weeks, "period date, recommendation string, n long")
-    got = {(r["period"].day, r["recommendation"]): r["alert"] for r in S.mix_alerts(counts).collect()}
-    assert got == {(6, "Continue"): False, (6, "Review"): False, (13, "Continue"): True, (13, "Review"): True}
-    daily = spark.createDataFrame([(dt.date(2025, 1, d), "r", 10 + d % 2, 100) for d in range(1, 30)] + [(dt.date(2025, 1, 30), "r", 60, 100)], "day date, guardrail_rule string, fired long, total long")
-    assert [r["day"].day for r in S.rule_alerts(daily).filter("alert").collect()] == [30]
+def test_gap_tracker_takes_late_days_and_equals_the_batch_result(spark, tmp_path):
+    src, sink = tmp_path / "in", str(tmp_path / "sink")
+    every = []
+
+    def put(i, rows):
+        every.extend(rows)
+        spark.createDataFrame([(c, day(d).date()) for c, d in rows], "customerid string, d date").coalesce(1).write.parquet(str(src / f"{i}"))
+        S.gap_tracker(spark.readStream.schema("customerid string, d date").parquet(str(src / "*")), sink).awaitTermination()
+        now = S.latest(spark.read.parquet(sink + "/data"), ["customerid"])
+        return {r["customerid"]: (r["billing_interval"], r["n_days"]) for r in now.collect()}
+
+    assert put(0, [("a", 0)]) == {"a": ("insufficient_history", 1)}
+    assert put(1, [("a", 30), ("a", 60), ("a", 60), ("b", 5)])["a"] == ("monthly", 3)
+    assert put(2, [("a", 120)])["a"][1] == 4
+    got = put(3, [("a", 90), ("a", 30), ("c", 1), ("b", 35), ("b", 65)])
+    assert got["a"] == ("monthly", 5) and got["b"] == ("monthly", 3)
+    events = B.same_day_events(spark.createDataFrame([(c, day(d).date(), 1.0) for c, d in set(every)], "customerid string, date date, amount double"))
+    want = B.infer_intervals(events, [day(121).date()], daily=True)
+    assert got == {r["customerid"]: (r["billing_interval"], r["n_events"]) for r in want.collect()}
+
+
+def test_scores_come_from_the_whole_history(spark, tmp_path):
+    src, sink = tmp_path / "in", str(tmp_path / "sink")
+    schema = "customerid string, date timestamp, amount double"
+    scorer = lambda rows: rows.groupBy("customerid").agg(F.sum("amount").alias("score"), F.count(F.lit(1)).alias("n"))
+
+    def put(i, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / f"{i}"))
+        S.score_files(spark.readStream.schema(schema).parquet(str(src / "*")), sink, scorer).awaitTermination()
+        return {r["customerid"]: (r["score"], r["n"]) for r in S.latest(spark.read.parquet(sink + "/data"), ["customerid"]).collect()}
+
+    assert put(0, [("a", day(5), 1.0), ("b", day(1), 7.0)]) == {"a": (1.0, 1), "b": (7.0, 1)}
+    assert put(1, [("a", day(2), 2.0), ("c", day(3), 3.0)]) == {"a": (3.0, 2), "b": (7.0, 1), "c": (3.0, 1)}
+
+
+def test_alerts_count_what_did_not_happen(spark):
+    week = lambda k: dt.date(2025, 1, 6) + dt.timedelta(days=7 * k)
+    rows = [(0, "Continue", 50), (0, "Review", 50), (1, "Review", 10), (2, "Continue", 50), (2, "Review", 50), (4, "Continue", 9)]
+    counts = spark.createDataFrame([(week(k), v, n) for k, v, n in rows], "period date, recommendation string, n long")
+    got = {((r["period"] - week(0)).days // 7, r["recommendation"]): (r["shift"], r["alert"]) for r in S.mix_alerts(counts).collect()}
+    assert got[1, "Continue"] == (-50.0, True) and got[2, "Continue"] == (50.0, True) and got[1, "No-Go"] == (0.0, False)
+    assert got[4, "Continue"] == (None, False) and len(got) == 12
+    # A rule that fires one day in ten has a low baseline, so one more day of firing is an alert.
+    quiet = [(dt.date(2025, 1, d), None, 90) for d in range(1, 31)]
+    fired = [(dt.date(2025, 1, d), "r", 10 + d % 2) for d in (10, 20)] + [(dt.date(2025, 1, 30), "r", 60)]
+    daily = spark.createDataFrame(quiet + fired, "day date, guardrail_rule string, n long")
+    out = {r["day"].day: r for r in S.rule_alerts(daily, ["r"]).collect()}
+    assert len(out) == 30 and out[5]["fired"] == 0 and out[30]["alert"] and out[30]["baseline"] < 0.01
