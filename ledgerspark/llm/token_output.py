@@ -15,14 +15,15 @@ from __future__ import annotations
 
 import base64
 import json
-import re
+import sys
 import uuid
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-import zlib
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -40,9 +41,7 @@ SHARD_BYTES = 32 << 20
 KEY = 0x5DEECE66D1F3A7B9
 ROUNDS = 6
 #: A worker packs its sequences when so many bytes wait.
-FLUSH_BYTES = 32 << 20
-CACHED_PIECES = 300_000
-_TWO_SPACES = re.compile(r"\s\s")
+FLUSH_BYTES = 8 << 20
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -69,30 +68,23 @@ def slots(numbers: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
 
 
 class Tokenizer:
-    """Token bytes of texts. Pieces between single spaces are independent, so they are looked up once each."""
+    """Token bytes of texts."""
 
     def __init__(self, vocabulary: bytes):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.end = len(ranks)
         self.kind = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
-        coder = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        kind = self.kind
-
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                found = self[piece] = np.array(coder.encode_ordinary(" " + piece), kind).tobytes()
-                return found
+        self.code = "H" if self.end < 1 << 16 else "I"
+        self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-        self.pieces, self.coder = Pieces(), coder
+    def count(self, text: str) -> int:
+        return len(self.coder.encode_ordinary(text))
 
     def encode(self, text: str) -> bytes:
-        if _TWO_SPACES.search(text):
-            return np.array(self.coder.encode_ordinary(text), self.kind).tobytes()
-        if len(self.pieces) > CACHED_PIECES:
-            self.pieces.clear()
-        first, *rest = text.split(" ")
-        head = np.array(self.coder.encode_ordinary(first), self.kind).tobytes() if first else b""
-        return head + b"".join(map(self.pieces.__getitem__, rest))
+        ids = array(self.code, self.coder.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def sequences(self, text: str | None, length: int) -> list[tuple[bytes, int]]:
         """(padded bytes, tokens) of a text's sequences, the end mark included; none for null and empty texts."""
@@ -114,12 +106,11 @@ def _read_vocabulary(path: str) -> bytes:
 def _counter(shared, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Tokenizer(shared.value)
-        size = length * coder.kind.itemsize
         n = 0
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 if text:
-                    n += -(-(len(coder.encode(text)) + coder.kind.itemsize) // size)
+                    n += -(-(coder.count(text) + 1) // length)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], ["partition", "n"])
 
     return run
