@@ -103,14 +103,15 @@ class Model:
 def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Model:
     """All bit classifiers at once, by gradient steps with momentum; rows weigh the same per language."""
     code = codewords(len(languages))
-    target = code[y]
-    weight = 1.0 / np.bincount(y, minlength=len(languages))[y] / len(languages)
-    w, b = np.zeros((x.shape[1], code.shape[1])), np.zeros(code.shape[1])
+    # One type throughout, or every product copies x.
+    target = code[y].astype(x.dtype)
+    weight = (1.0 / np.bincount(y, minlength=len(languages))[y] / len(languages)).astype(x.dtype)
+    w, b = np.zeros((x.shape[1], code.shape[1]), x.dtype), np.zeros(code.shape[1], x.dtype)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(ROUNDS):
         pull = -target / (1 + np.exp(np.clip(target * (x @ w + b), -30, 30))) * weight[:, None]
-        vw = 0.9 * vw - STEP * (x.T @ pull + PENALTY * w)
-        vb = 0.9 * vb - STEP * pull.sum(axis=0)
+        vw = (0.9 * vw - STEP * (x.T @ pull + PENALTY * w)).astype(x.dtype)
+        vb = (0.9 * vb - STEP * pull.sum(axis=0)).astype(x.dtype)
         w, b = w + vw, b + vb
     right = ((x @ w + b) * target > 0).astype(float)
     accuracy = np.clip((right * weight[:, None]).sum(axis=0), 0.5, 0.999)

@@ -32,6 +32,8 @@ ROUNDS = 400
 STEP = 0.5
 RIDGE = 1e-4
 COUNTERFACTUAL = 10.0
+#: Words a worker remembers the features of.
+CACHED_WORDS = 100_000
 
 #: Terms of one line name groups of one kind and may stand for each other.
 IDENTITY_TERMS = (
@@ -80,19 +82,21 @@ class Model:
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarray, penalty: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
     """Weights and bias; change: rows of features lost (-1) and won (+1) by a swap, whose effect is penalised."""
-    w, b = np.zeros(x.shape[1]), float(np.log((weight @ y + 1e-9) / (weight @ (1 - y) + 1e-9)))
+    b = float(np.log((weight @ y + 1e-9) / (weight @ (1 - y) + 1e-9)))
+    y, weight, change = (v.astype(x.dtype) for v in (y, weight, change))  # one type, or every product copies x
+    w = np.zeros(x.shape[1], x.dtype)
     vw, vb = np.zeros_like(w), 0.0
     for _ in range(ROUNDS):
-        pull = weight * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
-        grad = x.T @ pull + RIDGE * w
+        pull = weight * (1 / (1 + np.exp(-np.clip(x @ w + x.dtype.type(b), -30, 30))) - y)
+        grad = pull @ x + x.dtype.type(RIDGE) * w
         if len(change):
             # Each swap's pull is kept below the step at which the descent would swing.
             size = np.maximum(1.0, (change**2).sum(axis=1))
-            grad = grad + min(penalty, 1.0) * change.T @ ((change @ w) / size) / len(change)
-        vw, vb = 0.9 * vw - STEP * grad, 0.9 * vb - STEP * float(pull.sum())
+            grad = grad + x.dtype.type(min(penalty, 1.0) / len(change)) * (((change @ w) / size) @ change)
+        vw, vb = (0.9 * vw - STEP * grad).astype(x.dtype), 0.9 * vb - STEP * float(pull.sum())
         w, b = w + vw, b + vb
     if len(change) and penalty > 1.0:
-        w = _settle(w, change, penalty)
+        w = _settle(w.astype(np.float64), change.astype(np.float64), penalty)
     return w, b
 
 
@@ -197,7 +201,7 @@ def score(docs: DataFrame, model: Model, cutoff: float = CUTOFF, id_col: str = "
         for batch in batches:
             scores = []
             for text in batch.column(1).to_pylist():
-                if len(cache) > 500_000:
+                if len(cache) > CACHED_WORDS:
                     cache.clear()
                 scores.append(own.score(words_of(text), cache))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
@@ -221,7 +225,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) ->
         for batch in batches:
             keep = []
             for text in batch.column(1).to_pylist():
-                if len(cache) > 500_000:
+                if len(cache) > CACHED_WORDS:
                     cache.clear()
                 keep.append(own.score(words_of(text), cache) < cutoff)
             yield batch.filter(pa.array(keep, pa.bool_()))
