@@ -232,7 +232,7 @@ def _cut(text: bytes, spans: list[dict], least: int) -> bytes:
         if span["end"] - span["start"] >= least:
             out.append(text[done : at[span["start"]][0]].rstrip())
             done = at[span["end"] - 1][1]
-    return b"\n".join([*out, text[done:].lstrip()] if out else [text])
+    return b"\n".join(piece for piece in [*out, text[done:].lstrip()] if piece) if out else text
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5,
