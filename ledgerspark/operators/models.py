@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     GBTRegressor, IsotonicRegression, IsotonicRegressionModel, LinearRegression, RandomForestRegressor,
@@ -277,9 +277,30 @@ def adjusted_scores(model_base: DataFrame, features: Sequence[str] | None = None
     return entity_shrunk_score(oof_residuals(model_base, features, n_splits=n_splits), m=m)
 
 
-def encoding(numeric: Sequence[str], categorical: Sequence[str]) -> Pipeline:
-    """Median for numbers, index for texts; an unseen text gets the extra last index."""
-    stages: list = [Imputer(strategy="median", inputCols=list(numeric), outputCols=[f"{c}__f" for c in numeric])]
+MAX_CATEGORIES = 200
+OTHER = "__other__"
+
+
+def frequent(df: DataFrame, column: str, most: int) -> list[str] | None:
+    """The `most` most frequent texts of a column; None if there are no more than that."""
+    top = df.groupBy(column).count().filter(F.col(column).isNotNull()).orderBy(F.desc("count"), column).limit(most + 1).collect()
+    return [row[0] for row in top[:most]] if len(top) > most else None
+
+
+def encoding(numeric: Sequence[str], categorical: Sequence[str], df: DataFrame | None = None, most: int = MAX_CATEGORIES) -> Pipeline:
+    """Median for numbers, index for texts; an unseen text gets the extra last index.
+
+    With df given, a text column of more than `most` values keeps its most frequent ones and puts the rest into one class,
+    so labels on the driver and bins of a tree are bounded.
+    """
+    stages: list = []
+    for c in categorical if df is not None else ():
+        kept = frequent(df, c, most)
+        if kept is not None:
+            listed = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in kept)
+            others = ", ".join(f"`{x}`" for x in df.columns if x != c)
+            stages.append(SQLTransformer(statement=f"SELECT {others}, CASE WHEN `{c}` IN ({listed}) THEN `{c}` ELSE '{OTHER}' END AS `{c}` FROM __THIS__"))
+    stages += [Imputer(strategy="median", inputCols=list(numeric), outputCols=[f"{c}__f" for c in numeric])]
     inputs = [f"{c}__f" for c in numeric]
     if categorical:
         stages.append(StringIndexer(
@@ -294,14 +315,14 @@ def encode_features(train: DataFrame, other: DataFrame, numeric: Sequence[str],
     """Both tables encoded with what the training table alone shows."""
     ready = lambda df: as_double(df, numeric).withColumns(
         {c: F.coalesce(F.col(c).cast("string"), F.lit("__missing__")) for c in categorical})
-    model = encoding(numeric, categorical).fit(ready(train))
+    model = encoding(numeric, categorical, ready(train)).fit(ready(train))
     return model.transform(ready(train)), model.transform(ready(other)), model
 
 
 def regressors(seed: int = 42, rounds: int = 10) -> dict:
     return {
-        "random_forest": RandomForestRegressor(labelCol="_t", numTrees=rounds, maxDepth=6, minInstancesPerNode=2, seed=seed, maxBins=64),
-        "boosted_trees": GBTRegressor(labelCol="_t", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=seed, maxBins=64),
+        "random_forest": RandomForestRegressor(labelCol="_t", numTrees=rounds, maxDepth=6, minInstancesPerNode=2, seed=seed, maxBins=MAX_CATEGORIES + 4),
+        "boosted_trees": GBTRegressor(labelCol="_t", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=seed, maxBins=MAX_CATEGORIES + 4),
         "linear": LinearRegression(labelCol="_t", regParam=0.01, maxIter=50),
     }
 
@@ -344,11 +365,11 @@ def cv_regressors(
             held = rows.filter(F.col("fold") == i)
             if held.isEmpty():
                 continue
-            steps = [*encoding(numeric, categorical).getStages(), estimator]
-            fitted = Pipeline(stages=steps).fit(rows.filter(F.col("fold") != i))
+            others = rows.filter(F.col("fold") != i)
+            fitted = Pipeline(stages=[*encoding(numeric, categorical, others).getStages(), estimator]).fit(others)
             parts.append(fitted.transform(held).select(
                 F.lit(name).alias("model_type"), id_col, "fold", F.col("_t").alias("truth"), F.col("prediction").alias("pred")))
-        finals[name] = Pipeline(stages=[*encoding(numeric, categorical).getStages(), estimator]).fit(rows)
+        finals[name] = Pipeline(stages=[*encoding(numeric, categorical, rows).getStages(), estimator]).fit(rows)
     predictions = parts[0]
     for part in parts[1:]:
         predictions = predictions.unionByName(part)

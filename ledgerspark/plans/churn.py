@@ -70,10 +70,13 @@ def holdout_comparison(test: DataFrame, models: DualModel, id_col: str = "custom
     return one.withColumns({f"delta_{c}": F.col(f"with_{c}") - F.col(f"without_{c}") for c in cols})
 
 
-def batch_score_dual(features: DataFrame, models: DualModel, cfg: BillingConfig = BillingConfig()) -> DataFrame:
+def batch_score_dual(
+    features: DataFrame, models: DualModel, cfg: BillingConfig = BillingConfig(), customers: DataFrame | None = None
+) -> DataFrame:
     """Feature rows -> both decisions, texts and deltas, one row per customer and snapshot.
 
-    Column expressions all the way; nothing is scored row by row.
+    Column expressions all the way; nothing is scored row by row. With customers given, those of them without any history
+    are added as Review rows, their scores null.
     """
     c = F.col
     scored = score_both(features, models)
@@ -90,12 +93,13 @@ def batch_score_dual(features: DataFrame, models: DualModel, cfg: BillingConfig
             f"trained {tag.upper()} inferred-interval features").alias("decision_reason"),
     )
     agree = c("w.recommendation") == c("o.recommendation")
-    return out.select(
+    scored = out.select(
         "customerid", "snapshot_date", c("billing_interval").alias("inferred_interval"), "interval_confidence",
         X.explain_interval(
             c("billing_interval"), conf, c("n_events"), c("n_gaps"), c("median_gap_days"), c("gap_cv"), c("dominant_base"),
             c("dominant_share"), c("n_distinct_bases"), c("recency_days")).alias("interval_reason"),
         c("w.recommendation").alias("recommendation"), c("w.reason").alias("reason"),
+        side("with", "w")["decision_reason"].alias("decision_reason"),
         side("with", "w").alias("with_interval"), side("without", "o").alias("without_interval"),
         F.struct(
             agree.alias("recommendations_agree"),
@@ -105,6 +109,9 @@ def batch_score_dual(features: DataFrame, models: DualModel, cfg: BillingConfig
         ).alias("comparison"),
         "n_events", "median_gap_days",
     )
+    if customers is None:
+        return scored
+    return scored.unionByName(no_history_rows(customers, features), allowMissingColumns=True)
 
 
 def no_history_rows(customers: DataFrame, features: DataFrame) -> DataFrame:

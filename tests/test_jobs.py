@@ -165,3 +165,16 @@ def test_alerts_count_what_did_not_happen(spark):
     daily = spark.createDataFrame(quiet + fired, "day date, guardrail_rule string, n long")
     out = {r["day"].day: r for r in S.rule_alerts(daily, ["r"]).collect()}
     assert len(out) == 30 and out[5]["fired"] == 0 and out[30]["alert"] and out[30]["baseline"] < 0.01
+
+
+def test_many_cities_do_not_break_the_trees(spark, tmp_path):
+    rows = [(f"o{k}", float(k % 17), f"it's city {k % 230}", (k % 7) / 7.0) for k in range(690)]
+    matrix = spark.createDataFrame(rows, "LandLordID string, Area double, OriginCity string, AdjustedScore double")
+    done = ML.cv_regressors(matrix, ["Area"], ["OriginCity"], n_splits=2, models={"random_forest": ML.regressors(rounds=2)["random_forest"]})
+    assert done.predictions.filter(F.col("pred").isNull()).count() == 0 and done.predictions.count() == 690
+    model = done.models["random_forest"]
+    model.write().save(str(tmp_path / "m"))
+    ready = matrix.withColumn("_t", F.col("AdjustedScore"))
+    assert type(model).load(str(tmp_path / "m")).transform(ready).count() == 690
+    unseen = spark.createDataFrame([("x", 1.0, "nowhere", 0.0), ("y", None, None, 0.0)], matrix.schema).withColumn("_t", F.lit(0.0))
+    assert model.transform(unseen.fillna({"OriginCity": "__missing__"})).filter(F.col("prediction").isNull()).count() == 0
