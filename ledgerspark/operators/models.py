@@ -294,17 +294,18 @@ def encoding(numeric: Sequence[str], categorical: Sequence[str], df: DataFrame |
     so labels on the driver and bins of a tree are bounded.
     """
     stages: list = []
+    source = {c: c for c in categorical}
     for c in categorical if df is not None else ():
         kept = frequent(df, c, most)
         if kept is not None:
             listed = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in kept)
-            others = ", ".join(f"`{x}`" for x in df.columns if x != c)
-            stages.append(SQLTransformer(statement=f"SELECT {others}, CASE WHEN `{c}` IN ({listed}) THEN `{c}` ELSE '{OTHER}' END AS `{c}` FROM __THIS__"))
+            stages.append(SQLTransformer(statement=f"SELECT *, CASE WHEN `{c}` IN ({listed}) THEN `{c}` ELSE '{OTHER}' END AS `{c}__k` FROM __THIS__"))
+            source[c] = f"{c}__k"
     stages += [Imputer(strategy="median", inputCols=list(numeric), outputCols=[f"{c}__f" for c in numeric])]
     inputs = [f"{c}__f" for c in numeric]
     if categorical:
         stages.append(StringIndexer(
-            inputCols=list(categorical), outputCols=[f"{c}__i" for c in categorical], handleInvalid="keep",
+            inputCols=[source[c] for c in categorical], outputCols=[f"{c}__i" for c in categorical], handleInvalid="keep",
             stringOrderType="alphabetAsc"))
         inputs += [f"{c}__i" for c in categorical]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
