@@ -12,6 +12,9 @@ same ring or the next one, so each point stays in its ring and also visits the n
 Search in a shard. A vantage-point tree: points within the radius of the vantage point are linked to it and need no
 comparison among themselves; the rest is halved at the median distance, and only points whose ball crosses the
 boundary are compared across it. Each shard emits a spanning forest of its links, never all pairs.
+
+With more than FIRST_BLOCKS blocks the search runs twice: the first blocks join most of a large class, and the others then only
+add links between classes, which keeps the graph small however many blocks there are.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ BLOCK_BITS = 16
 BLOCKS_PER_WORD = 64 // BLOCK_BITS
 SHARD_LIMIT = 4096
 LEAF = 96
+FIRST_BLOCKS = 8
 #: Node numbers from here on stand for fingerprints that only rows without an id have.
 NAMELESS = 1 << 62
 
@@ -139,9 +143,14 @@ def _compare(points: np.ndarray, radius: int, forest: Forest, left: np.ndarray,
                 forest.union(int(rows[i]), int(cols[j]))
 
 
-def vantage_search(points: np.ndarray, radius: int) -> np.ndarray:
-    """Root position of every point under links of at most radius bits, by a vantage-point tree."""
+def vantage_search(points: np.ndarray, radius: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Root position of every point under links of at most radius bits, by a vantage-point tree.
+
+    known: class numbers found before, equal ones adjacent; such points are linked from the start.
+    """
     forest = Forest(len(points))
+    for i in np.flatnonzero(known[1:] == known[:-1]).tolist() if known is not None else ():
+        forest.union(i, i + 1)
     todo = [np.arange(len(points))]
     while todo:
         own = todo.pop()
@@ -187,7 +196,7 @@ def _small_groups(start: np.ndarray, points: np.ndarray, radius: int) -> tuple[n
 
 
 def _shard_links(radius: int, words: int):
-    """Reads rows (shard, node, fp) in shard order and gives the links found in each shard."""
+    """Reads rows (shard, node, fp) in shard and node order and gives the links between nodes found in each shard."""
 
     def solve(shard: np.ndarray, node: np.ndarray, points: np.ndarray) -> pa.RecordBatch:
         new = np.r_[True, shard[1:] != shard[:-1]]
@@ -200,10 +209,10 @@ def _shard_links(radius: int, words: int):
         for f, s in zip(first[size > LEAF].tolist(), size[size > LEAF].tolist()):
             own = node[f : f + s]
             a.append(own)
-            b.append(own[vantage_search(points[f : f + s], radius)])
-        a, b = np.concatenate(a), np.concatenate(b)
-        keep = a != b
-        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+            b.append(own[vantage_search(points[f : f + s], radius, own)])
+        pairs = np.stack([np.concatenate(a), np.concatenate(b)], axis=1)
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -229,8 +238,8 @@ def _column_distance(a: Column, b: Column) -> Column:
     return F.aggregate(bits, F.lit(0), lambda total, x: total + x)
 
 
-def shard_rows(points: DataFrame, radius: int, words: int, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """(shard bigint, node, fp): every point once per block, large shards cut into rings that overlap by the radius."""
+def shard_rows(points: DataFrame, radius: int, first: int, stop: int, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """(shard bigint, node, fp): every point once per block from first to stop - 1, large shards cut into rings that overlap."""
 
     def block(i: Column) -> Column:
         word = F.element_at("fp", (F.floor(i / BLOCKS_PER_WORD) + 1).cast("int"))
@@ -238,12 +247,12 @@ def shard_rows(points: DataFrame, radius: int, words: int, shard_limit: int = SH
         value = F.call_function("shiftrightunsigned", word, shift).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
         return i.cast("bigint") * F.lit(1 << BLOCK_BITS) + value
 
-    blocks = F.sequence(F.lit(0), F.lit(words * BLOCKS_PER_WORD - 1))
-    rows = points.select("node", "fp", F.explode(F.transform(blocks, block)).alias("block"))
-    large = (
-        rows.groupBy("block").agg(F.count("*").alias("n"), F.min_by("fp", "node").alias("vantage"))
-        .where(F.col("n") > shard_limit).select("block", "vantage")
-    )
+    blocks = F.sequence(F.lit(first), F.lit(stop - 1))
+    rows = points.select("key", "node", "fp", F.explode(F.transform(blocks, block)).alias("block"))
+    counts = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("key").alias("key")).where(F.col("n") > shard_limit)
+    # Written once, so its size is known: the points meet a broadcast table while it is small, a sorted one beyond.
+    large = materialise(counts.select("block", "key"), "large_shards").join(points, "key").select("block", F.col("fp").alias("vantage"))
+    large = materialise(large, "vantage_points")
     width = radius + 1
     far = _column_distance(F.col("fp"), F.col("vantage"))
     rings = F.when(F.col("vantage").isNull(), F.array(F.lit(0))).otherwise(
@@ -256,11 +265,15 @@ def shard_rows(points: DataFrame, radius: int, words: int, shard_limit: int = SH
     )
 
 
-def links(points: DataFrame, radius: int, words: int, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """(a, b) node pairs that span the same classes as all links of at most radius bits found in the shards."""
-    rows = shard_rows(points, radius, words, shard_limit)
+def links(points: DataFrame, radius: int, words: int, first: int, stop: int, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """(a, b) node pairs that span the same classes as all links of at most radius bits found in the blocks' shards.
+
+    points: (key, node, fp); key tells the points apart, those of one node are linked already.
+    """
+    rows = shard_rows(points, radius, first, stop, shard_limit)
     width = C.shuffle_width(points.sparkSession)
-    placed = rows.repartition(width, "shard").sortWithinPartitions("shard")
+    # In node order the root of every class of a shard is its smallest node, so shards agree on the links of a large class.
+    placed = rows.repartition(width, "shard").sortWithinPartitions("shard", "node")
     return placed.mapInArrow(_shard_links(radius, words), "a bigint, b bigint")
 
 
@@ -274,13 +287,14 @@ def classes(docs: DataFrame, radius: int = 3, shingle: int = 3, words: int = 1,
     """
     prints = materialise(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
     nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("fp"), 2)
-    points = materialise(
-        prints.groupBy("fp").agg(F.min("id").alias("low")).select("fp", F.coalesce("low", nameless).alias("node")), "points"
-    )
-    star = components(links(points, radius, words, shard_limit))
-    placed = points.join(star, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    named = F.when(F.col("root") < NAMELESS, F.col("root"))
-    return prints.join(placed, "fp", "left").select("id", "fp", named.alias("component"))
+    points = prints.groupBy("fp").agg(F.min("id").alias("low")).select(F.coalesce("low", nameless).alias("key"), "fp")
+    points = materialise(points.select("key", F.col("key").alias("node"), "fp"), "points")
+    blocks = words * BLOCKS_PER_WORD
+    for first, stop in ((0, FIRST_BLOCKS), (FIRST_BLOCKS, blocks)) if blocks > FIRST_BLOCKS else ((0, blocks),):
+        star = components(links(points, radius, words, first, stop, shard_limit))
+        points = materialise(points.join(star, "node", "left").select("key", F.coalesce("root", "node").alias("node"), "fp"), "points")
+    named = F.when(F.col("node") < NAMELESS, F.col("node"))
+    return prints.join(points, "fp", "left").select("id", "fp", named.alias("component"))
 
 
 def similarity_radius(similarity: float, words: int) -> int:
@@ -302,11 +316,16 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, word
     (eight words: over nine in ten of the pairs right at 0.8 meet, nearly all above). Rows without an id are kept, and
     so are all rows without words but one. Repeated rows count as one document: one of them stays.
     """
-    found = classes(docs, similarity_radius(similarity, words), shingle, words)
-    # One row per class: its smallest id. Rows are matched by id only, so no text is shuffled for rows that go.
-    keep = found.where(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    named = docs.join(keep, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    found = materialise(classes(docs, similarity_radius(similarity, words), shingle, words).select("id", "component"), "classes")
+    ids = found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n"), F.max("component").alias("component"))
+    # The two lists of ids are written, so that texts are shuffled only where a list has outgrown a broadcast.
+    gone = materialise(ids.where(F.col("doc_id") != F.col("component")).select("doc_id"), "near_duplicates")
+    again = materialise(ids.where("n > 1 and doc_id = component").select("doc_id"), "repeated_ids")
+    left = docs.join(gone, "doc_id", "left_anti")
+    if again.isEmpty():
+        return left
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").unionByName(once)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,12 +63,30 @@ def test_classes_match_brute_force_also_with_split_shards(spark, limit):
     assert got == {k + 10: int(c) + 10 for k, c in enumerate(brute_classes(points, 3))}
 
 
+def test_two_passes_give_the_classes_of_the_blocks(spark):
+    """Eight words: a link is a pair that shares a 16-bit block and differs in few enough bits."""
+    texts = []
+    for k in range(30):
+        base = words(k, 120).split()
+        texts += [" ".join(base)] + [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in (10, 60, 110)]
+    rows = [(k, t, "en", "a", 0) for k, t in enumerate(texts)]
+    got = {r.id: r.component for r in simhash.classes(spark.createDataFrame(rows, DOCS), 78, 5, 8, shard_limit=6).collect()}
+    points = np.array([simhash.fingerprint(t.encode(), 5, 8) for t in texts])
+    halves = points.view(np.uint16)
+    meet = (halves[:, None] == halves[None]).any(axis=-1) & (np.bitwise_count(points[:, None] ^ points[None]).sum(axis=-1) <= 78)
+    label = np.arange(len(points))
+    while not ((new := np.array([label[row].min() for row in meet])) == label).all():
+        label = new
+    assert got == dict(enumerate(label.tolist()))
+
+
 def test_near_points_around_a_hot_block(spark):
     rng = np.random.default_rng(3)
     values = {int(x) for x in rng.integers(0, 1 << 12, 900)} | {int(x) << 40 for x in rng.integers(0, 1 << 12, 200)}
     points = np.array(sorted(values), np.uint64)[:, None]
     frame = spark.createDataFrame([(i, [int(v[0])]) for i, v in enumerate(points)], "node bigint, fp array<bigint>")
-    found = {r.node: r.root for r in graph.components(simhash.links(frame, 3, 1, shard_limit=50)).collect()}
+    frame = frame.withColumn("key", frame["node"])
+    found = {r.node: r.root for r in graph.components(simhash.links(frame, 3, 1, 0, 4, shard_limit=50)).collect()}
     assert [found.get(i, i) for i in range(len(points))] == brute_classes(points, 3).tolist()
 
 
