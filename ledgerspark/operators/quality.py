@@ -184,7 +184,7 @@ def check_ranges(df: DataFrame, columns: Sequence[str], dataset: str) -> DataFra
     aggs, rows = [], []
     for i, c in enumerate(c for c in columns if c in df.columns):
         v = F.col(f"`{c}`").try_cast("double")
-        aggs += [count_if(v < 0).alias(f"neg{i}"), F.min(v).alias(f"min{i}")]
+        aggs += [count_if(v < 0).alias(f"neg{i}"), F.round(F.min(v), 4).alias(f"min{i}")]
         rows.append(finding(
             "range_check", WARNING, dataset, c, text(f"{dataset}.{c}: ", F.col(f"neg{i}"), " negative values"),
             F.col(f"neg{i}") > 0, negative_count=F.col(f"neg{i}"), min_value=F.col(f"min{i}")))
