@@ -95,13 +95,14 @@ def compare_models(spark, sf):
     return M.compare_models(model_folds(spark, sf))
 
 
-@query("suggest_model", f"""WITH {FOLD_SQL}, c AS (SELECT model_type, round(avg(mae), 5) AS mae_mean, round(avg(rmse), 5) AS rmse_mean, round(avg(r2), 5) AS r2_mean, round(avg(spearman), 5) AS sp FROM f GROUP BY 1),
-o AS (SELECT model_type, mae_mean, row_number() OVER (ORDER BY mae_mean, sp DESC) AS k FROM c)
+@query("suggest_model", f"""WITH {FOLD_SQL}, c AS (SELECT model_type, round(avg(mae), 5) AS mae_mean, round(stddev_pop(mae), 5) AS mae_std, round(avg(rmse), 5) AS rmse_mean, round(avg(r2), 5) AS r2_mean, round(avg(spearman), 5) AS sp FROM f GROUP BY 1),
+o AS (SELECT model_type, mae_mean, mae_std, sp, row_number() OVER (ORDER BY mae_mean, sp DESC) AS k FROM c)
 SELECT (SELECT model_type FROM o WHERE k = 1) AS best_model, (SELECT arg_min(model_type, mae_mean) FROM c) AS best_mae, (SELECT arg_min(model_type, rmse_mean) FROM c) AS best_rmse,
   (SELECT arg_max(model_type, r2_mean) FROM c) AS best_r2, (SELECT arg_max(model_type, sp) FROM c) AS best_spearman, (SELECT model_type FROM o WHERE k = 2) AS runner_up,
-  round(((SELECT mae_mean FROM o WHERE k = 2) - (SELECT mae_mean FROM o WHERE k = 1)) / (SELECT mae_mean FROM o WHERE k = 1) * 100, 4) AS gap_pct, false AS near_tie""")
+  round(((SELECT mae_mean FROM o WHERE k = 2) - (SELECT mae_mean FROM o WHERE k = 1)) / (SELECT mae_mean FROM o WHERE k = 1) * 100, 4) AS gap_pct, false AS near_tie,
+  (SELECT model_type || ' is recommended: best mae_mean=' || printf('%.5f', mae_mean) || ' (±' || printf('%.5f', mae_std) || '), spearman_mean=' || printf('%.5f', sp) || '.' FROM o WHERE k = 1) AS reason""")
 def suggest_model(spark, sf):
-    return M.suggest_model(M.compare_models(model_folds(spark, sf))).drop("reason")
+    return M.suggest_model(M.compare_models(model_folds(spark, sf)))
 
 
 @query("lift_table", f"""WITH {SC}, o AS (SELECT dollars, p_treat, ntile(10) OVER (ORDER BY p_treat DESC, md5(CAST(id AS VARCHAR))) AS bin FROM scored)
@@ -125,7 +126,7 @@ def residual_summary(spark, sf):
     return rounded(M.residual_summary(scored(spark, sf), "id", "dollars", "pred"), 4, ["oof_pred", "residual", "abs_error"])
 
 
-N_BOOT = 40
+N_BOOT = 150
 BOOT_SQL = f"""{SC}, rep AS (SELECT unnest(generate_series(0, {N_BOOT})) AS replicate),
 u AS (SELECT scored.*, replicate, CASE WHEN replicate = 0 THEN 0 ELSE CAST('0x' || substr(md5('42|' || ((replicate - 1) // 4) || '|' || id), 1 + 8 * ((replicate - 1) % 4), 8) AS UBIGINT) / 4294967296.0::DOUBLE END AS u FROM scored, rep),
 drawn AS (SELECT *, CASE WHEN replicate = 0 THEN 1 ELSE {poisson1_sql('u')} END AS w FROM u)"""
@@ -162,10 +163,14 @@ n AS (SELECT y, p_base, p_treat,
 k AS (SELECT sum(y)::DOUBLE AS m, count(*) - sum(y)::DOUBLE AS nn FROM scored),
 v AS (SELECT y, CASE WHEN y = 1 THEN ob / nn ELSE 1 - ob / m END AS vb, CASE WHEN y = 1 THEN ot / nn ELSE 1 - ot / m END AS vt FROM n, k),
 s AS (SELECT y, avg(vb) AS mb, avg(vt) AS mt, var_samp(vt - vb) / count(*) AS vd FROM v GROUP BY 1),
-o AS (SELECT max(mb) FILTER (WHERE y = 1) AS a, max(mt) FILTER (WHERE y = 1) AS b, sum(vd) AS var FROM s)
-SELECT round(a, 4) AS auc_base, round(b, 4) AS auc_treatment, round(b - a, 4) AS delta, round((b - a) / sqrt(var), 4) AS z FROM o""")
+o AS (SELECT max(mb) FILTER (WHERE y = 1) AS a, max(mt) FILTER (WHERE y = 1) AS b, sum(vd) AS var FROM s),
+z AS (SELECT a, b, CASE WHEN var > 1e-18 THEN (b - a) / sqrt(var) END AS z, 1 / (1 + 0.2316419 * abs((b - a) / sqrt(var))) AS t FROM o),
+p AS (SELECT *, CASE WHEN z IS NULL THEN 1.0 ELSE 2 * exp(-z * z / 2) / 2.5066282746310002
+  * (0.319381530 * t - 0.356563782 * t ** 2 + 1.781477937 * t ** 3 - 1.821255978 * t ** 4 + 1.330274429 * t ** 5) END AS p FROM z)
+SELECT round(a, 4) AS auc_base, round(b, 4) AS auc_treatment, round(b - a, 4) AS delta, round(coalesce(z, 0), 4) AS z, round(p, 4) AS p_value,
+  p < 0.05 AND b > a AS significant FROM p""")
 def delong_test(spark, sf):
-    return S.delong_test(scored(spark, sf)).drop("p_value", "significant")
+    return S.delong_test(scored(spark, sf))
 
 
 @query("ablation_verdict")

@@ -271,10 +271,13 @@ def profile_report_landlords(spark, sf):
     return B.stack_snapshots(parts)
 
 
-@query("observe_quality", """SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1""")
+@query("observe_quality", """SELECT count(*) AS n_rows, avg(CASE WHEN o_custkey IS NULL THEN 1.0 ELSE 0 END) AS null_customer_rate, avg(CASE WHEN o_orderdate IS NULL THEN 1.0 ELSE 0 END) AS null_date_rate,
+  avg(CASE WHEN o_totalprice IS NULL THEN 1.0 ELSE 0 END) AS null_amount_rate, avg(CASE WHEN o_totalprice <= 0 THEN 1.0 ELSE 0 END) AS non_positive_amount_rate,
+  CAST(min(o_orderdate) AS VARCHAR) AS date_min, CAST(max(o_orderdate) AS VARCHAR) AS date_max, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS states FROM orders""")
 def observe_quality(spark, sf):
     """Quality numbers ride along with the aggregation that reads the table."""
-    seen, _ = P.observe_quality(D.table(spark, sf, "orders"), customer="o_custkey", date="o_orderdate", amount="o_totalprice")
-    return seen.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-
-
+    seen, numbers = P.observe_quality(D.table(spark, sf, "orders"), customer="o_custkey", date="o_orderdate", amount="o_totalprice")
+    states = len(seen.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).collect())
+    row = {k: str(v) if k.startswith("date") else v for k, v in numbers.get.items()}
+    return spark.createDataFrame(
+        [(*row.values(), states)], ", ".join(f"{k} {'string' if k.startswith('date') else 'bigint' if k == 'n_rows' else 'double'}" for k in row) + ", states bigint")
