@@ -205,7 +205,7 @@ def _matched(rows: DataFrame, benchmark: DataFrame, window: int, shard_bytes: in
     for k, items in enumerate(_shards(benchmark, shard_bytes, item_col, text_col)):
         if k:
             found = materialise(found, "matched")
-        found = found.mapInArrow(passes(spark.sparkContext.broadcast(Automaton(items, window))), schema)
+        found = found.mapInArrow(C.tidied(passes(spark.sparkContext.broadcast(Automaton(items, window)))), schema)
     return found
 
 
@@ -273,13 +273,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     shards = list(_shards(benchmark, shard_bytes, "item_id", "text")) if min_span <= window else []
     if not shards:
-        kept = kept.mapInArrow(cut(None), f"rest {rest_type}, text string")
+        kept = kept.mapInArrow(C.tidied(cut(None)), f"rest {rest_type}, text string")
     for k, items in enumerate(shards):
         if k:  # a later shard is asked again about the text that the earlier ones left
             again = _matched(kept.select("rest", "text"), benchmark, window, shard_bytes, "item_id", "text")
             kept = materialise(again.select("rest", "text", "spans"), "cut")
         shared = docs.sparkSession.sparkContext.broadcast(Automaton(items, window))
-        kept = kept.mapInArrow(cut(shared), f"rest {rest_type}, text string")
+        kept = kept.mapInArrow(C.tidied(cut(shared)), f"rest {rest_type}, text string")
     size = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in others else {}
     columns = [F.col("text") if c == "text" else F.coalesce(size[c], F.col(f"rest.`{c}`")).alias(c) if c in size else F.col(f"rest.`{c}`")
                for c in docs.columns]

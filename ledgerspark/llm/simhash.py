@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["id", "fp"])
 
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "id bigint, fp array<bigint>")
+    return narrow.mapInArrow(C.tidied(run), "id bigint, fp array<bigint>")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -274,7 +274,7 @@ def links(points: DataFrame, radius: int, words: int, first: int, stop: int, sha
     width = C.shuffle_width(points.sparkSession)
     # In node order the root of every class of a shard is its smallest node, so shards agree on the links of a large class.
     placed = rows.repartition(width, "shard").sortWithinPartitions("shard", "node")
-    return placed.mapInArrow(_shard_links(radius, words), "a bigint, b bigint")
+    return placed.mapInArrow(C.tidied(_shard_links(radius, words)), "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, radius: int = 3, shingle: int = 3, words: int = 1, shard_limit: int = SHARD_LIMIT,

@@ -37,7 +37,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern by which the tokenizer's makers cut text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEQUENCE = 256
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 KEY = 0x5DEECE66D1F3A7B9
 ROUNDS = 6
 #: A worker packs its sequences when so many bytes wait.
@@ -226,7 +226,7 @@ def write(docs: DataFrame, out: str | None = None, length: int = SEQUENCE, shard
     end = len(vocabulary.value.splitlines())
     stride = length * (2 if end < 1 << 16 else 4)
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = narrow.mapInArrow(_counter(vocabulary, length), "partition bigint, n bigint").collect()  # one row per input split
+    counts = narrow.mapInArrow(C.tidied(_counter(vocabulary, length)), "partition bigint, n bigint").collect()  # one row per input split
     starts, total = {}, 0
     for partition, n in sorted((r.partition, r.n) for r in counts):
         starts[partition] = total
@@ -241,10 +241,10 @@ def write(docs: DataFrame, out: str | None = None, length: int = SEQUENCE, shard
     store, root = fs.FileSystem.from_uri(out)
     store.create_dir(root, recursive=True)
     packed = narrow.mapInArrow(
-        _packer(vocabulary, context.broadcast(starts), total, length, per_shard, per_task, key), _PACKED
+        C.tidied(_packer(vocabulary, context.broadcast(starts), total, length, per_shard, per_task, key)), _PACKED
     )
     ranged = packed.repartitionById(tasks, F.col("task")).sortWithinPartitions("shard")
-    index = materialise(ranged.mapInArrow(_writer(out, total, stride, per_shard), _INDEX), "shard_index")
+    index = materialise(ranged.mapInArrow(C.tidied(_writer(out, total, stride, per_shard)), _INDEX), "shard_index")
     meta = {"sequences": total, "length": length, "token_bytes": stride // length, "stride": stride, "per_shard": per_shard,
             "shards": shards, "end_token": end, "key": key, "index": index.inputFiles()[0].rsplit("/", 1)[0]}
     with store.open_output_stream(f"{root}/meta.json") as file:

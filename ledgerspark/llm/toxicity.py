@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(
         F.broadcast(drawn), F.col("doc_id") == F.col("label_id")  # at most 2 * rows_per_class ids
     ).select("text", "label")
-    counted = sample.mapInArrow(_stated, "feature string, bad bigint, good bigint").groupBy("feature").agg(
+    counted = sample.mapInArrow(C.tidied(_stated), "feature string, bad bigint, good bigint").groupBy("feature").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good")
     )
     n = {k: min(v, rows_per_class) for k, v in sizes.items()}
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     spread = F.sqrt((F.col("bad") + 1) / n[1] ** 2 + (F.col("good") + 1) / n[0] ** 2)
     top = counted.where((F.col("bad") >= MIN_ROWS) & (gap > 0)).orderBy(F.desc(gap / spread), "feature").limit(n_features).select("feature").collect()
     names = sorted({r.feature for r in top} | set(_SWAPS))
-    rows = sample.mapInArrow(_encoded({f: i for i, f in enumerate(names)}), "label int, own array<int>, other array<int>").collect()
+    rows = sample.mapInArrow(C.tidied(_encoded({f: i for i, f in enumerate(names)})), "label int, own array<int>, other array<int>").collect()
     rows.sort(key=lambda r: (r.label, r.own, r.other or []))
     if len({r.label for r in rows}) < 2:
         return Model({}, 30.0 if rows and rows[0].label else -30.0)
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: Model, cutoff: float = CUTOFF, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scored = narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = narrow.mapInArrow(C.tidied(run), f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
 
 
@@ -231,7 +231,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) ->
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     rest = packed.schema["rest"].dataType.simpleString()
-    kept = packed.mapInArrow(run, f"rest {rest}, text string")
+    kept = packed.mapInArrow(C.tidied(run), f"rest {rest}, text string")
     return kept.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
 
 
