@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import sys
 import uuid
 import zlib
@@ -36,6 +37,9 @@ from ledgerspark.session import materialise, new_scratch
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern by which the tokenizer's makers cut text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same pattern without its lookahead, which only matters where white space meets white space.
+PLAIN_PATTERN = PATTERN.replace(r"|\s+(?!\S)", "")
+_SPACE_RUN = re.compile(r"\s\s")
 SEQUENCE = 256
 SHARD_BYTES = 16 << 20
 KEY = 0x5DEECE66D1F3A7B9
@@ -76,12 +80,17 @@ class Tokenizer:
         self.kind = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
         self.code = "H" if self.end < 1 << 16 else "I"
         self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # Without lookahead the pieces are found much faster, and they are the same in texts without runs of white space.
+        self.plain = tiktoken.Encoding("plain", pat_str=PLAIN_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> list[int]:
+        return (self.coder if _SPACE_RUN.search(text) else self.plain).encode_ordinary(text)
 
     def count(self, text: str) -> int:
-        return len(self.coder.encode_ordinary(text))
+        return len(self.ids(text))
 
     def encode(self, text: str) -> bytes:
-        ids = array(self.code, self.coder.encode_ordinary(text))
+        ids = array(self.code, self.ids(text))
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()

@@ -23,9 +23,10 @@ def test_slots_are_a_permutation(total):
         assert list(O.slots(np.arange(total), total, 1)) != list(O.slots(np.arange(total), total, 2))
 
 
-@pytest.mark.parametrize("text", ["a  b", "a\n b", " a", "a ", "\n\n a", "a \n", "é  b", "  ", " ", "a   b\t c", "It's x, y! 12 34", "a\u00a0b \u3000c", "\ufeffx <|endoftext|> y"])
+@pytest.mark.parametrize("text", ["a  b", "a\n b", " a", "a ", "\n\n a", "a \n", "é  b", "  ", " ", "a   b\t c", "It's x, y! 12 34", "a\nb\tc\u2003d\u0085e f\n", "x\u001cy\u001c\u001cz", "tail ", "a\u00a0b \u3000c", "\ufeffx <|endoftext|> y"])
 def test_tokens_decode_to_the_text(coder, text):
     ids = np.frombuffer(coder.encode(text), coder.kind)
+    assert ids.tolist() == coder.coder.encode_ordinary(text)
     assert len(ids) == coder.count(text) and coder.coder.decode(ids.tolist()) == text
     parts = coder.sequences(text, 4)
     assert b"".join(p[: n * coder.kind.itemsize] for p, n in parts) == coder.encode(text) + np.array([coder.end], coder.kind).tobytes()
