@@ -198,7 +198,7 @@ def cv_regressors(spark, sf):
     base = materialise(scored_base(spark, sf), "base")
     for kind in ("with_portfolio", "landlord_only"):
         m = materialise(P.build_landlord_matrix(D.landlords(spark, sf), base, P.entity_shrunk_score(base), D.AS_OF_YEAR, kind), "owners")
-        done = ML.cv_regressors(m, *P.feature_lists(m))
+        done = ML.cv_regressors(m, *P.feature_lists(m), final=False)
         counts = done.predictions.filter(F.col("pred").isNotNull()).groupBy("model_type", "fold").agg(F.count(F.lit(1)).alias("n"))
         parts.append(done.folds.drop("n").join(counts, ["model_type", "fold"]).select(
             F.lit(kind).alias("feature_set"), "model_type", "fold", "n", holds((F.col("mae") >= 0) & (F.col("rmse") >= F.col("mae") - 1e-12)).alias("errors_in_order")))

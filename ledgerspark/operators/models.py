@@ -291,8 +291,10 @@ def encoding(numeric: Sequence[str], categorical: Sequence[str], df: DataFrame |
     """Median for numbers, index for texts; an unseen text gets the extra last index.
 
     With df given, a text column of more than `most` values keeps its most frequent ones and puts the rest into one class,
-    so labels on the driver and bins of a tree are bounded.
+    so labels on the driver and bins of a tree are bounded. A tree has no more bins than rows, so fewer rows bound them, too.
     """
+    if df is not None and categorical:
+        most = max(1, min(most, df.limit(most + 2).count() - 2))
     stages: list = []
     source = {c: c for c in categorical}
     for c in categorical if df is not None else ():
@@ -349,8 +351,9 @@ class Validated:
 def cv_regressors(
     matrix: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str = "AdjustedScore",
     id_col: str = "LandLordID", n_splits: int = 5, models: Mapping | None = None, seed: int = 42,
+    final: bool = True,
 ) -> Validated:
-    """Grouped cross-validation of several regressors: fold metrics, out-of-fold rows, final fits."""
+    """Grouped cross-validation of several regressors: fold metrics, out-of-fold rows, and final fits unless not asked for."""
     from ledgerspark.operators.metrics import regression_metrics
 
     models = dict(models or regressors(seed))
@@ -370,7 +373,8 @@ def cv_regressors(
             fitted = Pipeline(stages=[*encoding(numeric, categorical, others).getStages(), estimator]).fit(others)
             parts.append(fitted.transform(held).select(
                 F.lit(name).alias("model_type"), id_col, "fold", F.col("_t").alias("truth"), F.col("prediction").alias("pred")))
-        finals[name] = Pipeline(stages=[*encoding(numeric, categorical, rows).getStages(), estimator]).fit(rows)
+        if final:
+            finals[name] = Pipeline(stages=[*encoding(numeric, categorical, rows).getStages(), estimator]).fit(rows)
     predictions = parts[0]
     for part in parts[1:]:
         predictions = predictions.unionByName(part)
