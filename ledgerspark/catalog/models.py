@@ -211,7 +211,7 @@ def fitted_owner_model(spark, sf):
     numeric = ML.usable(m, numeric)
     ready = ML.as_double(m, numeric).withColumns({c: F.coalesce(F.col(c), F.lit("__missing__")) for c in texts}).withColumn(
         "_t", F.col("AdjustedScore"))
-    model = Pipeline(stages=[*ML.encoding(numeric, texts, ready).getStages(), ML.regressors()["random_forest"]]).fit(ready)
+    model = Pipeline(stages=[*ML.encoding(numeric, texts, ready, trees=True).getStages(), ML.regressors()["random_forest"]]).fit(ready)
     return materialise(ready, "ready"), model, [*numeric, *texts]
 
 

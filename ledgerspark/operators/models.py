@@ -287,13 +287,13 @@ def frequent(df: DataFrame, column: str, most: int) -> list[str] | None:
     return [row[0] for row in top[:most]] if len(top) > most else None
 
 
-def encoding(numeric: Sequence[str], categorical: Sequence[str], df: DataFrame | None = None, most: int = MAX_CATEGORIES) -> Pipeline:
+def encoding(numeric: Sequence[str], categorical: Sequence[str], df: DataFrame | None = None, most: int = MAX_CATEGORIES, trees: bool = False) -> Pipeline:
     """Median for numbers, index for texts; an unseen text gets the extra last index.
 
     With df given, a text column of more than `most` values keeps its most frequent ones and puts the rest into one class,
-    so labels on the driver and bins of a tree are bounded. A tree has no more bins than rows, so fewer rows bound them, too.
+    so labels on the driver and bins of a tree are bounded. A tree has no more bins than rows: trees=True bounds by them, too.
     """
-    if df is not None and categorical:
+    if trees and df is not None and categorical:
         most = max(1, min(most, df.limit(most + 2).count() - 2))
     stages: list = []
     source = {c: c for c in categorical}
@@ -370,11 +370,11 @@ def cv_regressors(
             if held.isEmpty():
                 continue
             others = rows.filter(F.col("fold") != i)
-            fitted = Pipeline(stages=[*encoding(numeric, categorical, others).getStages(), estimator]).fit(others)
+            fitted = Pipeline(stages=[*encoding(numeric, categorical, others, trees=True).getStages(), estimator]).fit(others)
             parts.append(fitted.transform(held).select(
                 F.lit(name).alias("model_type"), id_col, "fold", F.col("_t").alias("truth"), F.col("prediction").alias("pred")))
         if final:
-            finals[name] = Pipeline(stages=[*encoding(numeric, categorical, rows).getStages(), estimator]).fit(rows)
+            finals[name] = Pipeline(stages=[*encoding(numeric, categorical, rows, trees=True).getStages(), estimator]).fit(rows)
     predictions = parts[0]
     for part in parts[1:]:
         predictions = predictions.unionByName(part)
