@@ -6,9 +6,9 @@ of four is larger than N; the result is its global slot. Slots are dealt to shar
 tasks, which write flat files: every sequence has the same stride, so slot s starts at byte (s mod per_shard) * stride of
 shard s div per_shard, and a reader can start anywhere. A file is moved into place when it is whole; rerun tasks write the same.
 
-Only sequences are shuffled, packed and compressed per task and shard. Numbers need no shuffle: a first pass counts the
-sequences of every input partition, and the second adds them up. So docs has to be read from files, which Spark splits
-the same way in both passes; anything else goes through `session.materialise` first.
+Texts are tokenised once: packed sequences are written with the number of the input partition and their place in it, and
+numbers follow from those written rows. So no later change of the splits moves a number, and numbers need no shuffle; only
+sequences are shuffled, packed and compressed per task and shard. A shard that is not filled exactly fails the job.
 """
 
 from __future__ import annotations
@@ -44,8 +44,11 @@ SEQUENCE = 256
 SHARD_BYTES = 16 << 20
 KEY = 0x5DEECE66D1F3A7B9
 ROUNDS = 6
-#: A worker packs its sequences when so many bytes wait.
+#: A worker writes its sequences when PIECE_BYTES wait, and packs them by shard when FLUSH_BYTES wait.
+PIECE_BYTES = 2 << 20
 FLUSH_BYTES = 8 << 20
+#: Of zstd, for what is written or shuffled on the way.
+LEVEL = 6
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -112,15 +115,41 @@ def _read_vocabulary(path: str) -> bytes:
         return file.read()
 
 
-def _counter(shared, length: int):
+_PIECES = "partition int, first bigint, n bigint, doc_id array<bigint>, part binary, n_tokens binary, tokens binary"
+
+
+def _cutter(shared, length: int):
+    """Rows of sequences in reading order; first: place of a row's first sequence among those of its input partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Tokenizer(shared.value)
-        n = 0
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        partition, first = TaskContext.get().partitionId(), 0
+        held: list[tuple[int | None, int, int, bytes]] = []
+        waiting = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal first, held, waiting
+            row = (
+                partition, first, len(held), [x[0] for x in held], np.array([x[1] for x in held], "<i4").tobytes(),
+                np.array([x[2] for x in held], "<i4").tobytes(), pack.compress(b"".join(x[3] for x in held)),
+            )
+            first += len(held)
+            held, waiting = [], 0
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x], k) for x, k in zip(row, kinds)], ["partition", "first", "n", "doc_id", "part", "n_tokens", "tokens"]
+            )
+
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                if text:
-                    n += -(-(coder.count(text) + 1) // length)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n])], ["partition", "n"])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for part, (ids, n) in enumerate(coder.sequences(text, length)):
+                    held.append((doc, part, n, ids))
+                    waiting += len(ids)
+                if waiting >= PIECE_BYTES:
+                    yield flush()
+        if held:
+            yield flush()
 
     return run
 
@@ -128,29 +157,28 @@ def _counter(shared, length: int):
 _PACKED = "task int, shard bigint, slot binary, doc_id array<bigint>, part binary, n_tokens binary, tokens binary"
 
 
-def _packer(shared, starts, total: int, length: int, per_shard: int, shards_per_task: int, key: int):
+def _packer(starts, total: int, stride: int, per_shard: int, shards_per_task: int, key: int):
     """Rows of packed sequences, one per shard and flush."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Tokenizer(shared.value)
-        number = starts.value[TaskContext.get().partitionId()]
-        held: list[tuple[int | None, int, int, bytes]] = []
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        held: list[tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray]] = []
         waiting = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, held, waiting
-            place = slots(np.arange(number, number + len(held)), total, key)
-            number += len(held)
+            nonlocal held, waiting
+            number, part, n, ids = (np.concatenate([x[k] for x in held]) for k in (0, 2, 3, 4))
+            docs = [d for x in held for d in x[1]]
+            place = slots(number, total, key)
             order = np.argsort(place)
             shard = place[order] // per_shard
             cuts = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
             rows = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                own = [held[i] for i in order[a:b].tolist()]
+                own = order[a:b]
                 rows.append((
-                    int(shard[a]) // shards_per_task, int(shard[a]), place[order[a:b]].tobytes(), [x[0] for x in own],
-                    np.array([x[1] for x in own], "<i4").tobytes(), np.array([x[2] for x in own], "<i4").tobytes(),
-                    zstandard.ZstdCompressor(level=3).compress(b"".join(x[3] for x in own)),
+                    int(shard[a]) // shards_per_task, int(shard[a]), place[own].tobytes(), [docs[i] for i in own.tolist()],
+                    part[own].tobytes(), n[own].tobytes(), pack.compress(ids[own].tobytes()),
                 ))
             held, waiting = [], 0
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
@@ -159,10 +187,13 @@ def _packer(shared, starts, total: int, length: int, per_shard: int, shards_per_
             )
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for part, (ids, n) in enumerate(coder.sequences(text, length)):
-                    held.append((doc, part, n, ids))
-                    waiting += len(ids)
+            for x in batch.to_pylist():
+                start = starts.value[x["partition"]] + x["first"]
+                ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(x["tokens"]), np.uint8).reshape(-1, stride)
+                held.append((
+                    np.arange(start, start + x["n"]), x["doc_id"], np.frombuffer(x["part"], "<i4"), np.frombuffer(x["n_tokens"], "<i4"), ids,
+                ))
+                waiting += ids.size
                 if waiting >= FLUSH_BYTES:
                     yield flush()
         if held:
@@ -182,13 +213,15 @@ def _writer(out: str, total: int, stride: int, per_shard: int):
     """Writes each shard as it has been read whole; gives one index row per sequence."""
 
     def place(store, root: str, shard: int, buffer: bytearray, rows: list) -> pa.RecordBatch:
+        slot, doc, part, n = (np.concatenate([r[k] for r in rows]) if k != 1 else [d for r in rows for d in r[1]] for k in range(4))
+        row = slot - shard * per_shard
+        if not np.array_equal(np.sort(row), np.arange(min(per_shard, total - shard * per_shard))):
+            raise RuntimeError(f"shard {shard}: {len(row)} sequences do not fill its slots once each")
         final = f"{root}/{shard_name(shard)}"
         draft = f"{final}.{uuid.uuid4().hex}.tmp"
         with store.open_output_stream(draft) as file:
             file.write(buffer)
         store.move(draft, final)
-        slot, doc, part, n = (np.concatenate([r[k] for r in rows]) if k != 1 else [d for r in rows for d in r[1]] for k in range(4))
-        row = slot - shard * per_shard
         view = memoryview(buffer)
         crc = [zlib.crc32(view[r * stride : (r + 1) * stride]) for r in row.tolist()]
         return pa.RecordBatch.from_arrays(
@@ -235,7 +268,8 @@ def write(docs: DataFrame, out: str | None = None, length: int = SEQUENCE, shard
     end = len(vocabulary.value.splitlines())
     stride = length * (2 if end < 1 << 16 else 4)
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = narrow.mapInArrow(C.tidied(_counter(vocabulary, length)), "partition bigint, n bigint").collect()  # one row per input split
+    pieces = materialise(narrow.mapInArrow(C.tidied(_cutter(vocabulary, length)), _PIECES), "sequences")
+    counts = pieces.groupBy("partition").agg(F.sum("n").alias("n")).collect()  # one row per input split
     starts, total = {}, 0
     for partition, n in sorted((r.partition, r.n) for r in counts):
         starts[partition] = total
@@ -249,11 +283,11 @@ def write(docs: DataFrame, out: str | None = None, length: int = SEQUENCE, shard
     per_task = -(-shards // tasks)
     store, root = fs.FileSystem.from_uri(out)
     store.create_dir(root, recursive=True)
-    packed = narrow.mapInArrow(
-        C.tidied(_packer(vocabulary, context.broadcast(starts), total, length, per_shard, per_task, key)), _PACKED
-    )
+    packed = pieces.mapInArrow(C.tidied(_packer(context.broadcast(starts), total, stride, per_shard, per_task, key)), _PACKED)
     ranged = packed.repartitionById(tasks, F.col("task")).sortWithinPartitions("shard")
     index = materialise(ranged.mapInArrow(C.tidied(_writer(out, total, stride, per_shard)), _INDEX), "shard_index")
+    if (written := index.count()) != total:
+        raise RuntimeError(f"{written} sequences written of {total}")
     meta = {"sequences": total, "length": length, "token_bytes": stride // length, "stride": stride, "per_shard": per_shard,
             "shards": shards, "end_token": end, "key": key, "index": index.inputFiles()[0].rsplit("/", 1)[0]}
     with store.open_output_stream(f"{root}/meta.json") as file:

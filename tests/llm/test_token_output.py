@@ -3,7 +3,9 @@ import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from ledgerspark.llm import token_output as O
 from ledgerspark.session import materialise
@@ -64,3 +66,34 @@ def test_edge_rows(spark):
     assert collections.Counter(r.doc_id for r in index if r.part == 0) == collections.Counter(i for i, _ in texts)
     assert sum(1 for _ in O.read(out)) == len(index)
     assert O.write(materialise(no_docs(spark), "docs")).count() == 0
+
+
+def test_splits_that_change_on_the_way_lose_nothing(spark, monkeypatch):
+    """Executors that come or go change the splits between two reads of the same files."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    docs = stored(spark, [(i, words(i, 5 + 37 * i), "en", "a", 0) for i in range(40)])
+    wanted = sorted((r.doc_id, r.part, r.n_tokens) for r in O.write(docs, None, length=32, shard_bytes=640).collect())
+
+    def changed(session, name_, scratch=O.new_scratch):
+        session.conf.set(name, "3000")
+        return scratch(session, name_)
+
+    monkeypatch.setattr(O, "new_scratch", changed)
+    try:
+        index = O.write(docs, None, length=32, shard_bytes=640).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted((r.doc_id, r.part, r.n_tokens) for r in index) == wanted
+    assert sorted(r.slot for r in index) == list(range(len(wanted)))
+
+
+def test_a_shard_with_a_slot_missing_or_twice_fails(tmp_path):
+    run = O._writer(str(tmp_path), 2, 4, 2)
+    pack = zstandard.ZstdCompressor().compress(b"abcdabcd")
+    for slot in ([0, 0], [0]):
+        n = np.ones(len(slot), "<i4").tobytes()
+        row = {"task": 0, "shard": 0, "slot": np.array(slot).tobytes(), "doc_id": [1] * len(slot), "part": n, "n_tokens": n, "tokens": pack}
+        with pytest.raises(RuntimeError):
+            list(run([pa.RecordBatch.from_pylist([row])]))
+    assert not list(tmp_path.iterdir())
