@@ -9,6 +9,7 @@ flags the row as ambiguous.
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +24,10 @@ FOLDS = 3
 HELD_OUT = 1
 #: Labelled rows per language that the fit uses, taken in hash order; all other work covers every row.
 ROWS_PER_LANGUAGE = 800
-#: Rows of all languages together: some 130 MB on the driver.
+#: Rows of all languages together: some 130 MB on the driver. With very many languages LEAST_ROWS of each go beyond it.
 MAX_ROWS = 6400
+LEAST_ROWS = 16
 BUCKETS = 4096
-MAX_LANGUAGES = 64
 NGRAMS = (2, 3, 4)
 ROUNDS = 300
 STEP = 2.0
@@ -90,7 +91,8 @@ class Model:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, its probability-like score and its lead, per row of x."""
         margin = x @ self.weights + self.bias
-        loss = np.log1p(np.exp(-np.clip(margin[:, None, :] * self.code[None], -30, 30))) @ self.trust
+        # A bit's loss has one of two values, so two products cover all codewords, however many there are.
+        loss = sum((np.log1p(np.exp(-np.clip(side * margin, -30, 30))) * self.trust) @ (self.code == side).T for side in (1, -1))
         order = np.argsort(loss, axis=1, kind="stable")
         share = np.exp(-self.code.shape[1] * (loss - loss.min(axis=1, keepdims=True)))
         share /= share.sum(axis=1, keepdims=True)
@@ -119,44 +121,65 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Model:
     return Model(languages, code, w, b, trust / trust.sum())
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [features(t or b"").astype("<f4").tobytes() for t in C.as_bytes(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["lang", "x"])
+def _feature_rows(most: int):
+    """Features of the chosen rows; a task gives at most `most` rows of a language, also where a row is repeated very often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            keep = []
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                seen[name] += 1
+                if seen[name] <= most:
+                    keep.append(i)
+            own = batch.take(pa.array(keep, pa.int64()))
+            rows = [features(t or b"").astype("<f4").tobytes() for t in C.as_bytes(own.column(1))]
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(rows, pa.binary())], ["lang", "draw", "x"])
+
+    return run
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang") -> Model | None:
     """Model from rows with a label and a letter outside the held-out fold; None if there are none.
 
-    The driver gets at most `rows_per_language` feature vectors of 16 KB for each of the MAX_LANGUAGES most frequent
-    languages, and at most MAX_ROWS together.
+    Every language is learned, however rare. The driver gets at most `rows_per_language` feature vectors of 16 KB for each,
+    and at most MAX_ROWS together or LEAST_ROWS of each language if that is more.
     """
     C.bounded_batches(docs.sparkSession)
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).where(
         C.fold_of(F.col(id_col), FOLDS) != HELD_OUT
     )
     # Counted first: the share to read per language follows, so no language is sorted or gathered in one task.
-    sizes = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
+    usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
+    sizes = usable.groupBy("lang").count().collect()
     if not sizes:
         return None
-    rows_per_language = min(rows_per_language, MAX_ROWS // len(sizes))
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col).cast("string"), text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    wanted = F.lit(False)
-    for name, n in sizes:
-        # Twice the rows wanted are looked at where there are enough; the rest is cut off below.
-        wanted = wanted | ((F.col(lang_col) == name) & (draw < min(1.0, 2 * rows_per_language / n)))
-    sample = usable.where(wanted).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
-    chosen: list = []
-    for name, _ in sizes:
-        part = sample.where(F.col("lang") == name).orderBy("draw", "text").limit(rows_per_language).select("lang", "text")
-        chosen.append(part)
-    rows = []
-    for part in chosen:
-        rows += part.mapInArrow(_feature_rows, "lang string, x binary").collect()
+    most = min(rows_per_language, max(LEAST_ROWS, MAX_ROWS // len(sizes)))
+    draw = F.pmod(F.xxhash64(F.lit("language"), "id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = usable.select("lang", "text", draw.alias("draw"))
+
+    def up_to(last: list[tuple[str, float]]) -> DataFrame:
+        """Rows drawn up to the last draw of their language."""
+        table = docs.sparkSession.createDataFrame(last, "lang string, last double")
+        return drawn.join(F.broadcast(table), "lang").where("draw <= last").select("lang", "text", "draw")
+
+    # Twice the rows wanted are looked at where there are enough; their draws alone tell where to cut.
+    draws = up_to([(name, min(1.0, 2 * most / n)) for name, n in sizes]).groupBy("lang", "draw").count().collect()
+    taken, last = Counter(), {}
+    for r in sorted(draws, key=lambda r: r.draw):
+        if taken[r.lang] < most:
+            taken[r.lang], last[r.lang] = taken[r.lang] + r["count"], r.draw
+    found = up_to(list(last.items())).mapInArrow(_feature_rows(most), "lang string, draw double, x binary").collect()
+    rows, used = [], Counter()
+    for r in sorted(found, key=lambda r: (r.lang, r.draw, bytes(r.x))):
+        used[r.lang] += 1
+        if used[r.lang] <= most:
+            rows.append(r)
     languages = sorted({r.lang for r in rows})
     x = np.array([np.frombuffer(r.x, "<f4") for r in rows])
-    y = np.array([languages.index(r.lang) for r in rows])
+    place = {name: k for k, name in enumerate(languages)}
+    y = np.array([place[r.lang] for r in rows])
     order = np.lexsort((*x.T[:8], y))  # the fit doesn't depend on the order in which rows arrive
     return fit(x[order], y[order], languages)
 

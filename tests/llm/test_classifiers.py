@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,26 @@ def test_language_edge_rows(spark):
     assert {r.lang_pred for r in I.identify(only, I.train(only)).collect()} == {"en"}
 
 
+def test_every_language_is_learned_also_beyond_sixty_four(spark):
+    names = [f"l{k:02d}" for k in range(80)]
+    rng = np.random.default_rng(5)
+    pools = {n: " ".join("".join(map(chr, 97 + rng.integers(0, 26, 7))) for _ in range(12)) for n in names}
+    rows = [(100 * k + i, words(100 * k + i, 60, pools[n]), n, "a", 0) for k, n in enumerate(names) for i in range(6 + (k < 40) * 6)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = I.train(docs)
+    assert model.languages == names
+    got = {r.doc_id: r.lang_pred for r in I.identify(docs, model).collect()}
+    rare = [(r[2], got[r[0]]) for r in rows if r[2] >= "l40"]
+    assert {a for a, b in rare if a == b} == set(names[40:])
+    assert sum(a == b for a, b in rare) / len(rare) > 0.9
+
+
+def test_repeated_rows_do_not_pile_up():
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 50 + ["fr"] * 3, "text": ["some words"] * 53, "draw": [0.5] * 53})
+    got = pa.Table.from_batches(I._feature_rows(4)(iter([batch, batch]))).column("lang").to_pylist()
+    assert got == ["en"] * 4 + ["fr"] * 3 + ["fr"]
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
