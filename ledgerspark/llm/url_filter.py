@@ -2,8 +2,9 @@
 
 Two variable-order Markov models over characters are counted on all URLs that a rule allows and on all that a rule
 blocks. A URL without a rule is scored by the difference of its log likelihoods per character, and blocked below a cutoff
-calibrated on held-out allowed URLs. Each order backs off to the shorter context by Witten-Bell smoothing. Contexts of two
-characters or more are hashed, which bounds the models (at most 50 MB packed) however many URLs are counted.
+calibrated on held-out allowed URLs. Each order backs off to the shorter context by Witten-Bell smoothing. Contexts are exact,
+so the models grow with the different contexts of the URLs (17 bytes on the driver and in the broadcast for each that is
+followed by some symbol), not with their number.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from ledgerspark.session import materialise
 #: Fixed values: (verdict, host, path) of the query's rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 ORDER = 4
-CONTEXTS = 1 << 14
 SYMBOLS = 64
+#: Contexts of the longest order; as many numbers are set aside for each order.
+CONTEXTS = SYMBOLS**ORDER
 FOLDS = 5
 #: Share of the held-out allowed URLs that the cutoff may block.
 FALSE_BLOCKS = 0.01
@@ -67,11 +69,8 @@ def _positions(urls: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[n
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(np.r_[0, lengths[:-1] + 1]) if len(texts) else first, lengths + 1)
     at = np.repeat(first, lengths + 1) + inside
     contexts = [np.zeros(len(at), np.int64)]
-    h = np.zeros(len(at), np.uint64)
     for k in range(1, ORDER + 1):
-        h = (h ^ symbol[at - k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        contexts.append(symbol[at - k] if k == 1 else (h & np.uint64(CONTEXTS - 1)).astype(np.int64))
+        contexts.append(contexts[-1] + symbol[at - k] * SYMBOLS ** (k - 1))
     return owner, symbol[at], contexts
 
 
@@ -89,36 +88,40 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x.to_numpy().astype(kind).tobytes()], pa.binary()) for x, kind in zip(batch.columns, ("u1", "<i4", "<f4"))],
+            [pa.array([x.to_numpy().astype(kind).tobytes()], pa.binary()) for x, kind in zip(batch.columns, ("u1", "<i8", "<i8"))],
             ["class", "cell", "n"],
         )
 
 
 class Model:
-    """Counts of both classes, packed; unfolded once per worker."""
+    """Cells of both classes in ascending order, with their counts."""
 
     def __init__(self, packed: list[tuple[np.ndarray, np.ndarray]]):
         self.packed = packed
 
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each class: counts by cell, totals and numbers of different symbols by context."""
+    def tables(self) -> list[tuple[np.ndarray, ...]]:
+        """For each class: cells, their counts, contexts, and totals and numbers of different symbols by context."""
         out = []
         for cell, n in self.packed:
-            counts = np.zeros((ORDER + 1) * CONTEXTS * SYMBOLS, np.float32)
-            counts[cell] = n
-            shaped = counts.reshape(-1, SYMBOLS)
-            out.append((counts, shaped.sum(axis=1), (shaped > 0).sum(axis=1).astype(np.float32)))
+            context, first, kinds = np.unique(cell // SYMBOLS, return_index=True, return_counts=True)
+            out.append((cell, n, context, np.add.reduceat(n, first), kinds))
         return out
 
 
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Value of each wanted key, 0 where it is not among the ascending keys."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0).astype(np.float64)
+
+
 def log_likelihood(symbol: np.ndarray, contexts: list[np.ndarray], table: tuple) -> np.ndarray:
     """Log probability of each symbol: every order mixes its counts with the order below it."""
-    counts, totals, kinds = table
+    cells, counts, known, totals, kinds = table
     p = np.full(len(symbol), 1.0 / SYMBOLS)
     for order, c in enumerate(contexts):
         context = order * CONTEXTS + c
-        n, t = totals[context].astype(np.float64), kinds[context].astype(np.float64)
-        p = np.where(n > 0, (counts[context * SYMBOLS + symbol] + t * p) / np.maximum(n + t, 1), p)
+        n, t = _found(known, totals, context), _found(known, kinds, context)
+        p = np.where(n > 0, (_found(cells, counts, context * SYMBOLS + symbol) + t * p) / np.maximum(n + t, 1), p)
     return np.log(p)
 
 
@@ -135,12 +138,14 @@ def learn(urls: DataFrame) -> Model | None:
         _count, "class int, cell bigint, n bigint"
     )
     packed = cells.groupBy("class", "cell").agg(F.sum("n").alias("n")).mapInArrow(_pack, "class binary, cell binary, n binary")
-    rows = packed.collect()  # at most 2 * (ORDER + 1) * CONTEXTS * SYMBOLS cells of 9 bytes
+    rows = packed.collect()  # different cells only, of 17 bytes
 
     def column(name: str, kind: str) -> np.ndarray:
         return np.frombuffer(b"".join(bytes(r[name]) for r in rows), kind)
 
-    owner, cell, n = column("class", "u1"), column("cell", "<i4"), column("n", "<f4")
+    owner, cell, n = column("class", "u1"), column("cell", "<i8"), column("n", "<i8")
+    order = np.argsort(cell)
+    owner, cell, n = owner[order], cell[order], n[order]
     own = [(cell[owner == k], n[owner == k]) for k in range(len(CLASSES))]
     return Model(own) if all(len(c) for c, _ in own) else None
 

@@ -146,6 +146,18 @@ def test_ratio_matches_an_unhashed_model(spark):
     assert np.isfinite(got).all()
 
 
+def test_ratio_is_exact_with_very_many_contexts(spark):
+    rng = np.random.default_rng(8)
+    made = ["".join(map(chr, rng.choice(list(U._ALPHABET), 40))) for _ in range(3000)]
+    good, bad = made[::2], made[1::2]
+    rows = [("http://" + u, "allow") for u in good] + [("http://" + u, "block") for u in bad]
+    model = U.learn(spark.createDataFrame(rows, "url string, verdict string"))
+    tests = [*good[:5], *bad[:5], "example.net/en/story/9"]
+    got = U.ratios([("http://" + t).encode() for t in tests], model.tables())
+    for t, r in zip(tests, got):
+        assert r == pytest.approx(brute_log_likelihood(t, good) - brute_log_likelihood(t, bad), rel=1e-6)
+
+
 def test_url_edge_rows(spark):
     rows = U.judge(edge_pages(spark)).collect()
     assert len(rows) == 6
