@@ -179,7 +179,7 @@ def ablation_verdict(spark, sf):
         "loss": F.col("y") * F.col("dollars"), "e_base": F.col("p_base") * F.col("dollars"),
         "e_treat": F.col("p_treat") * F.col("dollars"),
     })
-    metrics = S.ablation_metrics(rows, "y", "loss", "p_base", "p_treat", "e_base", "e_treat", "id", n_boot=20)
+    metrics = S.ablation_metrics(rows, "y", "loss", "p_base", "p_treat", "e_base", "e_treat", "id", n_boot=N_BOOT)
     return S.ablation_verdict(metrics)
 
 
