@@ -45,10 +45,10 @@ SHARD_BYTES = 16 << 20
 KEY = 0x5DEECE66D1F3A7B9
 ROUNDS = 6
 #: A worker writes its sequences when PIECE_BYTES wait, and packs them by shard when FLUSH_BYTES wait.
-PIECE_BYTES = 2 << 20
-FLUSH_BYTES = 8 << 20
+PIECE_BYTES = 8 << 20
+FLUSH_BYTES = 32 << 20
 #: Of zstd, for what is written or shuffled on the way.
-LEVEL = 6
+LEVEL = 9
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -115,37 +115,53 @@ def _read_vocabulary(path: str) -> bytes:
         return file.read()
 
 
-_PIECES = "partition int, first bigint, n bigint, doc_id array<bigint>, part binary, n_tokens binary, tokens binary"
+def _packed(ids: list[int | None], *numbers: np.ndarray) -> bytes:
+    """Ids (a null is a flag), then numbers below 2^31, as one compressed value."""
+    null = np.array([x is None for x in ids], np.uint8)
+    known = np.array([0 if x is None else x for x in ids], "<i8")
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([null.tobytes(), known.tobytes(), *(n.astype("<i4").tobytes() for n in numbers)]))
+
+
+def _unpacked(value: bytes, n: int) -> tuple:
+    """What _packed was given, for n ids."""
+    raw = zstandard.ZstdDecompressor().decompress(value)
+    ids = np.frombuffer(raw, "<i8", n, n).astype(object)
+    ids[np.frombuffer(raw, np.uint8, n) == 1] = None
+    return ids.tolist(), *np.frombuffer(raw, "<i4", offset=9 * n).reshape(-1, n)
+
+
+_PIECES = "partition int, first bigint, n bigint, docs bigint, about binary, tokens binary"
 
 
 def _cutter(shared, length: int):
-    """Rows of sequences in reading order; first: place of a row's first sequence among those of its input partition."""
+    """Rows of whole documents' sequences in reading order; first: place of a row's first sequence among those of its input
+    partition; about: for each document its id, its sequences, and the tokens of the last one (the others are full)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Tokenizer(shared.value)
         pack = zstandard.ZstdCompressor(level=LEVEL)
         partition, first = TaskContext.get().partitionId(), 0
-        held: list[tuple[int | None, int, int, bytes]] = []
+        held: list[tuple[int | None, int, int]] = []
+        ids: list[bytes] = []
         waiting = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal first, held, waiting
+            nonlocal first, held, ids, waiting
             row = (
-                partition, first, len(held), [x[0] for x in held], np.array([x[1] for x in held], "<i4").tobytes(),
-                np.array([x[2] for x in held], "<i4").tobytes(), pack.compress(b"".join(x[3] for x in held)),
-            )
-            first += len(held)
-            held, waiting = [], 0
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x], k) for x, k in zip(row, kinds)], ["partition", "first", "n", "doc_id", "part", "n_tokens", "tokens"]
+                partition, first, len(ids), len(held),
+                _packed([x[0] for x in held], np.array([x[1] for x in held]), np.array([x[2] for x in held])), pack.compress(b"".join(ids)),
             )
+            first += len(ids)
+            held, ids, waiting = [], [], 0
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["partition", "first", "n", "docs", "about", "tokens"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for part, (ids, n) in enumerate(coder.sequences(text, length)):
-                    held.append((doc, part, n, ids))
-                    waiting += len(ids)
+                if own := coder.sequences(text, length):
+                    held.append((doc, len(own), own[-1][1]))
+                    ids += [x[0] for x in own]
+                    waiting += sum(len(x[0]) for x in own)
                 if waiting >= PIECE_BYTES:
                     yield flush()
         if held:
@@ -154,11 +170,11 @@ def _cutter(shared, length: int):
     return run
 
 
-_PACKED = "task int, shard bigint, slot binary, doc_id array<bigint>, part binary, n_tokens binary, tokens binary"
+_PACKED = "task int, shard bigint, n bigint, about binary, tokens binary"
 
 
-def _packer(starts, total: int, stride: int, per_shard: int, shards_per_task: int, key: int):
-    """Rows of packed sequences, one per shard and flush."""
+def _packer(starts, total: int, stride: int, length: int, per_shard: int, shards_per_task: int, key: int):
+    """Rows of packed sequences, one per shard and flush; about: for each its document, place in the shard, part and tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=LEVEL)
@@ -169,6 +185,7 @@ def _packer(starts, total: int, stride: int, per_shard: int, shards_per_task: in
             nonlocal held, waiting
             number, part, n, ids = (np.concatenate([x[k] for x in held]) for k in (0, 2, 3, 4))
             docs = [d for x in held for d in x[1]]
+            held = []
             place = slots(number, total, key)
             order = np.argsort(place)
             shard = place[order] // per_shard
@@ -176,23 +193,22 @@ def _packer(starts, total: int, stride: int, per_shard: int, shards_per_task: in
             rows = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 own = order[a:b]
-                rows.append((
-                    int(shard[a]) // shards_per_task, int(shard[a]), place[own].tobytes(), [docs[i] for i in own.tolist()],
-                    part[own].tobytes(), n[own].tobytes(), pack.compress(ids[own].tobytes()),
-                ))
-            held, waiting = [], 0
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["task", "shard", "slot", "doc_id", "part", "n_tokens", "tokens"]
-            )
+                about = _packed([docs[i] for i in own.tolist()], place[own] - shard[a] * per_shard, part[own], n[own])
+                rows.append((int(shard[a]) // shards_per_task, int(shard[a]), len(own), about, pack.compress(ids[own].tobytes())))
+            waiting = 0
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["task", "shard", "n", "about", "tokens"])
 
         for batch in batches:
             for x in batch.to_pylist():
                 start = starts.value[x["partition"]] + x["first"]
                 ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(x["tokens"]), np.uint8).reshape(-1, stride)
-                held.append((
-                    np.arange(start, start + x["n"]), x["doc_id"], np.frombuffer(x["part"], "<i4"), np.frombuffer(x["n_tokens"], "<i4"), ids,
-                ))
+                docs, parts, last = _unpacked(x["about"], x["docs"])
+                ends = np.cumsum(parts)
+                n = np.full(x["n"], length)
+                n[ends - 1] = last
+                part = np.arange(x["n"]) - np.repeat(ends - parts, parts)
+                held.append((np.arange(start, start + x["n"]), [d for d, k in zip(docs, parts.tolist()) for _ in range(k)], part, n, ids))
                 waiting += ids.size
                 if waiting >= FLUSH_BYTES:
                     yield flush()
@@ -202,7 +218,7 @@ def _packer(starts, total: int, stride: int, per_shard: int, shards_per_task: in
     return run
 
 
-_INDEX = "slot bigint, shard bigint, row bigint, doc_id bigint, part int, n_tokens int, crc32 bigint"
+_INDEX = "slot bigint, doc_id bigint, part int, n_tokens int, crc int"
 
 
 def shard_name(shard: int) -> str:
@@ -210,12 +226,13 @@ def shard_name(shard: int) -> str:
 
 
 def _writer(out: str, total: int, stride: int, per_shard: int):
-    """Writes each shard as it has been read whole; gives one index row per sequence."""
+    """Writes each shard as it has been read whole; gives one index row per sequence, in slot order."""
 
     def place(store, root: str, shard: int, buffer: bytearray, rows: list) -> pa.RecordBatch:
-        slot, doc, part, n = (np.concatenate([r[k] for r in rows]) if k != 1 else [d for r in rows for d in r[1]] for k in range(4))
-        row = slot - shard * per_shard
-        if not np.array_equal(np.sort(row), np.arange(min(per_shard, total - shard * per_shard))):
+        doc = [d for r in rows for d in r[0]]
+        row, part, n = (np.concatenate([r[k] for r in rows]) for k in (1, 2, 3))
+        order = np.argsort(row, kind="stable")
+        if not np.array_equal(row[order], np.arange(min(per_shard, total - shard * per_shard))):
             raise RuntimeError(f"shard {shard}: {len(row)} sequences do not fill its slots once each")
         final = f"{root}/{shard_name(shard)}"
         draft = f"{final}.{uuid.uuid4().hex}.tmp"
@@ -223,11 +240,11 @@ def _writer(out: str, total: int, stride: int, per_shard: int):
             file.write(buffer)
         store.move(draft, final)
         view = memoryview(buffer)
-        crc = [zlib.crc32(view[r * stride : (r + 1) * stride]) for r in row.tolist()]
+        crc = np.array([zlib.crc32(view[r * stride : (r + 1) * stride]) for r in range(len(row))], np.uint32).view(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(slot), pa.array(np.full(len(slot), shard)), pa.array(row), pa.array(doc, pa.int64()), pa.array(part, pa.int32()),
-             pa.array(n, pa.int32()), pa.array(crc, pa.int64())],
-            ["slot", "shard", "row", "doc_id", "part", "n_tokens", "crc32"],
+            [pa.array(shard * per_shard + np.arange(len(row))), pa.array([doc[i] for i in order.tolist()], pa.int64()), pa.array(part[order], pa.int32()),
+             pa.array(n[order], pa.int32()), pa.array(crc)],
+            ["slot", "doc_id", "part", "n_tokens", "crc"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,17 +257,25 @@ def _writer(out: str, total: int, stride: int, per_shard: int):
                         yield place(store, root, current, buffer, rows)
                     current, rows = x["shard"], []
                     buffer = bytearray(stride * min(per_shard, total - current * per_shard))
-                slot = np.frombuffer(x["slot"], np.int64)
+                rows.append(_unpacked(x["about"], x["n"]))
                 ids = zstandard.ZstdDecompressor().decompress(x["tokens"])
-                for k, r in enumerate((slot - current * per_shard).tolist()):
+                for k, r in enumerate(rows[-1][1].tolist()):
                     buffer[r * stride : (r + 1) * stride] = ids[k * stride : (k + 1) * stride]
-                rows.append((slot, x["doc_id"], np.frombuffer(x["part"], "<i4"), np.frombuffer(x["n_tokens"], "<i4")))
         if current is not None:
             yield place(store, root, current, buffer, rows)
 
     return run
 
 
+def _index(stored: DataFrame, per_shard: int) -> DataFrame:
+    """The index with the columns that follow from the stored ones."""
+    shard = F.expr(f"slot div {per_shard}")
+    return stored.select(
+        "slot", shard.alias("shard"), (F.col("slot") - shard * per_shard).alias("row"), "doc_id", "part", "n_tokens",
+        F.col("crc").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)).alias("crc32"),
+    )
+
+
 def write(docs: DataFrame, out: str | None = None, length: int = SEQUENCE, shard_bytes: int = SHARD_BYTES, key: int = KEY,
           tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards and gives their index: one row (slot, shard, row, doc_id, part, n_tokens, crc32) per sequence.
@@ -276,14 +301,14 @@ def write(docs: DataFrame, out: str | None = None, length: int = SEQUENCE, shard
         total += n
     out = out or new_scratch(spark, "shards")
     if not total:
-        return spark.createDataFrame([], _INDEX)
+        return _index(spark.createDataFrame([], _INDEX), 1)
     per_shard = max(1, shard_bytes // stride)
     shards = -(-total // per_shard)
     tasks = min(shards, 100_000)
     per_task = -(-shards // tasks)
     store, root = fs.FileSystem.from_uri(out)
     store.create_dir(root, recursive=True)
-    packed = pieces.mapInArrow(C.tidied(_packer(context.broadcast(starts), total, stride, per_shard, per_task, key)), _PACKED)
+    packed = pieces.mapInArrow(C.tidied(_packer(context.broadcast(starts), total, stride, length, per_shard, per_task, key)), _PACKED)
     ranged = packed.repartitionById(tasks, F.col("task")).sortWithinPartitions("shard")
     index = materialise(ranged.mapInArrow(C.tidied(_writer(out, total, stride, per_shard)), _INDEX), "shard_index")
     if (written := index.count()) != total:
@@ -292,7 +317,7 @@ def write(docs: DataFrame, out: str | None = None, length: int = SEQUENCE, shard
             "shards": shards, "end_token": end, "key": key, "index": index.inputFiles()[0].rsplit("/", 1)[0]}
     with store.open_output_stream(f"{root}/meta.json") as file:
         file.write(json.dumps(meta).encode())
-    return index
+    return _index(index, per_shard)
 
 
 def read(out: str, start: int = 0, stop: int | None = None) -> Iterator[np.ndarray]:

@@ -92,8 +92,8 @@ def test_a_shard_with_a_slot_missing_or_twice_fails(tmp_path):
     run = O._writer(str(tmp_path), 2, 4, 2)
     pack = zstandard.ZstdCompressor().compress(b"abcdabcd")
     for slot in ([0, 0], [0]):
-        n = np.ones(len(slot), "<i4").tobytes()
-        row = {"task": 0, "shard": 0, "slot": np.array(slot).tobytes(), "doc_id": [1] * len(slot), "part": n, "n_tokens": n, "tokens": pack}
+        one = np.ones(len(slot), int)
+        row = {"task": 0, "shard": 0, "n": len(slot), "about": O._packed([1] * len(slot), np.array(slot), one, one), "tokens": pack}
         with pytest.raises(RuntimeError):
             list(run([pa.RecordBatch.from_pylist([row])]))
     assert not list(tmp_path.iterdir())
