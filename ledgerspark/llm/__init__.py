@@ -10,7 +10,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OPERATORS = (
     "decontamination", "mixing", "licences", "language_id", "toxicity", "token_output", "quality_rules", "html_text",
-    "url_filter", "simhash", "spelling", "centroids",
+    "url_filter", "simhash", "spelling", "centroids", "lm_score",
 )
 
 
