@@ -46,7 +46,9 @@ HELD_OUT = 1
 ROUNDS = (2, 14)
 RATE = 1.0
 #: Tokens of a gradient step, and of what is scored at a time.
-STEP = 4096
+STEP = 8192
+#: Gradients of a row up to which they are added with those of other rows.
+FEW = 6
 #: A token that is no word.
 END = b" "
 #: Most tasks that train at a time: bounds how many moves are averaged, not what they read.
@@ -58,6 +60,8 @@ HELD_WORDS = 200_000
 PIECE = 1 << 20
 _SPACES = b" \t\n\x0b\x0c\r"
 _NONE = -1e9
+#: Lowest log probability of one choice, near the smallest normal number of single precision.
+LEAST = -87.0
 
 
 @dataclass(frozen=True)
@@ -153,22 +157,23 @@ class Lexicon:
     def __getstate__(self):
         return self.__dict__ | {"place": None}
 
-    def read(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, Counter]:
-        """(symbols, counts) of a text's tokens with the end mark; counts are -1 for words without one here, which are listed."""
+    def read(self, text: bytes | None, lost: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, counts) of a text's tokens with the end mark; counts are -1 for words without one here, which lost gets."""
         if self.place is None:
             self.place = {w: i for i, w in enumerate(self.words)}
-        get, found, lost = self.place.get, [], Counter()
+        get, found = self.place.get, []
         for words in pieces(text or b""):
             own = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
             strange = np.flatnonzero(own < 0).tolist()
             if strange:
-                lost.update(words[i] for i in strange)
+                if lost is not None:
+                    lost.update([words[i] for i in strange])
                 own[strange] = [-1 - self.shape.tail(words[i]) for i in strange]
             found.append(own)
         own = np.concatenate([*found, np.zeros(1, np.int64)])
         known = own >= 0
         at = np.where(known, own, 0)
-        return np.where(known, self.symbols[at], self.shape.head - 1 - own).astype(np.int32), np.where(known, self.counts[at], -1), lost
+        return np.where(known, self.symbols[at], self.shape.head - 1 - own).astype(np.int32), np.where(known, self.counts[at], -1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -197,13 +202,15 @@ def word_rows(f: np.ndarray, cls: np.ndarray, rows: int) -> np.ndarray:
     return class_rows(_mix(f + cls.astype(np.uint64)[:, None] * np.uint64(0x94D049BB133111EB)), rows)
 
 
-def _softmax(bias: np.ndarray, table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(logits less their maximum, log of the sum of their exponentials) for each row of feature rows."""
-    z = bias + table[rows[:, 0]]
+def _exponentials(bias: np.ndarray, table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials of the logits, scaled by their largest, and their sum) for each row of feature rows."""
+    z = table[rows[:, 0]]
     for k in range(1, rows.shape[1]):
         z += table[rows[:, k]]
+    z += bias
     z -= z.max(axis=1, keepdims=True)
-    return z, np.log(np.exp(z).sum(axis=1, dtype=np.float32))
+    np.exp(z, out=z)
+    return z, z.sum(axis=1)
 
 
 class Model:
@@ -228,25 +235,24 @@ class Model:
         out = np.zeros(len(symbols))
         for a in range(0, len(symbols), STEP):
             for table, tokens, bias, rows, target in self.parts(symbols[a : a + STEP], f[a : a + STEP]):
-                z, total = _softmax(bias, self.tables[table], rows)
-                out[a + tokens] += z[np.arange(len(target)), target] - total
+                e, total = _exponentials(bias, self.tables[table], rows)
+                with np.errstate(divide="ignore"):
+                    out[a + tokens] += np.maximum(np.log(e[np.arange(len(target)), target] / total), LEAST)
         return out
 
 
 def _summed(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(different rows, sums of the values with that row, how many)."""
-    order = np.argsort(rows, kind="stable")
-    own = rows[order]
+    order = np.argsort(rows.astype(np.uint16) if rows.max(initial=0) < 1 << 16 else rows, kind="stable")  # short numbers sort by digits
+    own, values = rows[order], values[order]
     first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     size = np.diff(np.r_[first, len(own)])
-    out = values[order[first]]
-    done, more = 1, np.flatnonzero(size > 1)
-    while len(more) > 16:  # most rows have few values: add the second of all, then the third, ...
-        out[more] += values[order[first[more] + done]]
-        done += 1
-        more = more[size[more] > done]
-    for i in more.tolist():
-        out[i] += values[order[first[i] + done : first[i] + size[i]]].sum(axis=0)
+    out = values[first]
+    for k in range(1, FEW):  # small groups together: the second value of all, then the third, ...
+        more = np.flatnonzero((size > k) & (size <= FEW))
+        out[more] += values[first[more] + k]
+    for i in np.flatnonzero(size > FEW).tolist():
+        np.add.reduce(values[first[i] : first[i] + size[i]], axis=0, out=out[i])
     return own[first], out, size
 
 
@@ -260,9 +266,8 @@ class Trainer:
 
     def _move(self, k: int, bias: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
         table, past = self.model.tables[k], self.past[k]
-        gradient, total = _softmax(bias, table, rows)
-        gradient -= total[:, None]
-        np.exp(gradient, out=gradient)
+        gradient, total = _exponentials(bias, table, rows)
+        gradient *= (1 / total)[:, None]
         gradient[np.arange(len(target)), target] -= 1
         for c in range(rows.shape[1]):
             row, move, size = _summed(gradient, rows[:, c])
@@ -284,7 +289,7 @@ class _Texts:
         self.lexicon, self.held, self.size = lexicon, [], 0
 
     def add(self, text: bytes | None) -> bool:
-        symbols, _, _ = self.lexicon.read(text)
+        symbols, _ = self.lexicon.read(text)
         self.held.append(symbols)
         self.size += len(symbols)
         return self.size >= 8 * STEP
@@ -415,7 +420,7 @@ def _scorer(shared):
             ends = np.cumsum([len(h[1][0]) for h in held])
             starts = np.r_[0, ends[:-1]]
             n = ends - starts
-            lost = [h[1][2] for h in held]
+            lost = [h[2] for h in held]
             columns = [
                 pa.array(row + np.arange(len(held))), pa.array([h[0] for h in held], pa.int64()), pa.array(n),
                 pa.array(np.add.reduceat((known & (counts > 0)).astype(np.int64), starts)), pa.array(np.add.reduceat(own, starts) - n * scale), pa.array(np.add.reduceat(p, starts)),
@@ -427,7 +432,8 @@ def _scorer(shared):
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), C.as_bytes(batch.column(1))):
-                held.append((doc, lexicon.read(text)))
+                lost: Counter = Counter()
+                held.append((doc, lexicon.read(text, lost), lost))
                 waiting += len(held[-1][1][0])
                 if waiting >= 16 * STEP:
                     yield flush()
