@@ -15,6 +15,7 @@ from ledgerspark.operators import metrics as M
 from ledgerspark.operators import models as ML
 from ledgerspark.operators import portfolio as P
 from ledgerspark.operators import profile as PR
+from ledgerspark.operators import shapley as SH
 from ledgerspark.plans import churn as CP
 from ledgerspark.plans import scoring as SP
 from ledgerspark.session import materialise, new_scratch
@@ -110,16 +111,33 @@ def holdout_comparison(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+EXPLAINED = 25
+
+
+def batch_report(spark, sf):
+    train, _ = ML.temporal_split(matrix(spark, sf))
+    feats = B.build_scoring_features(D.invoices(spark, sf), [D.AS_OF], daily=True)
+    customers = D.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("customerid"))
+    return materialise(CP.batch_score_dual(feats, CP.fit_dual(train, ROUNDS, DEPTH), customers=customers, explain_top_n=EXPLAINED), "report")
+
+
+def drivers_fit(side):
+    """Strongest first, signs as listed, the main driver the strongest of all; without a briefing the text says so."""
+    b = side["briefing"]
+    ups, downs = F.transform(b["increasing"], lambda d: d["contribution"]), F.transform(b["decreasing"], lambda d: -d["contribution"])
+    both = F.concat(ups, downs)
+    fits = (F.sort_array(ups, asc=False) == ups) & (F.sort_array(downs, asc=False) == downs) & F.forall(both, lambda v: v >= 0) & (
+        F.abs(b["main"]["contribution"]) == F.array_max(both)) & b["told"].contains(b["main"]["label"])
+    return F.when(b.isNull(), side["drivers_told"].startswith("Detailed factor-level")).otherwise(fits)
+
+
 @query("batch_score_dual", f"""WITH {INTERVAL_SQL}, k AS (SELECT customerid, billing_interval, round_even(raw_confidence, 4) AS conf FROM iv WHERE snapshot_date = DATE '2000-06-01')
 SELECT CAST(c_custkey AS VARCHAR) AS customerid, billing_interval AS inferred_interval, conf AS interval_confidence, k.customerid IS NOT NULL AS has_history,
-  CASE WHEN k.customerid IS NULL THEN 'no_history' WHEN conf < 0.5 THEN 'low_confidence' ELSE 'by_risk' END AS basis, true AS both_explained, true AS agreement_told
+  CASE WHEN k.customerid IS NULL THEN 'no_history' WHEN conf < 0.5 THEN 'low_confidence' ELSE 'by_risk' END AS basis, true AS both_explained, true AS agreement_told, true AS drivers_fit
 FROM customer LEFT JOIN k ON k.customerid = CAST(c_custkey AS VARCHAR)""")
 def batch_score_dual(spark, sf):
-    """Every customer of the table: scored from history, or Review without any."""
-    train, _ = ML.temporal_split(matrix(spark, sf))
-    feats = B.build_scoring_features(D.invoices(spark, sf), [D.AS_OF], daily=True)
-    customers = D.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("customerid"))
-    out = CP.batch_score_dual(feats, CP.fit_dual(train, ROUNDS, DEPTH), customers=customers)
+    """Every customer of the table: scored from history, or Review without any; the riskiest get their drivers."""
+    out = batch_report(spark, sf)
     side, other = F.col("with_interval"), F.col("without_interval")
     missing = F.col("inferred_interval").isNull()
     low = (F.col("interval_confidence") < 0.5) & (F.col("recommendation") == "Review") & (other["recommendation"] == "Review")
@@ -131,7 +149,20 @@ def batch_score_dual(spark, sf):
     explained = F.length("decision_reason") > 0
     return out.select(
         "customerid", "inferred_interval", "interval_confidence", (~missing).alias("has_history"), basis.alias("basis"),
-        holds(explained).alias("both_explained"), holds(told).alias("agreement_told"))
+        holds(explained).alias("both_explained"), holds(told).alias("agreement_told"),
+        (missing | (holds(drivers_fit(side)) & holds(drivers_fit(other)))).alias("drivers_fit"))
+
+
+@query("batch_drivers", f"""WITH {INTERVAL_SQL}, k AS (SELECT count(*) AS n FROM iv WHERE snapshot_date = DATE '2000-06-01')
+SELECT least(n, {EXPLAINED}) AS n_explained, true AS riskiest, true AS same_on_both_sides FROM k""")
+def batch_drivers(spark, sf):
+    """The explained customers of the report are those of highest churn probability, on either side."""
+    out = batch_report(spark, sf).filter("inferred_interval IS NOT NULL")
+    p, told = F.col("with_interval.churn_probability"), F.col("with_interval.briefing").isNotNull()
+    return out.agg(
+        F.count_if(told).alias("n_explained"),
+        holds(F.min(F.when(told, p)) >= F.coalesce(F.max(F.when(~told, p)), F.lit(0.0))).alias("riskiest"),
+        F.every(told == F.col("without_interval.briefing").isNotNull()).alias("same_on_both_sides"))
 
 
 @query("group_kfold", """SELECT fold, count(*) AS n, count(DISTINCT o_custkey) AS groups FROM (SELECT o_custkey,
@@ -238,15 +269,32 @@ def tree_contributions(spark, sf):
     return left.select("LandLordID", holds((F.abs(F.col("base") - F.lit(one)) < 1e-6) & (F.col("k") == len(names))).alias("adds_up"))
 
 
-@query("mean_abs_contributions", f"""{OWNERS_SQL} SELECT count(*) AS n_features, true AS none_negative, true AS some_positive FROM (
-  SELECT unnest(['LandlordAge', 'Area']) AS f) WHERE (SELECT count(*) FROM ow) > 0""")
+OWNER_FEATURES = (
+    "LandlordAge Area TotalPopulationAround ActiveCompanies PopulationDensity AreaPerCompany PopulationPerCompany PortfolioSize "
+    "PortfolioActiveRate PortfolioMeanBudget PortfolioStdBudget PortfolioMeanSales PortfolioMeanClients PortfolioMeanRetention "
+    "PortfolioMeanSuccessScore PortfolioStdSuccessScore PreferredIndustry OriginCity OriginCountry").split()
+
+
+@query("mean_abs_contributions", f"{OWNERS_SQL} SELECT unnest({OWNER_FEATURES!r}) AS feature, true AS is_mean_of_rows WHERE (SELECT count(*) FROM ow) > 0")
 def mean_abs_contributions(spark, sf):
-    m = landlord_matrix(spark, sf)
-    ready = ML.as_double(m, ["LandlordAge", "Area"]).withColumn("_t", F.col("AdjustedScore"))
-    model = Pipeline(stages=[*ML.encoding(["LandlordAge", "Area"], []).getStages(), ML.regressors()["random_forest"]]).fit(ready)
-    out = ML.mean_abs_contributions(ML.tree_contributions(ready, model, ["LandlordAge", "Area"], ["LandLordID"]))
+    """Importance of every feature of the owner model: the mean of the rows' own values, and together all of the explained spread."""
+    rows, model, names = fitted_owner_model(spark, sf)
+    long = materialise(ML.tree_contributions(rows, model, names, ["LandLordID"]), "contributions")
+    out = ML.mean_abs_contributions(long)
     value = F.col("mean_abs_contribution")
-    return out.agg(F.count(F.lit(1)).alias("n_features"), F.every(holds(value >= 0)).alias("none_negative"), F.some(value > 0).alias("some_positive"))
+    own = long.groupBy("feature").agg((F.sum(F.abs("contribution")) / rows.count()).alias("own"))
+    return out.join(own, "feature").select("feature", holds((value >= 0) & (F.abs(value - F.col("own")) < 1e-12)).alias("is_mean_of_rows"))
+
+
+@query("customer_contributions", f"""{TEST_SQL} SELECT customerid, {len(CP.WITH_INTERVAL)} AS n_features, true AS adds_up FROM test""")
+def customer_contributions(spark, sf):
+    """Shapley values of the churn model for every test customer: base and values give its log-odds."""
+    train, test = ML.temporal_split(matrix(spark, sf))
+    model = ML.fit_frequency(train, CP.WITH_INTERVAL, max_iter=ROUNDS, max_depth=DEPTH, calibrate=False)
+    scored = model.predict(test, "p")
+    found = SH.shapley_drivers(ML.as_double(scored, model.features), model.pipeline, model.features, ["customerid", "p"])
+    total = F.col("base") + F.aggregate("drivers", F.lit(0.0), lambda t, d: t + d["contribution"])
+    return found.select("customerid", F.size("drivers").alias("n_features"), holds(F.abs(1 / (1 + F.exp(-total)) - F.col("p")) < 1e-9).alias("adds_up"))
 
 
 @query("linear_contributions", f"""WITH {LANDLORD_FEATURE_SQL} SELECT LandLordID, round(coalesce(0.002 * (LandlordAge - 100), 0), 6) AS age_part, round(coalesce(0.0001 * (Area - 5000), 0), 6) AS area_part FROM lf""")

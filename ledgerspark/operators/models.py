@@ -7,11 +7,9 @@ written tables, so the iterations do not recompute the feature plan.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
@@ -25,7 +23,8 @@ from pyspark.sql import types as T
 
 from ledgerspark.functions.hashing import fold, unit
 from ledgerspark.operators.portfolio import entity_shrunk_score
-from ledgerspark.session import materialise, new_scratch
+from ledgerspark.operators.shapley import mean_abs_contributions, tree_contributions  # noqa: F401
+from ledgerspark.session import materialise
 from ledgerspark.sources.tables import require_columns
 
 # Columns never used as features of the company baseline: ids, targets, dimensions, and signals that
@@ -404,76 +403,6 @@ def logistic_contributions(df: DataFrame, model: Baseline) -> DataFrame:
     return linear_contributions(full, model.features, model.weights, model.means)
 
 
-def tree_table(model, spark: SparkSession) -> pd.DataFrame:
-    """Nodes of a tree ensemble (trees x nodes per tree: a fixed model size), read from its saved form."""
-    path = new_scratch(spark, "trees")
-    model.write().save(path)
-    node = F.col("nodeData")
-    return spark.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"), node["id"].alias("id"), node["prediction"].alias("value"),
-        node["leftChild"].alias("left"), node["rightChild"].alias("right"),
-        node["split"]["featureIndex"].alias("feature"), node["split"]["numCategories"].alias("n_cat"),
-        node["split"]["leftCategoriesOrThreshold"].alias("cut"),
-    ).toPandas().sort_values(["tree", "id"]).reset_index(drop=True)
-
-
-def tree_contributions(df: DataFrame, pipeline: PipelineModel, features: Sequence[str], id_cols: Sequence[str]) -> DataFrame:
-    """Path attribution: each split moves the node mean, and the move is credited to the split feature.
-
-    Long rows (ids, feature, contribution, value). Prediction = base + sum of contributions. The trees
-    travel with the task; rows are walked in Arrow batches.
-    """
-    model = pipeline.stages[-1]
-    nodes = tree_table(model, df.sparkSession)
-    weights = list(getattr(model, "treeWeights", []))
-    if isinstance(model, RandomForestRegressor) or type(model).__name__.startswith("RandomForest"):
-        weights = [1.0 / len(weights)] * len(weights)
-    trees = []
-    for t, part in nodes.groupby("tree"):
-        part = part.set_index("id").sort_index()
-        trees.append((weights[int(t)], {
-            "value": part["value"].to_numpy(), "left": part["left"].to_numpy(), "right": part["right"].to_numpy(),
-            "feature": part["feature"].to_numpy(), "n_cat": part["n_cat"].to_numpy(),
-            "cut": [np.asarray(c, dtype=float) for c in part["cut"]],
-        }))
-    names = list(features)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.stack(batch["_x"].to_numpy()) if len(batch) else np.empty((0, len(names)))
-            credit = np.zeros_like(x, dtype=float)
-            for weight, t in trees:
-                at = np.zeros(len(x), dtype=int)
-                live = t["left"][at] >= 0
-                while live.any():
-                    for node in np.unique(at[live]):
-                        here = live & (at == node)
-                        f, cut = t["feature"][node], t["cut"][node]
-                        v = x[here, f]
-                        goes_left = np.isin(v, cut) if t["n_cat"][node] >= 0 else v <= cut[0]
-                        child = np.where(goes_left, t["left"][node], t["right"][node])
-                        credit[here, f] += weight * (t["value"][child] - t["value"][node])
-                        at[here] = child
-                    live = t["left"][at] >= 0
-            out = batch.drop(columns=["_x"])
-            rows = out.loc[out.index.repeat(len(names))].reset_index(drop=True)
-            rows["feature"] = names * len(batch)
-            rows["contribution"] = credit.reshape(-1)
-            rows["value"] = x.reshape(-1)
-            yield rows
-
-    ready = pipeline.transform(df).select(*id_cols, vector_to_array("features").alias("_x"))
-    schema = T.StructType(
-        [df.schema[c] for c in id_cols]
-        + [T.StructField("feature", T.StringType()), T.StructField("contribution", T.DoubleType()), T.StructField("value", T.DoubleType())]
-    )
-    return ready.mapInPandas(walk, schema)
-
-
-def mean_abs_contributions(long: DataFrame) -> DataFrame:
-    return long.groupBy("feature").agg(F.avg(F.abs(F.col("contribution"))).alias("mean_abs_contribution"))
-
-
 def save_model(model: PipelineModel, path: str, reference: DataFrame, score_col: str, meta: Mapping) -> None:
     """One artifact folder: the pipeline, the reference scores, and a meta row."""
     spark = reference.sparkSession

@@ -15,6 +15,7 @@ from ledgerspark.operators import billing as B
 from ledgerspark.operators import decision as DE
 from ledgerspark.operators import metrics as M
 from ledgerspark.operators import models as ML
+from ledgerspark.operators import shapley as SH
 from ledgerspark.session import materialise
 
 WITH_INTERVAL = B.FEATURE_SETS["core_gap_interval"]
@@ -70,21 +71,60 @@ def holdout_comparison(test: DataFrame, models: DualModel, id_col: str = "custom
     return one.withColumns({f"delta_{c}": F.col(f"with_{c}") - F.col(f"without_{c}") for c in cols})
 
 
+def explained_rows(scored: DataFrame, top_n: int, ids: Sequence[str]) -> DataFrame:
+    """Rows to explain, of rows with with_p: the asked-for customers and the top_n of highest churn probability (ties by id)."""
+    asked = scored.filter(F.col("customerid").isin(list(ids))) if ids else scored.limit(0)
+    if top_n <= 0:
+        return asked
+    key = [F.col("with_p").desc(), F.col("customerid"), F.col("snapshot_date")]
+    return asked.unionByName(scored.orderBy(*key).limit(top_n)).dropDuplicates(["customerid", "snapshot_date"])
+
+
+def briefings(rows: DataFrame, freq: ML.Frequency, p: str, cfg: BillingConfig, out: str, k: int = 4) -> DataFrame:
+    """(customerid, snapshot_date, out): Shapley drivers of the uncalibrated log-odds, the k strongest each way, with tier and text."""
+    ready = ML.as_double(rows, freq.features)
+    found = SH.shapley_drivers(ready, freq.pipeline, freq.features, ["customerid", "snapshot_date", p])
+    top = found.withColumns({"s": SH.strongest(F.col("drivers"), k), "tier": DE.risk_tier_label(F.col(p), cfg.decision)})
+    item = lambda d: F.struct(
+        d["feature"].alias("feature"), X.by_name(d["feature"], X.CHURN_NAMES, d["feature"]).alias("label"),
+        X.churn_value(d["feature"], d["value"]).alias("value"), F.round(d["contribution"], 4).alias("contribution"))
+    return top.select("customerid", "snapshot_date", F.struct(
+        "tier", DE.margin_label(F.col(p)).alias("confidence"), item(F.col("s.main")).alias("main"),
+        F.transform("s.increasing", item).alias("increasing"), F.transform("s.decreasing", item).alias("decreasing"),
+        X.explain_drivers(F.col("tier"), F.col("s.increasing"), F.col("s.decreasing"), F.lit(True)).alias("told"),
+        F.col("base").alias("base"), F.aggregate("drivers", F.lit(0.0), lambda t, d: t + d["contribution"]).alias("total"),
+    ).alias(out))
+
+
 def batch_score_dual(
-    features: DataFrame, models: DualModel, cfg: BillingConfig = BillingConfig(), customers: DataFrame | None = None
+    features: DataFrame, models: DualModel, cfg: BillingConfig = BillingConfig(), customers: DataFrame | None = None,
+    explain_top_n: int = 0, explain_ids: Sequence[str] = (),
 ) -> DataFrame:
     """Feature rows -> both decisions, texts and deltas, one row per customer and snapshot.
 
     Column expressions all the way; nothing is scored row by row. With customers given, those of them without any history
-    are added as Review rows, their scores null.
+    are added as Review rows, their scores null. The explain_top_n customers of highest churn probability and those of
+    explain_ids get a briefing with their drivers on either side; others have none (null).
     """
     c = F.col
     scored = score_both(features, models)
+    if explain_top_n > 0 or explain_ids:
+        scored = materialise(scored, "scored")
+        picked = materialise(explained_rows(scored, explain_top_n, explain_ids), "explained")  # a bounded choice of the caller
+        for tag, pair in (("with", models.with_interval), ("without", models.without_interval)):
+            notes = briefings(picked, pair.frequency, f"{tag}_p", cfg, f"{tag}_briefing")
+            scored = scored.join(materialise(notes, "briefings"), ["customerid", "snapshot_date"], "left")
     conf = c("interval_confidence")
     out = scored.withColumns({
         "w": DE.decide(c("with_p"), conf, cfg.decision), "o": DE.decide(c("without_p"), conf, cfg.decision),
     })
+    none = F.array().cast("array<struct<feature:string,contribution:double,value:double>>")
+    untold = X.explain_drivers(F.lit(""), none, none, F.lit(False))
+    briefing = lambda tag: (
+        [c(f"{tag}_briefing").alias("briefing"), F.coalesce(c(f"{tag}_briefing.told"), untold).alias("drivers_told")]
+        if f"{tag}_briefing" in scored.columns else [])
     side = lambda tag, s: F.struct(
+        *briefing(tag),
         c(f"{s}.recommendation").alias("recommendation"), c(f"{s}.reason").alias("reason"), c(f"{s}.detail").alias("detail"),
         c(f"{s}.auto_decided").alias("auto_decided"), F.bround(c(f"{tag}_p"), 4).alias("churn_probability"),
         F.bround(c(f"{tag}_loss"), 2).alias("expected_dollar_churn"),
