@@ -155,6 +155,20 @@ def bootstrap_pr_auc(spark, sf):
     return S.bootstrap_pr_auc(scored(spark, sf), "p_base", "p_treat", n_boot=N_BOOT)
 
 
+def _boot_recall(score: str, dollars: str = "dollars", part: str = "") -> str:
+    """Weighted rows up to ceil(k n) by score, the row at the cut in part."""
+    by = f"PARTITION BY {part}replicate"
+    return f"""SELECT {part}replicate, sum(usd * greatest(0.0, least(1.0, (k - (cw - w)) / w))) / max(tot) AS v FROM (
+      SELECT {part}replicate, w, w * {dollars} AS usd, sum(w) OVER ({by} ORDER BY {score} DESC, md5(CAST(id AS VARCHAR)) ROWS UNBOUNDED PRECEDING) AS cw,
+        greatest(1, ceil(0.1 * sum(w) OVER ({by}))) AS k, sum(w * {dollars}) OVER ({by}) AS tot FROM drawn WHERE w > 0) GROUP BY ALL"""
+
+
+@query("bootstrap_dollar_recall", f"""WITH {BOOT_SQL}, rb AS ({_boot_recall('p_base')}), rt AS ({_boot_recall('p_treat')}),
+rp AS (SELECT replicate, rb.v AS b, rt.v AS t FROM rb JOIN rt USING (replicate)) {BOOT_TAIL}""")
+def bootstrap_dollar_recall(spark, sf):
+    return S.bootstrap_dollar_recall(scored(spark, sf), "dollars", "p_base", "p_treat", n_boot=N_BOOT)
+
+
 @query("delong_test", f"""WITH {SC},
 n AS (SELECT y, p_base, p_treat,
   (rank() OVER (ORDER BY p_base) + (count(*) OVER (PARTITION BY p_base) - 1) / 2.0) - (rank() OVER (PARTITION BY y ORDER BY p_base) + (count(*) OVER (PARTITION BY y, p_base) - 1) / 2.0) AS ob,
@@ -173,7 +187,28 @@ def delong_test(spark, sf):
     return S.delong_test(scored(spark, sf))
 
 
-@query("ablation_verdict")
+def _segment_ap(score: str) -> str:
+    return f"""SELECT segment, replicate, sum(pos / tp * cp / cn) AS v FROM (SELECT segment, replicate, pos, sum(pos) OVER (PARTITION BY segment, replicate ORDER BY s DESC) AS cp,
+      sum(n) OVER (PARTITION BY segment, replicate ORDER BY s DESC) AS cn, sum(pos) OVER (PARTITION BY segment, replicate) AS tp
+      FROM (SELECT segment, replicate, {score} AS s, sum(w * y)::DOUBLE AS pos, sum(w)::DOUBLE AS n FROM drawn WHERE w > 0 GROUP BY ALL)) GROUP BY ALL"""
+
+
+ABLATION_SQL = f"""WITH {BOOT_SQL.rsplit("drawn AS (", 1)[0]}
+seg AS (SELECT 'overall' AS segment, * FROM u UNION ALL SELECT 'recurring', * FROM u WHERE grp < 60),
+drawn AS (SELECT *, y * dollars AS loss, p_base * dollars AS e_base, p_treat * dollars AS e_treat, CASE WHEN replicate = 0 THEN 1 ELSE {poisson1_sql('u')} END AS w FROM seg),
+rp AS (
+  SELECT 'brier' AS metric, segment, replicate, sum(w * (p_base - y) * (p_base - y)) / sum(w) AS b, sum(w * (p_treat - y) * (p_treat - y)) / sum(w) AS t FROM drawn GROUP BY ALL
+  UNION ALL SELECT 'mae', segment, replicate, sum(w * abs(e_base - loss)) / sum(w), sum(w * abs(e_treat - loss)) / sum(w) FROM drawn GROUP BY ALL
+  UNION ALL SELECT 'pr', segment, replicate, rb.v, rt.v FROM ({_segment_ap('p_base')}) rb JOIN ({_segment_ap('p_treat')}) rt USING (segment, replicate)
+  UNION ALL SELECT 'rec', segment, replicate, rb.v, rt.v FROM ({_boot_recall('e_base', 'loss', 'segment, ')}) rb JOIN ({_boot_recall('e_treat', 'loss', 'segment, ')}) rt USING (segment, replicate)),
+m AS (SELECT segment, metric, round(max(b) FILTER (WHERE replicate = 0), 4) AS base, round(max(t - b) FILTER (WHERE replicate = 0), 4) AS delta,
+  quantile_cont(t - b, 0.025) FILTER (WHERE replicate > 0) > 0 OR quantile_cont(t - b, 0.975) FILTER (WHERE replicate > 0) < 0 AS sig FROM rp GROUP BY ALL),
+v AS (SELECT segment, bool_or(metric = 'pr' AND delta > 0 AND sig) AS improves_pr_auc, bool_or(metric = 'rec' AND delta > 0 AND sig) AS improves_dollar_recall,
+  bool_or(metric = 'brier' AND delta <= 0.005) AS no_material_brier_degradation, bool_or(metric = 'mae' AND delta <= 0.01 * abs(base)) AS no_material_mae_degradation FROM m GROUP BY 1)
+SELECT *, (improves_pr_auc OR improves_dollar_recall) AND no_material_brier_degradation AND no_material_mae_degradation AS good_enough FROM v"""
+
+
+@query("ablation_verdict", ABLATION_SQL)
 def ablation_verdict(spark, sf):
     rows = S.segments(scored(spark, sf), F.col("grp") < 60).withColumns({
         "loss": F.col("y") * F.col("dollars"), "e_base": F.col("p_base") * F.col("dollars"),

@@ -35,16 +35,9 @@ def _poisson_steps(top: int) -> list[float]:
     return out
 
 
-def poisson1_of_hex(digits: Column, top: int = POISSON_TOP) -> Column:
-    """Poisson(1) draw by inversion of eight hex digits read as a number in [0, 1).
-
-    Fixed-length hex text orders like the number, so the digits are compared as they are.
-    """
-    out = None
-    for k, total in enumerate(_poisson_steps(top)):
-        below = digits < F.lit(format(math.ceil(total * 4294967296.0), "08x"))
-        out = F.when(below, F.lit(k)) if out is None else out.when(below, F.lit(k))
-    return out.otherwise(F.lit(top))
+def poisson_bounds(top: int = POISSON_TOP) -> list[int]:
+    """A Poisson(1) draw by inversion of a 32-bit number is how many of these bounds it reaches."""
+    return [math.ceil(total * 4294967296.0) for total in _poisson_steps(top)]
 
 
 def poisson1_sql(u: str, top: int = POISSON_TOP) -> str:

@@ -1,38 +1,100 @@
-"""Paired significance tests: Poisson bootstrap, DeLong, and the ablation verdict."""
+"""Paired significance tests: Poisson bootstrap, DeLong, and the ablation verdict.
+
+Bootstrap. A row's weights in all replicates are one vector, drawn from md5(seed, block, id) where the row is read, so both models
+see the same resample and a retried task draws the same numbers. No row travels once per replicate: tasks add up vectors, and
+what a metric needs in order is summed over pieces of the order first, replicates side by side.
+
+* Means of a row loss are sums of vectors: one partial row a task and replicate.
+* PR-AUC adds up the vectors of equal scores (a hot score is one row a batch) and cuts the scores into ranges. Totals of the ranges
+  give each range its offsets, and every range finishes its part of the curve by itself.
+* Dollar recall knows from totals of position blocks which blocks lie above a replicate's cut; only the few blocks that hold a cut
+  are looked into.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.hashing import poisson1_of_hex
-from ledgerspark.operators.metrics import curve_metrics
-from ledgerspark.operators.ranking import ROWS_PER_RANGE, global_positions, running_totals
+from ledgerspark.functions.hashing import POISSON_TOP, poisson_bounds
+from ledgerspark.operators.ranking import ROWS_PER_RANGE, global_positions, range_bounds, running_totals
+from ledgerspark.session import materialise
+
+#: Most pieces of one order; larger inputs get larger pieces, since a few numbers per piece and replicate reach the driver.
+MOST_PIECES = 4096
+
+
+def replicate_weights(ids: Sequence[str | None], n_boot: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights, rows x (n_boot + 1); column 0 is the sample itself. One md5 serves four replicates."""
+    starts = [f"{seed}|{block}".encode() for block in range(-(-n_boot // 4))]
+    ends = [b"" if i is None else b"|" + i.encode() for i in ids]
+    drawn = b"".join(hashlib.md5(start + end).digest() for end in ends for start in starts)
+    numbers = np.frombuffer(drawn, ">u4").reshape(len(ends), 4 * len(starts))[:, :n_boot].astype(np.uint32)
+    out = np.ones((len(ends), n_boot + 1), np.uint8)
+    out[:, 1:] = np.searchsorted(np.array(poisson_bounds(POISSON_TOP), np.uint64), numbers, side="right")
+    return out
+
+
+def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(df with its keys as one text column _key, table of the keys by that text); keys are names, never data-sized."""
+    text = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
+    df = df.withColumn("_key", text)
+    return df, df.select("_key", *keys).distinct()
 
 
-def replicate_weights(df: DataFrame, id_col: str, n_boot: int, seed: int) -> DataFrame:
-    """Rows once per replicate with a Poisson(1) weight, plus replicate 0 with weight 1 (all rows).
+def _spread(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt to all cores: drawing a row's weights takes far longer than moving the row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    The draw depends on (seed, replicate, id) only, so both models see the same resample and a retried
-    task draws the same numbers. One md5 serves four replicates. Weight-0 rows are dropped at once.
-    Row-local: the blow-up is n_boot times the rows and is folded again by the map-side aggregation
-    that follows.
+
+def _grouped(codes: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(code, sum of the rows of values with that code)."""
+    order = np.argsort(codes, kind="stable")
+    own = codes[order]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, int)
+    if len(first) == 1:
+        yield int(own[0]), values.sum(axis=0)
+    elif len(first):
+        yield from zip(own[first].tolist(), np.add.reduceat(values[order], first, axis=0))
+
+
+def _summed(df: DataFrame, pieces: Sequence[str], columns: Mapping[str, Column], id_col: str, n_boot: int, seed: int) -> DataFrame:
+    """(_key, model, piece, replicate, sums): replicate-weighted sums of the columns by key and piece.
+
+    pieces: a column of piece numbers for each model; a row without one is not in that model's order. Each task hands on one row a
+    key, model, piece and replicate that it saw.
     """
-    blocks = -(-n_boot // 4)
-    hashed = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
-        "_md5", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), F.col(id_col).cast("string")))
-    )
-    draw = lambda number, w: F.struct(number.cast("int").alias("replicate"), w.cast("double").alias("w"))
-    drawn = [
-        draw(F.col("_block") * 4 + 1 + j, poisson1_of_hex(F.substring("_md5", 1 + 8 * j, 8))) for j in range(4)
-    ]
-    whole = F.when(F.col("_block") == 0, F.array(draw(F.lit(0), F.lit(1.0)))).otherwise(F.array().cast("array<struct<replicate:int,w:double>>"))
-    return (
-        hashed.select(*df.columns, F.inline(F.concat(whole, F.array(*drawn))))
-        .filter((F.col("w") > 0) & (F.col("replicate") <= n_boot))
-    )
+    names = list(columns)
+    narrow = df.select("_key", F.col(id_col).cast("string").alias("_id"), *[F.col(p).cast("bigint").alias(f"_p{k}") for k, p in enumerate(pieces)],
+                       *[c.cast("double").alias(n) for n, c in columns.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            key = batch.column(0).dictionary_encode()
+            w = replicate_weights(batch.column(1).to_pylist(), n_boot, seed).astype(float)
+            values = [np.nan_to_num(batch.column(2 + len(pieces) + k).to_numpy(zero_copy_only=False)) for k in range(len(names))]
+            weighted = np.concatenate([w * v[:, None] for v in values], axis=1)
+            for model in range(len(pieces)):
+                piece = batch.column(2 + model)
+                own = np.flatnonzero(np.asarray(piece.is_valid()))
+                number = piece.fill_null(0).to_numpy()[own]
+                for code, part in _grouped(number * len(key.dictionary) + key.indices.to_numpy()[own], weighted[own]):
+                    place = key.dictionary[code % len(key.dictionary)].as_py(), model, code // len(key.dictionary)
+                    sums[place] = sums.get(place, 0) + part
+        n = n_boot + 1
+        for (text, model, number), part in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([text] * n), pa.array([model] * n, pa.int32()), pa.array([number] * n, pa.int64()), pa.array(np.arange(n), pa.int32()), *map(pa.array, part.reshape(-1, n))],
+                ["_key", "model", "piece", "replicate", *names])
+
+    parts = narrow.mapInArrow(run, "_key string, model int, piece bigint, replicate int, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("_key", "model", "piece", "replicate").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def bootstrap_summary(reps: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -61,7 +123,7 @@ def bootstrap_summary(reps: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def paired_bootstrap(
     df: DataFrame,
-    metric: Callable[[str, Column], Column],
+    loss: Callable[[str], Column],
     base: str,
     treat: str,
     id_col: str = "id",
@@ -69,44 +131,191 @@ def paired_bootstrap(
     seed: int = 42,
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Bootstrap of a metric given as a weighted aggregate: metric(score_column, weight) -> Column."""
-    drawn = replicate_weights(df, id_col, n_boot, seed)
-    reps = drawn.groupBy(*keys, "replicate").agg(
-        metric(base, F.col("w")).alias("base"), metric(treat, F.col("w")).alias("treat")
-    )
-    return bootstrap_summary(reps, keys)
+    """Bootstrap of the mean of a row loss: loss(score column) -> Column. Rows without both losses are left out."""
+    rows, names = _keyed(df, keys)
+    rows = rows.withColumns({"_b": loss(base), "_t": loss(treat), "piece": F.lit(0).cast("bigint")}).filter("_b IS NOT NULL AND _t IS NOT NULL")
+    rows = _spread(rows.select("_key", id_col, "_b", "_t", "piece"))
+    sums = _summed(rows, ["piece"], {"w": F.lit(1.0), "b": F.col("_b"), "t": F.col("_t")}, id_col, n_boot, seed)
+    reps = sums.select("_key", "replicate", F.try_divide("b", "w").alias("base"), F.try_divide("t", "w").alias("treat"))
+    return bootstrap_summary(reps.join(names, "_key"), keys)
+
 
+def weighted_brier(y: str) -> Callable[[str], Column]:
+    return lambda p: (F.col(p) - F.col(y)) * (F.col(p) - F.col(y))
 
-def weighted_brier(y: str) -> Callable[[str, Column], Column]:
-    return lambda p, w: F.sum(w * (F.col(p) - F.col(y)) * (F.col(p) - F.col(y))) / F.sum(w)
 
+def weighted_mae(y: str) -> Callable[[str], Column]:
+    return lambda p: F.abs(F.col(p) - F.col(y))
 
-def weighted_mae(y: str) -> Callable[[str, Column], Column]:
-    return lambda p, w: F.sum(w * F.abs(F.col(p) - F.col(y))) / F.sum(w)
+
+def _by_model(parts: DataFrame, names: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """(_key, model, replicate, value) -> summary."""
+    reps = parts.groupBy("_key", "replicate").agg(
+        F.max(F.when(F.col("model") == 0, F.col(value))).alias("base"), F.max(F.when(F.col("model") == 1, F.col(value))).alias("treat"))
+    return bootstrap_summary(reps.join(names, "_key"), keys)
+
+
+def _packed(vectors: np.ndarray) -> list[bytes]:
+    """Rows of counts, a byte each where they fit."""
+    kind = np.uint8 if vectors.max(initial=0) < 256 else np.dtype("<u4")
+    return [row.tobytes() for row in vectors.astype(kind)]
+
+
+def _unpacked(column: pa.Array, n: int) -> np.ndarray:
+    values = column.to_pylist()
+    out = np.empty((len(values), n), np.int64)
+    for i, v in enumerate(values):
+        out[i] = np.frombuffer(v, np.uint8 if len(v) == n else "<u4")
+    return out
+
+
+_CELL = "_key string, model int, piece int, score double, pos binary, seen binary"
+
+
+def _cells(cuts: Mapping[tuple[str, int], np.ndarray], n_boot: int, seed: int):
+    """Rows of equal score of a batch as one: weight vectors of the positive rows and of all; piece: range of the score, highest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = replicate_weights(batch.column(1).to_pylist(), n_boot, seed).astype(np.int64)
+            key = np.array(batch.column(0).to_pylist(), object)
+            y = batch.column(2).to_numpy(zero_copy_only=False) == 1
+            for k in dict.fromkeys(key.tolist()):
+                for model in (0, 1):
+                    score = batch.column(3 + model).to_numpy(zero_copy_only=False)
+                    own = np.flatnonzero((key == k) & ~np.isnan(score))
+                    if not len(own):
+                        continue
+                    own = own[np.argsort(score[own], kind="stable")]
+                    first = np.flatnonzero(np.r_[True, score[own][1:] != score[own][:-1]])
+                    pos, seen = (np.add.reduceat(v, first, axis=0) for v in (w[own] * y[own, None], w[own]))
+                    value = score[own][first]
+                    edges = cuts.get((k, model), np.zeros(0))
+                    piece = len(edges) - np.searchsorted(edges, value, side="right")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k] * len(first)), pa.array(np.full(len(first), model, np.int32)), pa.array(piece.astype(np.int32)), pa.array(value),
+                         pa.array(_packed(pos), pa.binary()), pa.array(_packed(seen), pa.binary())], ["_key", "model", "piece", "score", "pos", "seen"])
+
+    return run
+
+
+def _range_totals(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            key = batch.column(0).dictionary_encode()
+            model, piece = (batch.column(k).to_numpy().astype(np.int64) for k in (1, 2))
+            both = np.concatenate([_unpacked(batch.column(k), n) for k in (3, 4)], axis=1)
+            for code, part in _grouped((piece * 2 + model) * len(key.dictionary) + key.indices.to_numpy(), both):
+                rest, at = divmod(code, len(key.dictionary))
+                place = key.dictionary[at].as_py(), rest % 2, rest // 2
+                sums[place] = sums.get(place, 0) + part
+        for (text, model, piece), part in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([text] * n), pa.array([model] * n, pa.int32()), pa.array([piece] * n, pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(part[:n]), pa.array(part[n:])],
+                ["_key", "model", "piece", "replicate", "pos", "seen"])
+
+    return run
+
+
+def _curves(offsets: Mapping[tuple, np.ndarray], n: int):
+    """Each range's part of the average precision; reads key, model and piece together, scores downward."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, score, total = None, None, np.zeros(n)
+        pos = seen = done_pos = done_seen = np.zeros(n)
+
+        def point() -> None:
+            """The curve's point at the score that is complete now."""
+            nonlocal done_pos, done_seen, total
+            done_pos, done_seen = done_pos + pos, done_seen + seen
+            total = total + pos * np.divide(done_pos, done_seen, out=np.zeros(n), where=done_seen > 0)
+
+        def part() -> pa.RecordBatch:
+            key, model, _ = place
+            return pa.RecordBatch.from_arrays([pa.array([key] * n), pa.array([model] * n, pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(total)], ["_key", "model", "replicate", "part"])
+
+        for batch in batches:
+            places = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            values = batch.column(3).to_pylist()
+            cells = [_unpacked(batch.column(k), n) for k in (4, 5)]
+            for i, (p, v) in enumerate(zip(places, values)):
+                if p != place or v != score:
+                    if score is not None:
+                        point()
+                    if p != place:
+                        if place is not None:
+                            yield part()
+                        place, total = p, np.zeros(n)
+                        done_pos, done_seen = offsets[p]
+                    score, pos, seen = v, np.zeros(n), np.zeros(n)
+                pos, seen = pos + cells[0][i], seen + cells[1][i]
+        if place is not None:
+            point()
+            yield part()
+
+    return run
 
 
 def bootstrap_pr_auc(
     df: DataFrame, base: str, treat: str, y: str = "y", id_col: str = "id", n_boot: int = 150, seed: int = 42,
     keys: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """PR-AUC delta: both models' curves of all replicates in one running table.
-
-    Rows of equal (key, score, class) share their weight sum per replicate before anything is ordered.
-    """
-    drawn = replicate_weights(df.select(*keys, id_col, y, base, treat), id_col, n_boot, seed)
-    long = drawn.select(
-        *keys, "replicate", y, "w",
-        F.inline(F.array(
-            F.struct(F.lit("base").alias("model"), F.col(base).alias("score")),
-            F.struct(F.lit("treat").alias("model"), F.col(treat).alias("score")),
-        )),
-    )
-    auc = curve_metrics(long, y, "score", [*keys, "replicate", "model"], F.col("w"), rows_per_range)
-    reps = auc.groupBy(*keys, "replicate").agg(
-        F.max(F.when(F.col("model") == "base", F.col("pr_auc"))).alias("base"),
-        F.max(F.when(F.col("model") == "treat", F.col("pr_auc"))).alias("treat"),
-    )
-    return bootstrap_summary(reps, keys)
+    """PR-AUC delta. A replicate with one class only has no value and counts as none. Rows without a score have no place on its curve."""
+    n = n_boot + 1
+    rows, names = _keyed(df.select(*keys, id_col, y, F.col(base).cast("double").alias("_b"), F.col(treat).cast("double").alias("_t")), keys)
+    rows = materialise(_spread(rows), "bootstrap_rows")
+    size = max(rows_per_range, -(-rows.count() // MOST_PIECES))
+    cuts = {}
+    for model, score in enumerate(("_b", "_t")):
+        cuts |= {(k[0], model): np.array(v) for k, v in range_bounds(rows, score, ["_key"], size).items()}
+    narrow = rows.select("_key", F.col(id_col).cast("string"), F.col(y).cast("int"), "_b", "_t")
+    cells = materialise(narrow.mapInArrow(_cells(cuts, n_boot, seed), _CELL), "bootstrap_cells")
+    schema = "_key string, model int, piece int, replicate int, pos bigint, seen bigint"
+    totals = cells.select("_key", "model", "piece", "pos", "seen").mapInArrow(_range_totals(n), schema).groupBy("_key", "model", "piece", "replicate").agg(
+        F.sum("pos").alias("pos"), F.sum("seen").alias("seen"))
+    every = Window.partitionBy("_key", "model", "replicate")
+    above = every.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    placed = materialise(totals.select("_key", "model", "piece", "replicate", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"above_{c}") for c in ("pos", "seen")],
+                                       *[F.sum(c).over(every).alias(f"all_{c}") for c in ("pos", "seen")]), "bootstrap_offsets")
+    offsets: dict[tuple, np.ndarray] = {}
+    for r in placed.toLocalIterator():  # at most MOST_PIECES pieces a key and model
+        offsets.setdefault((r["_key"], r["model"], r["piece"]), np.zeros((2, n)))[:, r["replicate"]] = r["above_pos"], r["above_seen"]
+    ordered = cells.repartition("_key", "model", "piece").sortWithinPartitions("_key", "model", "piece", F.desc("score"))
+    parts = ordered.mapInArrow(_curves(offsets, n), "_key string, model int, replicate int, part double")
+    size_of = placed.groupBy("_key", "model", "replicate").agg(F.max("all_pos").alias("p"), F.max("all_seen").alias("s"))
+    whole = parts.groupBy("_key", "model", "replicate").agg(F.sum("part").alias("part")).join(size_of, ["_key", "model", "replicate"])
+    value = F.when((F.col("p") > 0) & (F.col("p") < F.col("s")), F.col("part") / F.col("p"))
+    return _by_model(whole.withColumn("value", value), names, "value", keys)
+
+
+def _cut_blocks(room: Mapping[tuple, np.ndarray], n_boot: int, seed: int):
+    """Dollars above the cut in blocks that hold one; room: weight that fits, by block and replicate. Reads blocks in order of position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, left, usd = None, None, None
+
+        def part() -> pa.RecordBatch:
+            n = n_boot + 1
+            return pa.RecordBatch.from_arrays([pa.array([place[0]] * n), pa.array([place[1]] * n, pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(usd)], ["_key", "model", "replicate", "usd"])
+
+        for batch in batches:
+            places = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            w = replicate_weights(batch.column(3).to_pylist(), n_boot, seed).astype(float)
+            dollars = np.nan_to_num(batch.column(4).to_numpy(zero_copy_only=False))
+            starts = [i for i in range(len(places)) if i == 0 or places[i] != places[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(places)]):
+                if places[a] != place:
+                    if place is not None:
+                        yield part()
+                    place, left, usd = places[a], room[places[a]].copy(), np.zeros(n_boot + 1)
+                before = np.cumsum(w[a:b], axis=0) - w[a:b]
+                usd += (np.clip(left - before, 0, w[a:b]) * dollars[a:b, None]).sum(axis=0)
+                left -= w[a:b].sum(axis=0)
+        if place is not None:
+            yield part()
+
+    return run
 
 
 def bootstrap_dollar_recall(
@@ -115,34 +324,40 @@ def bootstrap_dollar_recall(
 ) -> DataFrame:
     """Dollar-recall delta. A replicate's top k counts weighted rows; the row at the cut counts in part.
 
-    The order of the rows does not change between replicates, so each model is positioned once and
-    the replicates only carry weights over position blocks.
+    The order of the rows does not change between replicates, so each model is positioned once.
     """
-    placed = df.select(*keys, id_col, dollars, base, treat)
-    for name, col in (("_pb", base), ("_pt", treat)):
-        placed = global_positions(placed, col, id_col, name, keys=keys, rows_per_range=rows_per_range).drop("n_rows")
-    drawn = replicate_weights(placed, id_col, n_boot, seed)
-    long = drawn.select(
-        *keys, "replicate", "w", F.col(dollars).alias("usd"),
-        F.inline(F.array(
-            F.struct(F.lit("base").alias("model"), F.col("_pb").cast("double").alias("place")),
-            F.struct(F.lit("treat").alias("model"), F.col("_pt").cast("double").alias("place")),
-        )),
-    )
-    run = running_totals(
-        long, "place", {"w": F.col("w"), "usd": F.col("w") * F.col("usd")}, [*keys, "replicate", "model"],
-        rows_per_range=rows_per_range,
-    )
-    k = F.greatest(F.lit(1.0), F.ceil(F.lit(k_frac) * F.col("tot_w")))
-    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (k - (F.col("cum_w") - F.col("w"))) / F.col("w")))
-    recall = run.groupBy(*keys, "replicate", "model").agg(
-        F.try_divide(F.sum(F.col("usd") * inside), F.max("tot_usd")).alias("r")
-    )
-    reps = recall.groupBy(*keys, "replicate").agg(
-        F.max(F.when(F.col("model") == "base", F.col("r"))).alias("base"),
-        F.max(F.when(F.col("model") == "treat", F.col("r"))).alias("treat"),
-    )
-    return bootstrap_summary(reps, keys)
+    rows, names = _keyed(df.select(*keys, id_col, dollars, base, treat), keys)
+    rows = materialise(rows.withColumnRenamed(dollars, "usd"), "bootstrap_rows")
+    size = max(rows_per_range, -(-rows.count() // MOST_PIECES))
+    placed = rows
+    for model, score in enumerate((base, treat)):
+        kept = placed.filter(F.col(score).isNull()).withColumn(f"_place{model}", F.lit(None).cast("bigint"))
+        ranked = global_positions(placed, score, id_col, f"_place{model}", keys=["_key"], rows_per_range=rows_per_range).drop("n_rows")
+        placed = ranked.withColumn(f"_place{model}", F.col(f"_place{model}").cast("bigint")).unionByName(kept)
+        if model == 0:
+            placed = materialise(placed, "bootstrap_places")
+    placed = materialise(_spread(placed.select("_key", id_col, "usd", *[c for m in (0, 1) for c in (f"_place{m}", F.expr(f"(_place{m} - 1) div {size}").alias(f"_block{m}"))])), "bootstrap_places")
+    sums = _summed(placed, ["_block0", "_block1"], {"w": F.lit(1.0), "usd": F.col("usd")}, id_col, n_boot, seed)
+    by = Window.partitionBy("_key", "model", "replicate")
+    upto = by.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    state = materialise(sums.withColumnRenamed("piece", "block").select(
+        "_key", "model", "block", "replicate", "w", "usd", F.sum("w").over(upto).alias("upto"), F.sum("usd").over(by).alias("all_usd"),
+        F.greatest(F.lit(1.0), F.ceil(F.lit(k_frac) * F.sum("w").over(by))).alias("k")), "bootstrap_blocks")
+    above, cut = F.col("upto") <= F.col("k"), (F.col("upto") > F.col("k")) & (F.col("upto") - F.col("w") < F.col("k"))
+    held = state.filter(cut).select("_key", "model", "block").distinct()  # a block a key, model and replicate at most
+    room: dict[tuple, np.ndarray] = {}
+    for r in state.join(held, ["_key", "model", "block"]).withColumn("room", F.col("k") - F.col("upto") + F.col("w")).toLocalIterator():
+        room.setdefault((r["_key"], r["model"], r["block"]), np.zeros(n_boot + 1))[r["replicate"]] = r["room"]
+    sides = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_block{m}").alias("block"), F.col(f"_place{m}").alias("_place")) for m in (0, 1)])
+    long = placed.select("_key", F.col(id_col).cast("string").alias("_id"), F.col("usd").cast("double").alias("usd"), F.inline(sides))
+    inside = long.join(held, ["_key", "model", "block"]).select("_key", "model", "block", "_id", "usd", "_place")
+    inside = inside.repartition("_key", "model", "block").sortWithinPartitions("_key", "model", "block", "_place").drop("_place")
+    partly = inside.mapInArrow(_cut_blocks(room, n_boot, seed), "_key string, model int, replicate int, usd double")
+    whole = state.join(held, ["_key", "model", "block"], "left_anti").filter(above).select("_key", "model", "replicate", "usd")
+    got = whole.unionByName(partly).groupBy("_key", "model", "replicate").agg(F.sum("usd").alias("got"))
+    total = state.groupBy("_key", "model", "replicate").agg(F.max("all_usd").alias("total"))
+    value = F.try_divide(F.coalesce("got", F.lit(0.0)), F.col("total"))
+    return _by_model(total.join(got, ["_key", "model", "replicate"], "left").withColumn("value", value), names, "value", keys)
 
 
 def normal_sf(z: Column) -> Column:
