@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.numeric import nan_to_null
 from ledgerspark.operators.profile import long_form
+from ledgerspark.operators.quantiles import wide_quantiles
 from ledgerspark.operators.ranking import ROWS_PER_RANGE, exact_quantiles
 from ledgerspark.session import materialise
 
@@ -98,12 +99,34 @@ def psi(reference: DataFrame, actual: DataFrame, column: str, n_bins: int = 10,
     )
 
 
+def wide_psi(reference: DataFrame, actual: DataFrame, columns: Sequence[str], n_bins: int = 10, eps: float = 1e-6, **kw) -> DataFrame:
+    """(feature, psi) of columns on both sides: two reads of the reference, whose bins follow from its quantiles, one of the actual side."""
+    probs = {f"q{i}": i / n_bins for i in range(n_bins + 1)}
+    found = wide_quantiles(reference, columns, probs, **kw)[0].collect()  # columns x bins numbers
+    rows, bins = [], []
+    for r in found:
+        every = sorted({r[q]: r[f"below_{q}"] for q in probs}.items())
+        cuts = [0, *(below for _, below in every[1:-1]), r["n_valid"]]
+        rows.append((r["column"], [v for v, _ in every[1:-1]], len(every)))
+        bins += [(r["column"], b, high - low) for b, (low, high) in enumerate(zip(cuts, cuts[1:]))]
+    spark = reference.sparkSession
+    edges = spark.createDataFrame(rows, "feature string, edges array<double>, n_edges int")
+    ref = spark.createDataFrame(bins, "feature string, bin int, n bigint")
+    placed = []
+    for name, own, _ in rows:
+        v = nan_to_null(F.col(f"`{name}`").cast("double"))
+        bin_of = sum((F.when(v >= F.lit(e), 1).otherwise(0) for e in own), F.lit(0))
+        placed.append(F.when(v.isNotNull(), F.struct(F.lit(name).alias("feature"), bin_of.alias("bin"))))
+    act = actual.select(F.inline(F.array_compact(F.array(*placed)))) if placed else spark.createDataFrame([], "feature string, bin int")
+    table = psi_of_counts(edges, ref, act.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n")), eps)
+    every = spark.createDataFrame([(c,) for c in columns], "feature string")
+    return every.join(table, "feature", "left")
+
+
 def drift_report(reference: DataFrame, actual: DataFrame, columns: Sequence[str], n_bins: int = 10, **kw) -> DataFrame:
     """psi (four decimals) and label for every shared feature."""
     shared = [c for c in columns if c in reference.columns and c in actual.columns]
-    table = psi_long(
-        long_form(reference, shared, "double", "feature"), long_form(actual, shared, "double", "feature"), n_bins, **kw
-    )
+    table = wide_psi(reference, actual, shared, n_bins, **kw)
     return table.select("feature", F.round("psi", 4).alias("psi"), drift_label(F.col("psi")).alias("drift"))
 
 

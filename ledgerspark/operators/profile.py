@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ledgerspark.functions.hashing import order_key
 from ledgerspark.functions.numeric import TINY, count_if, nan_to_null, pct
 from ledgerspark.operators.ordering import first_by_hash, slice_in_order
+from ledgerspark.operators.quantiles import wide_quantiles
 from ledgerspark.operators.ranking import exact_quantiles, quantiles_of_counts, running_totals
 
 
@@ -225,7 +226,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per numeric column: count, mean, std, min, exact quartiles, max, sample skew and excess kurtosis.
 
-    The moments are one wide aggregation; only the quartiles need the (column, value) form.
+    Two reads: the moments come with the brackets of the quartiles, then values inside the brackets are counted.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
     aggs, out = [], []
@@ -243,11 +244,12 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
             "skew": F.when((n > 2) & (g("vp") > 0), g("sk") * F.sqrt(n * (n - 1)) / (n - 2)),
             "kurtosis": F.when((n > 3) & (g("vp") > 0), ((n + 1) * g("ku") + 6) * (n - 1) / ((n - 2) * (n - 3))),
         })
-    rows = long_form(df, cols, "double")
-    rows = rows.withColumn("value", nan_to_null(F.col("value"))).filter(F.col("value").isNotNull())
-    quartiles = exact_quantiles(rows, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column"]).drop("n_valid")
+    shares = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    found, moments = wide_quantiles(df, cols, shares, aggs)
+    kinds = {name: "bigint" if name.startswith("n") else "double" for name in (f"{k}{i}" for i in range(len(cols)) for k in parts)} if cols else {}
+    one = df.sparkSession.createDataFrame([tuple(moments[name] for name in kinds)], ", ".join(f"{n} {k}" for n, k in kinds.items()))
     # One row per column on both sides.
-    return wide_to_rows(df.agg(*aggs), out).join(quartiles, "column", "left")
+    return wide_to_rows(one, out).join(found.select("column", *shares), "column", "left")
 
 
 def category_summary(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 10) -> DataFrame:

@@ -35,8 +35,15 @@ def replicate_weights(ids: Sequence[str | None], n_boot: int, seed: int) -> np.n
     ends = [b"" if i is None else b"|" + i.encode() for i in ids]
     drawn = b"".join(hashlib.md5(start + end).digest() for end in ends for start in starts)
     numbers = np.frombuffer(drawn, ">u4").reshape(len(ends), 4 * len(starts))[:, :n_boot].astype(np.uint32)
+    bounds = np.array(poisson_bounds(POISSON_TOP), np.uint64)
+    # The upper half of a number settles its draw, but for the few halves that a bound cuts.
+    halves = np.arange(1 << 16, dtype=np.uint64) << np.uint64(16)
+    low, high = (np.searchsorted(bounds, h, side="right").astype(np.uint8) for h in (halves, halves + np.uint64(0xFFFF)))
+    half = numbers >> 16
+    drawn, cut = low[half], (low != high)[half]
+    drawn[cut] = np.searchsorted(bounds, numbers[cut].astype(np.uint64), side="right")
     out = np.ones((len(ends), n_boot + 1), np.uint8)
-    out[:, 1:] = np.searchsorted(np.array(poisson_bounds(POISSON_TOP), np.uint64), numbers, side="right")
+    out[:, 1:] = drawn
     return out
 
 
