@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.numeric import nan_to_null
 from ledgerspark.operators.profile import long_form
-from ledgerspark.operators.quantiles import wide_quantiles
+from ledgerspark.operators.quantiles import by_number, numbered, wide_quantiles
 from ledgerspark.operators.ranking import ROWS_PER_RANGE, exact_quantiles
 from ledgerspark.session import materialise
 
@@ -112,12 +112,13 @@ def wide_psi(reference: DataFrame, actual: DataFrame, columns: Sequence[str], n_
     spark = reference.sparkSession
     edges = spark.createDataFrame(rows, "feature string, edges array<double>, n_edges int")
     ref = spark.createDataFrame(bins, "feature string, bin int, n bigint")
-    placed = []
-    for name, own, _ in rows:
-        v = nan_to_null(F.col(f"`{name}`").cast("double"))
-        bin_of = sum((F.when(v >= F.lit(e), 1).otherwise(0) for e in own), F.lit(0))
-        placed.append(F.when(v.isNotNull(), F.struct(F.lit(name).alias("feature"), bin_of.alias("bin"))))
-    act = actual.select(F.inline(F.array_compact(F.array(*placed)))) if placed else spark.createDataFrame([], "feature string, bin int")
+    if rows:
+        v = F.col("value")
+        bin_of = {c: sum((F.when(v >= F.lit(e), 1).otherwise(0) for e in own), F.lit(0)) for c, (_, own, _) in enumerate(rows)}
+        cells = numbered(actual, {c: nan_to_null(F.col(f"`{name}`").cast("double")) for c, (name, _, _) in enumerate(rows)})
+        act = cells.select(by_number({c: F.lit(r[0]) for c, r in enumerate(rows)}).alias("feature"), by_number(bin_of).alias("bin"))
+    else:
+        act = spark.createDataFrame([], "feature string, bin int")
     table = psi_of_counts(edges, ref, act.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n")), eps)
     every = spark.createDataFrame([(c,) for c in columns], "feature string")
     return every.join(table, "feature", "left")

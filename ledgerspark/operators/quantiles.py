@@ -47,6 +47,20 @@ def _segment(v: Column, brackets: Sequence[Bracket]) -> Column:
     return at.otherwise(2 * len(brackets))
 
 
+def numbered(df: DataFrame, values: Mapping[int, Column]) -> DataFrame:
+    """(c, value) rows of the numbered columns, without nulls; row-local, and what follows stays in generated code."""
+    cells = [F.struct(F.lit(c).alias("c"), v.alias("value")) for c, v in values.items()]
+    return df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
+
+
+def by_number(of: Mapping[int, Column]) -> Column:
+    """The expression of the row's column number c."""
+    out = None
+    for c, e in of.items():
+        out = F.when(F.col("c") == c, e) if out is None else out.when(F.col("c") == c, e)
+    return out
+
+
 def _ranks(n: int, probs: Sequence[float]) -> list[int]:
     """Places from 0 of the values that linear interpolation needs."""
     return sorted({int(f(float(p) * (n - 1))) for p in probs for f in (math.floor, math.ceil)})
@@ -75,11 +89,10 @@ def _narrowed(df: DataFrame, values: Sequence[Column], brackets: dict[int, list[
 
 def _counted(df: DataFrame, values: Sequence[Column], brackets: dict[int, list[Bracket]]) -> DataFrame:
     """(c, segment, value, cnt): rows by column and segment, and by value inside brackets."""
-    cells = []
-    for c, own in brackets.items():
-        segment = _segment(values[c], own)
-        cells.append(F.when(values[c].isNotNull(), F.struct(F.lit(c).alias("c"), segment.alias("segment"), F.when(segment % 2 == 1, values[c]).alias("value"))))
-    return df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("c", "segment", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    v = F.col("value")
+    segment = by_number({c: _segment(v, own) for c, own in brackets.items()})
+    placed = numbered(df, {c: values[c] for c in brackets}).withColumn("segment", segment)
+    return placed.groupBy("c", "segment", F.when(F.col("segment") % 2 == 1, v).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def wide_quantiles(
