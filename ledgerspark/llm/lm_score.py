@@ -56,7 +56,7 @@ TASKS = 2048
 #: Rows of weights in one block of moves.
 MOVE_ROWS = 1024
 #: Different words that a task counts before it hands them on; bytes of a text that are split at a time.
-HELD_WORDS = 200_000
+HELD_WORDS = 400_000
 PIECE = 1 << 20
 _SPACES = b" \t\n\x0b\x0c\r"
 _NONE = -1e9
@@ -244,15 +244,15 @@ class Model:
 def _summed(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(different rows, sums of the values with that row, how many)."""
     order = np.argsort(rows.astype(np.uint16) if rows.max(initial=0) < 1 << 16 else rows, kind="stable")  # short numbers sort by digits
-    own, values = rows[order], values[order]
+    own = rows[order]
     first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     size = np.diff(np.r_[first, len(own)])
-    out = values[first]
+    out = values[order[first]]
     for k in range(1, FEW):  # small groups together: the second value of all, then the third, ...
         more = np.flatnonzero((size > k) & (size <= FEW))
-        out[more] += values[first[more] + k]
+        out[more] += values[order[first[more] + k]]
     for i in np.flatnonzero(size > FEW).tolist():
-        np.add.reduce(values[first[i] : first[i] + size[i]], axis=0, out=out[i])
+        np.add.reduce(values[order[first[i] : first[i] + size[i]]], axis=0, out=out[i])
     return own[first], out, size
 
 
@@ -274,7 +274,8 @@ class Trainer:
             self.used[k][row] += size
             grown = past[row] + np.einsum("ij,ij->i", move, move)
             past[row] = grown
-            table[row] -= move * (RATE / np.sqrt(grown))[:, None]
+            move *= (RATE / np.sqrt(grown))[:, None]
+            table[row] -= move
 
     def learn(self, symbols: np.ndarray, f: np.ndarray) -> None:
         for a in range(0, len(symbols), STEP):
