@@ -45,8 +45,8 @@ SHARD_BYTES = 16 << 20
 KEY = 0x5DEECE66D1F3A7B9
 ROUNDS = 6
 #: A worker writes its sequences when PIECE_BYTES wait, and packs them by shard when FLUSH_BYTES wait.
-PIECE_BYTES = 8 << 20
-FLUSH_BYTES = 32 << 20
+PIECE_BYTES = 4 << 20
+FLUSH_BYTES = 8 << 20
 #: Of zstd, for what is written or shuffled on the way.
 LEVEL = 9
 
