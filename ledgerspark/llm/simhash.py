@@ -15,6 +15,11 @@ boundary are compared across it. Each shard emits a spanning forest of its links
 
 With more than FIRST_BLOCKS blocks the search runs twice: the first blocks join most of a large class, and the others then only
 add links between classes, which keeps the graph small however many blocks there are.
+
+Similar texts. Where the limit is a similarity of shingle sets (`similar_classes`), fingerprints only find candidates: the radius is
+the mean distance at the limit and three deviations, more blocks are read, and each shard emits a forest of its closest pairs. A
+candidate is a link only if the exact Jaccard similarity of its two shingle sets reaches the limit. The forest of closest pairs
+connects every pair by steps at most as far as its own distance, so a pair is lost only if a closer step fails.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ BLOCKS_PER_WORD = 64 // BLOCK_BITS
 SHARD_LIMIT = 4096
 LEAF = 96
 FIRST_BLOCKS = 8
+#: Standard deviations of a fingerprint distance that the candidate radius of similar texts allows for.
+DEVIATIONS = 3
 #: Node numbers from here on stand for fingerprints that only rows without an id have.
 NAMELESS = 1 << 62
 
@@ -113,6 +120,7 @@ class Forest:
 
     def __init__(self, n: int):
         self.up = list(range(n))
+        self.edges: list[tuple[int, int]] = []
 
     def root(self, i: int) -> int:
         up = self.up
@@ -122,9 +130,10 @@ class Forest:
         return i
 
     def union(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            self.edges.append((i, j))
 
     def joined(self, *parts: np.ndarray) -> bool:
         first = self.root(int(parts[0][0]))
@@ -143,14 +152,8 @@ def _compare(points: np.ndarray, radius: int, forest: Forest, left: np.ndarray,
                 forest.union(int(rows[i]), int(cols[j]))
 
 
-def vantage_search(points: np.ndarray, radius: int, known: np.ndarray | None = None) -> np.ndarray:
-    """Root position of every point under links of at most radius bits, by a vantage-point tree.
-
-    known: class numbers found before, equal ones adjacent; such points are linked from the start.
-    """
-    forest = Forest(len(points))
-    for i in np.flatnonzero(known[1:] == known[:-1]).tolist() if known is not None else ():
-        forest.union(i, i + 1)
+def _grow(points: np.ndarray, radius: int, forest: Forest) -> None:
+    """Joins the points of forest that are linked, by a vantage-point tree."""
     todo = [np.arange(len(points))]
     while todo:
         own = todo.pop()
@@ -174,6 +177,17 @@ def vantage_search(points: np.ndarray, radius: int, known: np.ndarray | None = N
         if len(near) and len(beyond):
             _compare(points, radius, forest, near, beyond)
         todo += [own[inner], own[outer]]
+
+
+def vantage_search(points: np.ndarray, radius: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Root position of every point under links of at most radius bits, by a vantage-point tree.
+
+    known: class numbers found before, equal ones adjacent; such points are linked from the start.
+    """
+    forest = Forest(len(points))
+    for i in np.flatnonzero(known[1:] == known[:-1]).tolist() if known is not None else ():
+        forest.union(i, i + 1)
+    _grow(points, radius, forest)
     return np.array([forest.root(i) for i in range(len(points))], np.int64)
 
 
@@ -214,6 +228,12 @@ def _shard_links(radius: int, words: int):
         pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+    return _by_shard(solve, words)
+
+
+def _by_shard(solve, words: int):
+    """Hands whole shards of rows (shard, node, fp, ...) in shard order to solve."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -221,6 +241,7 @@ def _shard_links(radius: int, words: int):
                 batch.column(0).to_numpy(),
                 batch.column(1).to_numpy(),
                 batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, words),
+                *(batch.column(c).to_numpy() for c in range(3, batch.num_columns)),
             )
             held = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows))
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
@@ -233,18 +254,74 @@ def _shard_links(radius: int, words: int):
     return run
 
 
+def _closest_pairs(start: np.ndarray, points: np.ndarray, radius: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forests of the closest linked pairs of different nodes inside small adjacent groups."""
+    i, j = _small_groups(start, points, radius)
+    other = node[i] != node[j]
+    i, j = i[other], j[other]
+    forest = Forest(len(points))
+    for k in np.flatnonzero((node[1:] == node[:-1]) & (start[1:] == start[:-1])).tolist():
+        forest.union(k, k + 1)
+    forest.edges.clear()
+    order = np.argsort(distance(points[i], points[j]), kind="stable")
+    for x, y in zip(i[order].tolist(), j[order].tolist()):
+        forest.union(x, y)
+    found = np.array(forest.edges, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _candidates(radius: int, words: int):
+    """Reads rows (shard, node, fp, key) in shard and node order and gives a forest of close pairs (key_a, a, key_b, b) of each shard."""
+
+    def solve(shard: np.ndarray, node: np.ndarray, points: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        size = np.diff(np.r_[first, len(shard)])
+        small = np.flatnonzero(np.repeat((size > 1) & (size <= LEAF), size))
+        i, j = _closest_pairs(np.repeat(first, size)[small], points[small], radius, node[small])
+        left, right = [small[i]], [small[j]]
+        for f, s in zip(first[size > LEAF].tolist(), size[size > LEAF].tolist()):
+            forest = Forest(s)
+            own = node[f : f + s]
+            for k in np.flatnonzero(own[1:] == own[:-1]).tolist():
+                forest.union(k, k + 1)
+            forest.edges.clear()
+            for reach in (radius // 4, radius // 2, 3 * radius // 4, radius):
+                _grow(points[f : f + s], reach, forest)
+            pairs = np.array(forest.edges, np.int64).reshape(-1, 2) + f
+            left.append(pairs[:, 0])
+            right.append(pairs[:, 1])
+        i, j = np.concatenate(left), np.concatenate(right)
+        swap = key[i] > key[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[i], node[i], key[j], node[j])], ["key_a", "a", "key_b", "b"])
+
+    return _by_shard(solve, words)
+
+
 def _column_distance(a: Column, b: Column) -> Column:
     bits = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     return F.aggregate(bits, F.lit(0), lambda total, x: total + x)
 
 
-def shard_rows(points: DataFrame, radius: int, first: int, stop: int, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """(shard bigint, node, fp): every point once per block from first to stop - 1, large shards cut into rings that overlap."""
+def shard_rows(points: DataFrame, radius: int, first: int, stop: int, shard_limit: int = SHARD_LIMIT, words: int | None = None,
+               extra: tuple[str, ...] = ()) -> DataFrame:
+    """(shard bigint, node, fp, extra...): every point once per block from first to stop - 1, large shards cut into rings that overlap.
 
-    def block(i: Column) -> Column:
+    With `words`, blocks beyond those of the words are mixed: the low half of one block and the high half of the next.
+    """
+
+    def cut(i: Column, mask: int) -> Column:
         word = F.element_at("fp", (F.floor(i / BLOCKS_PER_WORD) + 1).cast("int"))
         shift = (F.pmod(i, F.lit(BLOCKS_PER_WORD)) * BLOCK_BITS).cast("int")
-        value = F.call_function("shiftrightunsigned", word, shift).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+        return F.call_function("shiftrightunsigned", word, shift).bitwiseAND(F.lit(mask))
+
+    def block(i: Column) -> Column:
+        value = cut(i, (1 << BLOCK_BITS) - 1)
+        if words is not None and stop > words * BLOCKS_PER_WORD:
+            plain = words * BLOCKS_PER_WORD
+            low = F.greatest(i - plain, F.lit(0)) * 2
+            mixed = cut(low, (1 << BLOCK_BITS // 2) - 1) + cut(low + 1, (1 << BLOCK_BITS) - (1 << BLOCK_BITS // 2))
+            value = F.when(i < plain, cut(F.least(i, F.lit(plain - 1)), (1 << BLOCK_BITS) - 1)).otherwise(mixed)
         return i.cast("bigint") * F.lit(1 << BLOCK_BITS) + value
 
     blocks = F.sequence(F.lit(first), F.lit(stop - 1))
@@ -260,8 +337,8 @@ def shard_rows(points: DataFrame, radius: int, first: int, stop: int, shard_limi
     )
     ring = F.explode(rings).alias("ring")
     # At most 64 * words + 1 rings, so the number fits below the block number.
-    return rows.join(large, "block", "left").select("block", "node", "fp", ring).select(
-        (F.col("block") * F.lit(1 << 20) + F.col("ring")).alias("shard"), "node", "fp"
+    return rows.join(large, "block", "left").select("block", "node", "fp", *extra, ring).select(
+        (F.col("block") * F.lit(1 << 20) + F.col("ring")).alias("shard"), "node", "fp", *extra
     )
 
 
@@ -298,25 +375,76 @@ def classes(docs: DataFrame, radius: int = 3, shingle: int = 3, words: int = 1,
 
 
 def similarity_radius(similarity: float, words: int) -> int:
-    """Bits expected to differ at a Jaccard similarity of shingle sets: their vectors' angle over pi, times all bits."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(64 * words * math.acos(min(1.0, cosine)) / math.pi)
+    """Bits that differ at a Jaccard similarity of shingle sets: the mean (their vectors' angle over pi) and DEVIATIONS deviations."""
+    differs = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    bits = 64 * words
+    return round(bits * differs + DEVIATIONS * math.sqrt(bits * differs * (1 - differs)))
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(key, shingles): the distinct shingle hashes of every row of docs (doc_id, text)."""
+    C.bounded_batches(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) if t else np.zeros(0, np.uint64) for t in C.as_bytes(batch.column(1))]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "shingles"])
 
-def expected_recall(similarity: float, words: int) -> float:
-    """Chance that a pair of this similarity shares a whole block, hence meets in some shard."""
-    same = 1 - math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return 1 - (1 - same**BLOCK_BITS) ** (BLOCKS_PER_WORD * words)
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("key"), "text")
+    return narrow.mapInArrow(C.tidied(run), "key bigint, shingles array<bigint>")
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (key_a, key_b, ...) whose documents have an exact Jaccard similarity of shingle sets of at least similarity.
+
+    Of a repeated id with different texts any text counts. Texts without words are similar to nothing here.
+    """
+    ends = pairs.select(F.explode(F.array("key_a", "key_b")).alias("k")).distinct()
+    sets = shingle_sets(docs.join(materialise(ends, "candidates"), F.col("doc_id") == F.col("k"), "left_semi"), shingle)
+    # An id has one row for each of its texts; the rows are laid out by id, as the join needs them.
+    digest = F.xxhash64("shingles").alias("digest")
+    sets = sets.repartition(C.shuffle_width(docs.sparkSession), "key").select("*", digest).dropDuplicates(["key", "digest"])
+    sets = materialise(sets.drop("digest"), "shingle_sets")
+    left = sets.select(F.col("key").alias("key_a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("key").alias("key_b"), F.col("shingles").alias("right"))
+    both = pairs.join(left, "key_a").join(right, "key_b")
+    common = F.size(F.array_intersect("left", "right"))
+    union = F.size("left") + F.size("right") - common
+    return both.where((common > 0) & (common >= F.lit(similarity) * union - 1e-9)).select(*pairs.columns)
+
+
+def similar_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 8, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """(id, component) of every row of docs (doc_id, text) that has an id: classes of links of at least similarity.
+
+    component is the smallest id reachable, the row's own included. Rows without words are one class; equal fingerprints are
+    linked, as are all rows of a repeated id.
+    """
+    named = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    prints = materialise(fingerprints(named, shingle, words), "fingerprints")
+    points = prints.groupBy("fp").agg(F.min("id").alias("key")).select("key", F.col("key").alias("node"), "fp")
+    points = materialise(points, "points")
+    radius, plain = similarity_radius(similarity, words), words * BLOCKS_PER_WORD
+    for first, stop in ((0, FIRST_BLOCKS), (FIRST_BLOCKS, plain + plain // 2)):
+        rows = shard_rows(points, radius, first, stop, shard_limit, words, ("key",))
+        placed = rows.repartition(C.shuffle_width(docs.sparkSession), "shard").sortWithinPartitions("shard", "node")
+        found = placed.mapInArrow(C.tidied(_candidates(radius, words)), "key_a bigint, a bigint, key_b bigint, b bigint")
+        pairs = materialise(found.where("a <> b").distinct(), "candidate_pairs")
+        star = components(similar_pairs(pairs, named, similarity, shingle).select("a", "b"))
+        points = points.join(star, "node", "left").select("key", F.coalesce("root", "node").alias("node"), "fp")
+        points = materialise(points, "points")
+    return prints.join(points, "fp", "left").select("id", F.col("node").alias("component"))
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 8) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate class; all columns of docs stay.
 
-    Near-duplicates share at least `similarity` of their word shingles, estimated by fingerprints of 64 * words bits
-    (eight words: over nine in ten of the pairs right at 0.8 meet, nearly all above). Rows without an id are kept, and
-    so are all rows without words but one. Repeated rows count as one document: one of them stays.
+    Near-duplicates share at least `similarity` of their distinct word shingles, exactly; candidates come from fingerprints of
+    64 * words bits. Rows without an id are kept and link nothing; all rows with an id but without words go, but one.
+    Repeated rows count as one document: one of them stays.
     """
-    found = materialise(classes(docs, similarity_radius(similarity, words), shingle, words).select("id", "component"), "classes")
+    found = materialise(similar_classes(docs, similarity, shingle, words), "classes")
     ids = found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n"), F.max("component").alias("component"))
     # The two lists of ids are written, so that texts are shuffled only where a list has outgrown a broadcast.
     gone = materialise(ids.where(F.col("doc_id") != F.col("component")).select("doc_id"), "near_duplicates")

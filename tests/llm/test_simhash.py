@@ -1,3 +1,6 @@
+import math
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -113,8 +116,84 @@ def test_deduplicate_keeps_the_smallest_id_and_all_columns(spark):
     assert simhash.deduplicate(no_docs(spark)).count() == 0
 
 
-def test_stage_settings_reach_nine_in_ten_at_the_limit():
-    assert simhash.expected_recall(0.8, 8) > 0.9 and simhash.expected_recall(0.85, 8) > 0.97
+def jaccard(a, b):
+    a, b = ({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def pair_at(k, shingles, similarity):
+    """Two texts of about as many shingles whose similarity is just at or above the one asked for, by a replaced tail."""
+    w = [f"{x}{k}" for x in words(k, shingles + 4).split()]
+    tail = math.floor(shingles * (1 - similarity) / (1 + similarity) + 1e-9)
+    return " ".join(w), " ".join(w[: len(w) - tail] + [f"new{k}x{i}" for i in range(tail)])
+
+
+def linked(spark, shingles, similarity, n=400):
+    pairs = [pair_at(7 * k + shingles, shingles, similarity) for k in range(n)]
+    rows = [(2 * k + side, t, "en", "a", 0) for k, p in enumerate(pairs) for side, t in enumerate(p)]
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(2 * k in kept for k in range(n))
+    return [jaccard(*p) for p in pairs], [2 * k + 1 not in kept for k in range(n)]
+
+
+@pytest.mark.parametrize("shingles, similarity, floor", [(90, 0.8, 0.9), (450, 0.8, 0.9), (200, 0.85, 0.98)])
+def test_isolated_pairs_at_the_limit_are_linked(spark, shingles, similarity, floor):
+    exact, gone = linked(spark, shingles, similarity)
+    assert min(exact) >= similarity
+    assert sum(gone) / len(gone) >= floor
+
+
+@pytest.mark.parametrize("shingles, similarity", [(6, 0.7), (8, 0.77), (175, 0.78)])
+def test_pairs_below_the_limit_stay(spark, shingles, similarity):
+    exact, gone = linked(spark, shingles, similarity, 200)
+    below = [g for s, g in zip(exact, gone) if s < 0.8]
+    assert below and not any(below)
+
+
+def test_classes_equal_brute_force_links(spark):
+    """Families of variants around the limit: every exact link found is a true one, and nearly all true classes are found."""
+    rng = random.Random(3)
+    texts = []
+    for f in range(40):
+        w = [f"{x}{f}" for x in words(f, 120).split()]
+        for _ in range(6):
+            v = list(w)
+            at = rng.randrange(0, 100)
+            v[at : at + rng.randrange(0, 20)] = [f"n{rng.random()}"]
+            texts.append(" ".join(v))
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)
+    got = {r.id: r.component for r in simhash.similar_classes(docs).collect()}
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i + 1, (i // 6 + 1) * 6):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    want = {i: root(i) for i in range(len(texts))}
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
+
+
+def test_a_hot_shard_gives_the_same_classes(spark):
+    """With a tiny shard limit, rings and trees must find what small shards find."""
+    base = words(11, 200).split()
+    rows = [(i, " ".join(base[: 195 - i % 5] + [f"t{i}"]), "en", "a", 0) for i in range(150)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for limit in (20, 4096):
+        assert {r.component for r in simhash.similar_classes(docs, shard_limit=limit).collect()} == {0}
+
+
+def test_rows_without_id_and_repeated_ids(spark):
+    base, other = words(1, 80), words(2, 80)
+    rows = [(None, base, "en", "a", 0), (5, base, "en", "a", 0), (7, base + " x", "en", "a", 0), (7, other, "en", "a", 0), (9, other, "en", "a", 0)]
+    kept = [r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, DOCS)).collect()]
+    assert None in kept and 5 in kept and 7 not in kept
 
 
 def test_components_of_a_chain_and_a_star(spark):
