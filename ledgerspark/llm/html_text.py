@@ -1,9 +1,13 @@
 """Main text of HTML pages by tree scoring.
 
 The page is parsed into a tree, leniently: unclosed and misnested tags are normal. Parts that are not content by their tag,
-role, class or visibility go. Each text block then earns points for its length and its commas, less its share of linked
-text, and passes them to the elements around it, halving on the way. The element with the most points, again less its own
-link share, is the container; it is kept with those of its siblings that look like content too.
+role or visibility go, as do readers' comments. Each text block then earns points for its length and its commas, less its share
+of linked text, and passes them to the elements around it, halving on the way. An element whose class or id names page furniture
+counts a quarter of its points, and goes unless even so it outweighs the rest of the page. The element with the most points, again
+less its own link share, is the container; it is kept with those of its siblings that look like content too.
+
+Embedded elements (EMBEDDED) go with what they hold only if they have an end tag; without one they end where their parent
+does and their content stays. Every pass is linear in the length of the page, however deep it is nested.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from ledgerspark.llm import common as C
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup; it goes with them.
-RAW = ("script", "style", "textarea", "title", "xmp", "noscript", "template", "iframe", "noframes", "svg", "math", "select", "object", "canvas", "video", "audio")
+RAW = ("script", "style", "textarea", "title", "xmp", "noscript", "template", "iframe", "noframes")
+EMBEDDED = frozenset("svg math select object canvas video audio".split())
 NOT_CONTENT = frozenset("head nav footer aside form button menu dialog fieldset label option datalist applet map".split())
 BLOCKS = frozenset(
     "p div section article main body html h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre "
@@ -31,17 +36,20 @@ CLOSES_P = BLOCKS - {"body", "html"}
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
     "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "tr": (("tr", "td", "th"), ("table",)),
-    "tbody": (("thead", "tbody", "tr"), ("table",)),
+    "tbody": (("thead", "tbody", "tr"), ("table",)), "option": (("option",), ("select", "datalist")),
 }
 NOT_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _NEGATIVE = (
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner cookie cookies "
-    "consent gdpr notice notices alert notification popup modal overlay comment comments commentlist disqus respond reply replies sidebar "
+    "consent gdpr notice notices alert notification popup modal overlay sidebar "
     "sidenav nav navbar navigation navi menu breadcrumb breadcrumbs footer foot footnav header masthead topbar share sharing social "
     "related recommended recommendations subscribe subscription newsletter signup login widget widgets pagination pager toolbar skip "
-    "outbrain taboola tags tagcloud discussion disclaimer"
+    "outbrain taboola tags tagcloud disclaimer"
 )
 NEGATIVE = frozenset(_NEGATIVE.split())
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+#: What the points of an element with a negative name count.
+NAME_FACTOR = 0.25
 _EXEMPT = re.compile(r"^(?:has|with|no|without|hide|show)[-_]")
 
 _TOKEN = re.compile(
@@ -65,73 +73,83 @@ LINK_LIMIT = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "points", "chars", "linked", "negative")
+    __slots__ = ("tag", "parent", "items", "points", "chars", "linked", "hidden", "named", "closed", "depth", "in_article", "outer")
 
-    def __init__(self, tag: str, parent: Node | None, negative: bool = False):
-        self.tag, self.parent, self.negative = tag, parent, negative
+    def __init__(self, tag: str, parent: Node | None, hidden: bool = False, named: bool = False):
+        self.tag, self.parent, self.hidden, self.named, self.closed = tag, parent, hidden, named, False
         self.items: list[str | Node] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
+        self.depth = parent.depth + 1 if parent else 0
+        self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
+        #: The nearest element around the text that is not inline, the node itself included.
+        self.outer: Node = self if parent is None or tag in BLOCKS else parent.outer
 
 
-def _is_negative(tag: str, attrs: str) -> bool:
-    """Whether class, id, role or visibility say that an element is not content."""
+def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether role, visibility or a comment's name say that an element is not content; whether its class or id do."""
     if not attrs or attrs.isspace():
-        return False
+        return False, False
     found = {name.lower(): a or b or c for name, a, b, c in _ATTRIBUTE.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
-        return True
+        return True, False
     if found.get("role", "").lower() in NOT_CONTENT_ROLES:
-        return True
+        return True, False
     if tag in ("article", "main", "body", "html"):
-        return False
-    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
-        if not _EXEMPT.match(name) and any(part.lower() in NEGATIVE for part in _NAMES.findall(name)):
-            return True
-    return False
+        return False, False
+    parts = {
+        part.lower() for name in f"{found.get('class', '')} {found.get('id', '')}".split() if not _EXEMPT.match(name)
+        for part in _NAMES.findall(name)
+    }
+    return not parts.isdisjoint(COMMENTS), not parts.isdisjoint(NEGATIVE)
 
 
-def parse(html: str) -> Node:
+def parse(html: str) -> tuple[Node, list[Node]]:
+    """The root and all elements in page order, parents before children."""
     root = Node("html", None)
-    at, done = root, 0
+    path, every, done = [root], [root], 0
+    open_at: dict[str, list[int]] = {}
+
+    def deepest(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
+    def leave(depth: int) -> None:
+        while len(path) > depth:
+            open_at[path.pop().tag].pop()
 
     def close(tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
-        nonlocal at
-        node = at
-        while node is not root and node.tag not in stops:
-            if node.tag in tags:
-                at = node.parent
-                node = at
-            else:
-                node = node.parent
+        while (depth := deepest(tags)) > deepest(stops):
+            leave(depth)
 
     for m in _TOKEN.finditer(html):
         if m.start() > done:
-            at.items.append(html[done : m.start()])
+            path[-1].items.append(html[done : m.start()])
         done = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
         if m["close"] or m["close2"]:
-            node = at  # an inline end tag doesn't reach out of its cell or list item
-            while node is not root and node.tag != tag and not (node.tag in ("td", "th", "li") and tag not in BLOCKS):
-                node = node.parent
-            if node is not root and node.tag == tag:
-                at = node.parent
+            depth = deepest((tag,))  # an inline end tag doesn't reach out of its cell or list item
+            if depth and (tag in BLOCKS or depth >= deepest(("td", "th", "li"))):
+                path[depth].closed = True
+                leave(depth)
             continue
         if tag in ("html", "body"):
             continue
         if tag in CLOSES_P:
             close(("p",), ("table", "td", "th", "li", "blockquote", "article", "section", "div"))
+            close(("option", "optgroup"), ())
         if tag in CLOSES:
             close(*CLOSES[tag])
         attrs = m["attrs"] or m["attrs2"] or ""
-        node = Node(tag, at, _is_negative(tag, attrs))
-        at.items.append(node)
+        node = Node(tag, path[-1], *_marks(tag, attrs))
+        path[-1].items.append(node)
+        every.append(node)
         if tag not in VOID and not attrs.endswith("/"):
-            at = node
+            open_at.setdefault(tag, []).append(len(path))
+            path.append(node)
     if done < len(html):
-        at.items.append(html[done:])
-    return root
+        path[-1].items.append(html[done:])
+    return root, every
 
 
 def _clean(text: str) -> str:
@@ -139,14 +157,9 @@ def _clean(text: str) -> str:
 
 
 def _dropped(node: Node, hints: bool) -> bool:
-    if node.tag in NOT_CONTENT or hints and node.negative:
+    if node.tag in NOT_CONTENT or node.tag in EMBEDDED and node.closed or hints and node.hidden:
         return True
-    if node.tag == "header":  # a page's header goes, an article's own holds its heading
-        above = node.parent
-        while above is not None and above.tag not in ("article", "main"):
-            above = above.parent
-        return above is None
-    return False
+    return node.tag == "header" and not node.in_article  # a page's header goes, an article's own holds its heading
 
 
 def _inline(node: Node) -> bool:
@@ -154,7 +167,7 @@ def _inline(node: Node) -> bool:
 
 
 def blocks(top: Node, hints: bool) -> list[tuple[Node, str, int]]:
-    """(element, text, linked characters) of every text block below top in page order, content parts only."""
+    """(element, text, linked characters) of every text block below top in page order, content parts only (hidden counts with hints)."""
     out: list[tuple[Node, str, int]] = []
     run: list[str] = []
     linked: list[str] = []
@@ -193,47 +206,57 @@ def blocks(top: Node, hints: bool) -> list[tuple[Node, str, int]]:
         else:
             stack.pop()
             if stack and not _inline(node):
-                above = stack[-1][0]
-                while _inline(above) and above.parent is not None:
-                    above = above.parent
-                flush(above)
+                flush(stack[-1][0].outer)
     flush(top)
     return out
 
 
-def _is_below(node: Node | None, top: Node) -> bool:
-    while node is not None and node is not top:
-        node = node.parent
-    return node is top
-
-
 def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
-def _score(found: list[tuple[Node, str, int]]) -> list[Node]:
-    """Points of all elements around the blocks; the elements in page order of their first block."""
-    seen: dict[int, Node] = {}
+def _score(found: list[tuple[Node, str, int]], every: list[Node]) -> list[Node]:
+    """Points, characters and linked characters of all elements; those with text in page order."""
+    for node in every:
+        node.points, node.chars, node.linked = 0.0, 0, 0
     for block, text, linked in found:
-        points = (min(1.0, len(text) / 25) + len(_COMMA.findall(text)) + min(len(text) / 100, 3.0)) * (1 - linked / len(text))
-        node = block.parent if block.tag in LEAVES and block.parent is not None else block
-        share = 1.0
-        above: Node | None = block
-        while above is not None:
-            above.chars += len(text)
-            above.linked += linked
-            seen.setdefault(id(above), above)
-            above = above.parent
-        while node is not None:
-            node.points += points * share
-            share /= 2
-            node = node.parent
-    return list(seen.values())
+        block.chars += len(text)
+        block.linked += linked
+        (block.parent if block.tag in LEAVES and block.parent is not None else block).points += _points(text, linked)
+    for node in reversed(every):  # children before parents
+        if node.parent is not None:
+            node.parent.points += node.points / 2
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
+    return [node for node in every if node.chars]
+
+
+def _points(text: str, linked: int) -> float:
+    return (min(1.0, len(text) / 25) + len(_COMMA.findall(text)) + min(len(text) / 100, 3.0)) * (1 - linked / len(text))
+
+
+def _hide_furniture(found: list[tuple[Node, str, int]], every: list[Node]) -> bool:
+    """Hides elements with a negative name, unless their points count more than the rest of the page's even at NAME_FACTOR."""
+    named = [node for node in every if node.named]
+    if not named:
+        return False
+    inside: dict[int, float] = {}
+    for block, text, linked in found:
+        inside[id(block)] = inside.get(id(block), 0.0) + _points(text, linked)
+    for node in reversed(every):
+        own = inside.get(id(node))
+        if own and node.parent is not None:
+            inside[id(node.parent)] = inside.get(id(node.parent), 0.0) + own
+    total = inside.get(id(every[0]), 0.0)
+    for node in named:
+        own = inside.get(id(node), 0.0)
+        node.hidden = node.hidden or own * NAME_FACTOR <= total - own
+    return True
 
 
 def _container(nodes: list[Node]) -> Node:
     """The best element; an article or main around it is preferred, as it holds the whole text."""
-    best = max(nodes, key=lambda n: (n.points * (1 - _density(n)), -len(_path(n))))
+    best = max(nodes, key=lambda n: (n.points * (1 - _density(n)), -n.depth))
     above: Node | None = best
     while above is not None:
         if above.tag in ("article", "main"):
@@ -244,14 +267,6 @@ def _container(nodes: list[Node]) -> Node:
     return best
 
 
-def _path(node: Node) -> list[Node]:
-    out = []
-    while node.parent is not None:
-        node = node.parent
-        out.append(node)
-    return out
-
-
 def _kept_siblings(best: Node) -> list[Node]:
     """best and the siblings that are content: enough points of their own kind, or headings and paragraphs with few links."""
     if best.parent is None:
@@ -274,11 +289,14 @@ def main_text(html: str | None) -> str:
     """Main text of a page; blocks joined by an empty line; empty for null, empty and text-free pages."""
     if not html:
         return ""
-    root = parse(html)
-    found = blocks(root, hints=True) or blocks(root, hints=False)
+    root, every = parse(html)
+    found = blocks(root, hints=True)
+    if _hide_furniture(found, every):
+        found = blocks(root, hints=True)
+    found = found or blocks(root, hints=False)
     if not found:
         return ""
-    kept = _kept_siblings(_container(_score(found)))
+    kept = _kept_siblings(_container(_score(found, every)))
     inside = {id(n) for n in kept}
     cache: dict[int, bool] = {}
 

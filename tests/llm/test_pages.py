@@ -1,6 +1,7 @@
 import collections
 import math
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -65,6 +66,40 @@ def test_deep_and_odd_pages():
     assert H.main_text("<a " * 3000) is not None
 
 
+LOST = "<p>" + block(6) + "</p><p>" + block(4) + "</p>"
+
+
+@pytest.mark.parametrize("opened", [
+    "<video src=a>", "<video src=a />", "<object data=x>", "<canvas id=c>", "<audio>", "<svg viewBox='0 0 1 1'>", "<math>", "<select>",
+    "<select><option>One<option>Two",
+])
+def test_an_unclosed_embedded_element_loses_no_text(opened):
+    want = f"{block(6)}\n\n{block(4)}"
+    assert H.main_text(f"<html><body><div>{opened}{LOST}</div></body></html>").endswith(want)
+    assert H.main_text(f"<div><div>{opened}</div><div>{LOST}</div></div>").endswith(want)
+    closed = re.sub("<option.*", "", opened).replace(" /", "")
+    name = re.match("<([a-z]+)", opened)[1]
+    assert H.main_text(f"<div>{closed}<p>no, no, no</p></{name}>{LOST}</div>") == want
+
+
+@pytest.mark.parametrize("name", ["social-history", "banner_story", "tags", "menuGuide"])
+def test_a_negative_name_around_the_article_keeps_it(name):
+    html = f"<body><div class='{name}'>{LOST}<div class='share'>Share, share</div></div><div class='comments'><p>{block(40)}</p></div></body>"
+    assert H.main_text(html) == f"{block(6)}\n\n{block(4)}"
+    beside = f"<body><div>{LOST}</div><div class='{name}'><p>{block(5)}</p></div></body>"
+    assert H.main_text(beside) == f"{block(6)}\n\n{block(4)}"
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<b>", "<ul><li>", "<p>x<b>", "<b><div>y</div>", "<td><i></b>", "<div class=ad>z", "<select><option>"])
+def test_a_megabyte_of_nested_tags_takes_linear_time(piece):
+    seconds = []
+    for size in (1 << 18, 1 << 20):
+        start = time.process_time()
+        H.main_text(piece * (size // len(piece)))
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 8 * max(seconds[0], 0.25), seconds
+
+
 def test_pages_of_the_test_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
     got = {r.page_id: r.text for r in H.op8_html_text(spark, "/root/testdata/sf0.001").collect()}
